@@ -37,11 +37,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def semi_filter(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+def semi_filter(df: DataFrame, key: str, ids: DataFrame, keep: bool = True) -> DataFrame:
     """Rows of ``df`` whose ``key`` may be in ``ids`` (one column): a bit filter without a shuffle of ``df``.
 
     The filter is at most 4 MB whatever the input (1024 rows of 4 KB), so it is broadcast.
-    False positives pass; callers join exactly afterwards.
+    False positives pass; callers join exactly afterwards. ``keep=False`` gives the other rows instead,
+    so that the two calls split ``df``; a null key counts like any other value.
     """
     (id_col,) = ids.columns
     slot = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << FILTER_BITS))
@@ -52,11 +53,9 @@ def semi_filter(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     marked = df.withColumn("_slot", own).withColumn("_bucket", F.bitmap_bucket_number("_slot"))
     at = F.bitmap_bit_position("_slot")
     byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return (
-        marked.join(F.broadcast(bits), "_bucket")
-        .filter(F.getbit(byte, (at % 8).cast("int")) == 1)
-        .drop("_slot", "_bucket", "_bits")
-    )
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    joined = marked.join(F.broadcast(bits), "_bucket", "inner" if keep else "left")
+    return joined.filter(hit if keep else ~hit).drop("_slot", "_bucket", "_bits")
 
 
 def _min_neighbour(pairs: DataFrame, least: Column) -> DataFrame:

@@ -10,14 +10,14 @@ copies never become pairs.
   collision of the hashes themselves. Shingles that one representative alone holds are dropped
   before anything is gathered. Large posting lists are cut in blocks, and each pair of blocks is a
   tile of its own, so that no task holds an unbounded list.
-* **Bitmaps.** Each set has a parity bitmap of at least twice as many bits as shingles. The bits in
+* **Bitmaps.** Each set has a parity bitmap of eight times as many bits as shingles. The bits in
   which two bitmaps differ bound the symmetric difference from below, so the overlap from above; with
   the size band (0.75 to 1/0.75), this removes pairs before any set is read.
 * **Verification.** Surviving pairs go to an exact sorted-array intersection, one leading document at a
   time in memory.
-* **Large groups.** A first pass links each document of a tile to one leader only; components of those
-  links are then known, and the second pass emits just pairs of different components. Links inside a
-  component need not be enumerated, as only components are asked for.
+* **Large groups.** A first pass gives each document of a tile its closest partner only; components of
+  those links are then known, and the second pass gives just pairs of different components. Links inside
+  a component need not be enumerated, as only components are asked for.
 """
 
 from __future__ import annotations
@@ -76,8 +76,8 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """Parity of the hashes that fall on each bit; a power of two of bits, twice the set's size or more."""
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << (2 * len(hashes) - 1).bit_length()))
+    """Parity of the hashes that fall on each bit; a power of two of bits, eight times the set's size or more, up to a limit."""
+    bits = min(MAX_BITS, max(MIN_BITS, 1 << (8 * len(hashes) - 1).bit_length()))
     counts = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -96,56 +96,52 @@ def linked(distance: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return 7 * distance <= sizes
 
 
-def _near(ids: np.ndarray, sizes: np.ndarray, bits: list[bytes], comps: np.ndarray, leaders: bool) -> list[tuple[int, int]]:
-    """Pairs of one tile that the bitmaps cannot rule out.
+def _near(ids: np.ndarray, sizes: np.ndarray, bits: list[bytes], comps: np.ndarray, best: bool) -> list[tuple[int, int]]:
+    """Pairs of one tile, of different components, that sizes and bitmaps cannot rule out.
 
-    With ``leaders`` each document is paired with one earlier document that leads, or becomes a
-    leader; without, all pairs of different components are given.
+    With ``best`` each document is given its closest partner alone; without, all pairs are given.
     """
     order = np.lexsort((ids, sizes))
     ids, sizes, comps = ids[order], sizes[order], comps[order]
     maps = [np.frombuffer(bits[i], np.uint64) for i in order]
-    out: list[tuple[int, int]] = []
     m = len(ids)
     if m == 2:
         a, b = maps
         if len(a) < len(b):
             b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
-        ok = ids[0] != ids[1] and comps[0] != comps[1] and 4 * sizes[0] >= 3 * sizes[1] and linked(int(np.bitwise_count(a ^ b).sum()), sizes[0] + sizes[1])
+        ok = comps[0] != comps[1] and 4 * sizes[0] >= 3 * sizes[1] and linked(int(np.bitwise_count(a ^ b).sum()), sizes[0] + sizes[1])
         return [(int(ids.min()), int(ids.max()))] if ok else []
+    out: list[tuple[int, int]] = []
+    nearest, closest = np.full(m, -1), np.full(m, 1 << 60)
     widths = np.array([len(x) for x in maps])
-    done = np.zeros(m, bool)
     for width in np.unique(widths):
+        # sizes of a pair differ by a third at most, so widths by a factor of two: the wider map folds onto the narrower
         rows = np.flatnonzero((widths == width) | (widths == 2 * width))
         grid = np.stack([maps[r] if widths[r] == width else maps[r][:width] ^ maps[r][width:] for r in rows])
-        own, n, comp, name = widths[rows] == width, sizes[rows], comps[rows], ids[rows]
-        lead = np.zeros(len(rows), bool)
+        own, n, comp = widths[rows] == width, sizes[rows], comps[rows]
         first = np.searchsorted(n, -(-3 * n // 4))
         for i in range(len(rows)):
-            if leaders and done[rows[i]]:
-                continue
             lo = first[i]
-            # at least one of a pair has this width; pairs of wider ones come in their own turn
-            ok = np.ones(i - lo, bool) if own[i] else own[lo:i].copy()
-            if leaders:
-                ok &= lead[lo:i]
-            else:
-                ok &= comp[lo:i] != comp[i]
-            ok &= name[lo:i] != name[i]
+            ok = comp[lo:i] != comp[i]
+            if not own[i]:
+                ok &= own[lo:i]
             at = np.flatnonzero(ok) + lo
-            if len(at):
-                d = np.bitwise_count(grid[at] ^ grid[i]).sum(axis=1, dtype=np.int64)
-                hit = linked(d, n[at] + n[i])
-                if leaders:
-                    if hit.any():
-                        j = at[np.where(hit, d, 1 << 60).argmin()]
-                        out.append((int(name[j]), int(name[i])))
-                        done[rows[i]] = True
-                        continue
-                else:
-                    out += [(min(int(name[j]), int(name[i])), max(int(name[j]), int(name[i]))) for j in at[hit]]
-            lead[i] = True
-    return out
+            if not len(at):
+                continue
+            d = np.bitwise_count(grid[at] ^ grid[i]).sum(axis=1, dtype=np.int64)
+            hit = linked(d, n[at] + n[i])
+            if not hit.any():
+                continue
+            at, d = rows[at[hit]], d[hit]
+            if not best:
+                out += [(min(int(ids[j]), int(ids[rows[i]])), max(int(ids[j]), int(ids[rows[i]]))) for j in at]
+                continue
+            closer = d < closest[at]
+            nearest[at[closer]], closest[at[closer]] = rows[i], d[closer]
+            k = d.argmin()
+            if d[k] < closest[rows[i]]:
+                nearest[rows[i]], closest[rows[i]] = at[k], d[k]
+    return out + [(min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))) for i, j in enumerate(nearest) if j >= 0]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
@@ -171,7 +167,7 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tab
         yield pa.concat_tables(held)
 
 
-def _tiles(leaders: bool):
+def _tiles(best: bool):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +177,7 @@ def _tiles(leaders: bool):
             ids = t.column("node").to_numpy()
             if len(ids) < 2:
                 continue
-            pairs = _near(ids, t.column("n").to_numpy(), t.column("bits").to_pylist(), t.column("comp").to_numpy(), leaders)
+            pairs = _near(ids, t.column("n").to_numpy(), t.column("bits").to_pylist(), t.column("comp").to_numpy(), best)
             new = [p for p in pairs if p not in found]
             if len(found) > 200_000:
                 found.clear()
@@ -195,11 +191,11 @@ def _tiles(leaders: bool):
     return run
 
 
-def _candidates(postings: DataFrame, nodes: DataFrame, leaders: bool) -> DataFrame:
+def _candidates(postings: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
     """``postings(key, i, j, node)`` and ``nodes(node, n, bits, comp)`` to distinct pairs ``(a, b)``."""
     rows = postings.join(nodes, "node").select("key", "i", "j", "node", "n", "comp", "bits")
     rows = rows.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(_tiles(leaders), "a long, b long").distinct()
+    return materialize(rows.mapInArrow(_tiles(best), "a long, b long").distinct(), "pairs")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
