@@ -26,10 +26,11 @@ import pyarrow as pa
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K, ALPHA, OFFSET = 2, 1.0, 3.0
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 1_500_000
 _CHUNK = re.compile(r" *[^ \n]+|\n+| +")
 _DENSE = 128
 _U = np.uint64
@@ -298,6 +299,9 @@ def _ids(chunks: Chunks, edges: np.ndarray) -> np.ndarray:
     if not len(bare):
         return ids
     code = chunks.codes[edges[bare] // width]
+    if code.max() < 128:
+        ids[bare] = chunks.lattice.byte_id[code]
+        return ids
     n = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
     reps = np.ones(len(ids), np.int64)
     reps[bare] = n
@@ -372,6 +376,4 @@ def encode(documents: DataFrame, k: int = K, model_path: str = MODEL) -> DataFra
             if texts:
                 yield _encode_rows(lattice, names, texts, k)
 
-    from pyspark.sql import functions as F
-
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -3,18 +3,61 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tactilion.llm import language_id, ngram_join
+from tactilion.llm import chat, decontaminate, fingerprint, language_id, license_scan, ngram_join, piece_sampling, pii, quality, sharding
 from tactilion.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.summarize(chat.with_probe(spark, table(spark, sf_dir, "conversations")))
+
+
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare(table(spark, sf_dir, "documents"))
+
+
+def op5_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of each document: pieces, a hash of the ids, scores and the round trip."""
+    rows = piece_sampling.encode(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "inclusion", "round_trip")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_language_id, op8_ngram_jaccard_join)}
-ORACLE: dict[str, str] = {}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are sources; a source's documents in one language are its paths."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_pii, op3_chat_format, op4_fingerprint, op5_piece_sampling, op6_language_id, op7_sharding, op8_ngram_jaccard_join,
+        op9_decontamination, op10_quality,
+    )
+}
+ORACLE = {"op3_chat_format": chat.ORACLE, "op7_sharding": sharding.oracle()}
