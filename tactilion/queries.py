@@ -2,5 +2,502 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tactilion.functions import braille, ordinals, text
+from tactilion.operators import audit, joins, layout, page, tables, windows
+from tactilion.plans import sinks
+from tactilion.sources import blocks
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- scalar functions -------------------------------------------------------------------------------------------
+
+SPACES = r"[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
+ZERO = r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
+
+
+@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '" + SPACES + "', ' ', 'g'), '" + ZERO + "', '', 'g'), ' +', ' ', 'g'), ' ')) AS text_md5 FROM documents")
+def normalize_spaces(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_spaces(F.col("text"))).alias("text_md5"))
+
+
+@query(r"SELECT doc_id, md5(translate(regexp_replace('‘' || text || '’ it’s', '(\p{L})’(\p{L})', '\1''\2', 'g'), '‘’', '“”')) AS text_md5 FROM documents")
+def exchange_quotes(spark, sf_dir):
+    quoted = F.concat(F.lit("‘"), "text", F.lit("’ it’s"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.exchange_quotes(quoted)).alias("text_md5"))
+
+
+@query("""SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS safe_md5,
+  md5(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')) AS raw_md5 FROM pages""")
+def xml_escape_entity_decode(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.md5(text.xml_escape(F.col("html"))).alias("safe_md5"), F.md5(text.entity_decode(F.col("html"))).alias("raw_md5"))
+
+
+@query(r"""SELECT page_id, CASE WHEN regexp_matches(lower(trim(url)), '^(https?|mailto|ftp):|^[#/.]') THEN trim(url) ELSE '' END AS url,
+  CASE WHEN regexp_matches(n, '^[A-Za-z_]') THEN n ELSE '_' || n END AS name FROM (SELECT *, regexp_replace(url, '[^A-Za-z0-9_.-]', '-', 'g') AS n FROM pages)""")
+def safe_url_name(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", text.safe_url(F.col("url")).alias("url"), text.nc_name(F.col("url")).alias("name"))
+
+
+@query("""WITH w AS (SELECT doc_id, lang, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS words FROM documents)
+SELECT doc_id, lower(string_split(lang || '-GB', '-')[1]) AS lang, CASE WHEN len(words) > 0 THEN
+  len(list_filter(words, lambda x: x IN ('the','of','and','to','in','is','was','for','with','that','it','on','as','by','be','this','are','at','from','an')))::DOUBLE / len(words) ELSE 0 END AS english FROM w""".replace("\\\\", "\\"))
+def primary_lang_english_share(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", text.primary_lang(F.concat("lang", F.lit("-GB"))).alias("lang"), text.english_share(F.col("text")).alias("english"))
+
+
+@query("""WITH n AS (SELECT doc_id, (doc_id % 60)::BIGINT AS i FROM documents)
+SELECT doc_id, '#' || translate(doc_id::VARCHAR, '1234567890', 'ABCDEFGHIJ') AS page, 'P#' || translate(doc_id::VARCHAR, '1234567890', 'ABCDEFGHIJ') AS series,
+  CASE WHEN i < 1 THEN '' ELSE repeat(chr((65 + (i - 1) % 26)::INT), ((i - 1) // 26 + 1)::BIGINT) END AS prefix FROM n""")
+def braille_number(spark, sf_dir):
+    i = F.col("doc_id") % 60
+    return read(spark, sf_dir, "documents").select(
+        "doc_id", ordinals.braille_number(F.col("doc_id")).alias("page"), ordinals.series_page_number(F.lit("p"), F.col("doc_id")).alias("series"), ordinals.continuation_prefix(i).alias("prefix")
+    )
+
+
+@query("""WITH RECURSIVE t(v, s, k) AS (VALUES (1000,'M',1),(900,'CM',2),(500,'D',3),(400,'CD',4),(100,'C',5),(90,'XC',6),(50,'L',7),(40,'XL',8),(10,'X',9),(9,'IX',10),(5,'V',11),(4,'IV',12),(1,'I',13)),
+n AS (SELECT doc_id, (doc_id % 3999 + 1)::BIGINT AS n FROM documents),
+r AS (SELECT doc_id, n, n AS rest, '' AS out, 1 AS k FROM n UNION ALL
+  SELECT r.doc_id, r.n, r.rest % t.v, r.out || repeat(t.s, (r.rest // t.v)::BIGINT), r.k + 1 FROM r JOIN t ON t.k = r.k)
+SELECT doc_id, lower(out) || '.' AS roman, CASE WHEN (((n - 1) // 26) - 1) // 26 - 1 >= 0 AND n > 702 THEN chr((97 + ((((n - 1) // 26) - 1) // 26 - 1) % 26)::INT) ELSE '' END
+  || CASE WHEN n > 26 THEN chr((97 + (((n - 1) // 26) - 1) % 26)::INT) ELSE '' END || chr((97 + (n - 1) % 26)::INT) || '.' AS letter, n::VARCHAR || '.' AS arabic
+FROM r WHERE k = 14""")
+def ordered_markers(spark, sf_dir):
+    n = F.col("doc_id") % 3999 + 1
+    return read(spark, sf_dir, "documents").select("doc_id", *[ordinals.ordered_marker(F.lit(k), n).alias(k) for k in ("roman", "letter", "arabic")])
+
+
+# ---- translation ------------------------------------------------------------------------------------------------
+
+
+def _uncontracted_sql(col: str) -> str:
+    out = f"regexp_replace({col}, '([0-9])([a-j])', '\\1' || chr(1) || '\\2', 'g')"
+    for modifier, pair in braille.ACCENTS.items():
+        for accented, plain in zip(*pair.split(" ")):
+            safe = modifier.replace("^", "\u0003").replace("3", "\u0004") + plain.lower()
+            out = f"replace({out}, '{accented}', '{(chr(2) if plain.isupper() else '') + safe}')"
+    out = f"regexp_replace({out}, '([A-Z])', chr(2) || '\\1', 'g')"
+    out = f"regexp_replace({out}, '([0-9]+)', chr(5) || '\\1', 'g')"
+    out = f"regexp_replace(lower({out}), '[^a-z0-9,.;:?!''/*%&\\] \\n\\x01-\\x05-]', '=', 'g')"
+    src = (braille.PRINT + "\u0001\u0002\u0003\u0004\u0005").replace("'", "''")
+    return f"translate({out}, '{src}', '{(braille.CELLS + ';,^3#').replace(chr(39), chr(39) * 2)}')"
+
+
+_PLAIN = "trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ')"
+UNCONTRACTED = _uncontracted_sql(_PLAIN)
+
+
+def _cells(docs: DataFrame):
+    return docs.select("doc_id", braille.uncontracted(F.btrim(F.regexp_replace("text", r"\s+", " "))).alias("cells"))
+
+
+@query(f"SELECT doc_id, length(cells) AS n_cells, md5(cells) AS cells_md5 FROM (SELECT doc_id, {UNCONTRACTED} AS cells FROM documents)")
+def uncontracted_translate(spark, sf_dir):
+    return _cells(read(spark, sf_dir, "documents")).select("doc_id", F.length("cells").cast("long").alias("n_cells"), F.md5("cells").alias("cells_md5"))
+
+
+@query(f"""SELECT word, count(*) AS n, any_value(translate(upper(regexp_replace(word, '[^a-z]', '=', 'g')), '', '')) AS cells FROM (
+  SELECT unnest(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x))) AS word FROM documents) GROUP BY word""")
+def word_dictionary(spark, sf_dir):
+    """Each distinct word is translated once and joined back to its occurrences."""
+    words = audit.words_of(read(spark, sf_dir, "documents"), [], "text")
+    known = joins.dictionary(words, "word", lambda w: F.upper(F.regexp_replace(w, "[^a-z]", "=")), "cells")
+    return known.groupBy("word", "cells").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, md5(u) AS unicode_md5 FROM (SELECT doc_id, translate(cells, '{braille.ASCII.replace(chr(39), chr(39) * 2)}', '{braille.UNICODE}') AS u FROM (SELECT doc_id, {UNCONTRACTED} AS cells FROM documents))")
+def unicode_braille(spark, sf_dir):
+    cells = _cells(read(spark, sf_dir, "documents"))
+    return cells.select("doc_id", F.md5(F.replace(braille.to_unicode(F.col("cells")), F.lit("\n"), F.lit("\n"))).alias("unicode_md5"))
+
+
+# ---- blocks and layout ------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, ord - 1 AS ord, text, CASE WHEN regexp_matches(text, '^[^a-z]*$') THEN 'heading' ELSE 'para' END AS type FROM (
+  SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) AS text, generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> ''), 1) AS ord FROM documents)""")
+def paragraph_blocks(spark, sf_dir):
+    return blocks.paragraphs(read(spark, sf_dir, "documents"))
+
+
+_WRAP = """list_reduce(list_prepend({{'done': []::VARCHAR[], 'line': '', 'bare': true}}, list_transform(regexp_extract_all({text}, '[^ \\n]{{1,{room}}}'), lambda w: {{'done': []::VARCHAR[], 'line': w, 'bare': false}})),
+  lambda a, w: {{'done': CASE WHEN length({joined}) <= {width} THEN a.done ELSE list_append(a.done, {line}) END,
+    'line': CASE WHEN length({joined}) <= {width} THEN {joined} ELSE '{rest}' || w.line END, 'bare': false}})"""
+
+
+def wrap_sql(text_sql: str, width: int = 38, first: int = 2, runover: int = 0) -> str:
+    """``doc_id, line_no, line`` by a fold over words; the first element of the list is the start state."""
+    line = f"CASE WHEN a.bare THEN '{' ' * first}' ELSE a.line END"
+    joined = f"(CASE WHEN a.bare THEN '{' ' * first}' || w.line ELSE a.line || ' ' || w.line END)"
+    fold = _WRAP.format(text=text_sql, room=width - max(first, runover), joined=joined, line=line, width=width, rest=" " * runover)
+    return f"""SELECT doc_id, (unnest(range(len(l))))::BIGINT AS line_no, unnest(l) AS line FROM (
+  SELECT doc_id, CASE WHEN s.bare THEN []::VARCHAR[] ELSE list_append(s.done, s.line) END AS l FROM (SELECT doc_id, {fold} AS s FROM documents))"""
+
+
+CELL_LINES = wrap_sql(UNCONTRACTED)
+
+
+def _lines(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return layout.lines(_cells(docs), F.col("cells")).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+@query(f"SELECT doc_id, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY line_no)) AS lines_md5 FROM ({CELL_LINES}) GROUP BY doc_id")
+def wrap_lines(spark, sf_dir):
+    wrapped = F.col("l")
+    docs = _cells(read(spark, sf_dir, "documents")).select("doc_id", layout.wrap(F.col("cells")).alias("l"))
+    return docs.filter(F.size("l") > 0).select("doc_id", F.size(wrapped).cast("long").alias("n_lines"), F.md5(F.array_join(wrapped, "\n")).alias("lines_md5"))
+
+
+_HEAD = """rtrim(rpad(CASE WHEN page_no > 1 AND (38 - length(source)) // 2 >= 2 AND (38 - length(source)) // 2 + length(source) + 2 <= 38 - length(num)
+  THEN repeat(' ', ((38 - length(source)) // 2)::BIGINT) || source ELSE '' END, (38 - length(num))::INT, ' ') || num)"""
+_PAGES = f"""WITH lines AS ({CELL_LINES}), body AS (
+  SELECT doc_id, line_no // 26 + 1 AS page_no, string_agg(rtrim(line), chr(13) || chr(10) ORDER BY line_no) AS body FROM lines GROUP BY ALL
+), numbered AS (SELECT b.*, upper(d.source) AS source, '#' || translate(page_no::VARCHAR, '1234567890', 'ABCDEFGHIJ') AS num FROM body b JOIN documents d USING (doc_id)),
+pages AS (SELECT doc_id, page_no, {_HEAD} || chr(13) || chr(10) || body AS page FROM numbered)"""
+
+
+def _pages(spark, sf_dir):
+    """The title of a document is its source; it is carried on the lines, so pages need one shuffle."""
+    docs = read(spark, sf_dir, "documents").withColumn("cells", braille.uncontracted(F.btrim(F.regexp_replace("text", r"\s+", " "))))
+    rows = docs.select("doc_id", F.upper("source").alias("title"), F.posexplode(layout.wrap(F.col("cells"))).alias("line_no", "line"))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: F.rtrim(x["line"]))
+    pages = page.paged(rows).groupBy("doc_id", "page_no").agg(F.first("title").alias("title"), F.array_join(body, "\r\n").alias("body"))
+    head = F.rtrim(page.running_head(F.col("title"), F.col("page_no")))
+    return pages.select("doc_id", "page_no", F.concat(head, F.lit("\r\n"), "body").alias("page"))
+
+
+@query(_PAGES + " SELECT doc_id, count(*) AS n_pages, md5(string_agg(page, chr(12) ORDER BY page_no)) AS brf_md5 FROM pages GROUP BY doc_id")
+def page_count(spark, sf_dir):
+    return page.brf(_pages(spark, sf_dir)).select("doc_id", "n_pages", F.md5("brf").alias("brf_md5"))
+
+
+@query(_PAGES + " SELECT doc_id, page_no, string_split(page, chr(13) || chr(10))[1] AS head FROM pages")
+def running_head(spark, sf_dir):
+    return _pages(spark, sf_dir).select("doc_id", "page_no", F.split("page", "\r\n")[0].alias("head"))
+
+
+@query(_PAGES + """ SELECT doc_id, page_no, (row_number() OVER (PARTITION BY doc_id, page_no ORDER BY 1) - 1)::BIGINT AS n_lines FROM pages WHERE false
+UNION ALL SELECT doc_id, page_no, len(string_split(page, chr(13) || chr(10)))::BIGINT FROM pages""")
+def brf_round_trip(spark, sf_dir):
+    lines = page.read_brf(page.brf(_pages(spark, sf_dir)))
+    return lines.groupBy("doc_id", F.col("page_no").cast("long").alias("page_no")).agg(F.count("*").alias("n_lines"))
+
+
+@query(_PAGES + """ SELECT doc_id, page_no, (page_no - 1) // 5 + 1 AS volume, ceil(max(page_no) OVER (PARTITION BY doc_id) / 5)::BIGINT AS "of", (page_no - 1) % 5 + 1 AS volume_page FROM pages""")
+def volumes(spark, sf_dir):
+    return page.volumes(_pages(spark, sf_dir).select("doc_id", "page_no"), 5)
+
+
+@query(_PAGES + """, brf AS (SELECT doc_id, string_agg(page, chr(12) ORDER BY page_no) AS brf FROM pages GROUP BY doc_id)
+SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN chr(27) || 'D' WHEN doc_id % 3 = 1 THEN chr(27) || chr(27) ELSE '' END
+  || replace(regexp_replace(upper(brf), '[^\\x20-\\x5F\\r\\n\\f]', ' ', 'g'), chr(12), chr(13) || chr(10) || chr(12)) || chr(13) || chr(10) || chr(12)) AS stream_md5 FROM brf""")
+def embosser_stream(spark, sf_dir):
+    model = F.element_at(F.array(F.lit("index"), F.lit("viewplus"), F.lit("generic")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return page.brf(_pages(spark, sf_dir)).select("doc_id", F.md5(page.embosser(F.col("brf"), model)).alias("stream_md5"))
+
+
+@query(_PAGES + f""", rows AS (SELECT doc_id, page_no, unnest(string_split(page, chr(13) || chr(10))) AS line, generate_subscripts(string_split(page, chr(13) || chr(10)), 1) AS n FROM pages)
+SELECT doc_id, count(DISTINCT page_no) AS n_pages, md5(string_agg('<row>' || translate(line, '{braille.ASCII.replace(chr(39), chr(39) * 2)}', '{braille.UNICODE}') || '</row>', '' ORDER BY page_no, n)) AS rows_md5 FROM rows GROUP BY doc_id""")
+def pef_rows(spark, sf_dir):
+    return sinks.pef_rows(_pages(spark, sf_dir)).groupBy("doc_id").agg(
+        F.countDistinct("page_no").alias("n_pages"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "n", "row"))), lambda x: x["row"]), "")).alias("rows_md5"),
+    )
+
+
+@query("""SELECT n, name, (CASE name WHEN 'list' THEN 0 ELSE n * 2 END)::BIGINT AS first, (n * 2 + 2)::BIGINT AS runover FROM (SELECT o_orderkey, count(*) AS c FROM orders GROUP BY 1 LIMIT 0) x, (SELECT 1 AS n, 'a' AS name) y WHERE false
+UNION ALL SELECT levels, 'bana' || level, (2 * (level - 1))::BIGINT, (2 * levels)::BIGINT FROM (SELECT DISTINCT l_linenumber AS levels FROM lineitem) a, (SELECT DISTINCT l_linenumber AS level FROM lineitem) b WHERE level <= levels
+UNION ALL SELECT levels, 'ukaaf' || level, (CASE WHEN levels = 1 THEN 0 ELSE 2 * (level - 1) END)::BIGINT, (CASE WHEN levels = 1 THEN 2 ELSE 2 * level + 2 END)::BIGINT FROM (SELECT DISTINCT l_linenumber AS levels FROM lineitem) a, (SELECT DISTINCT l_linenumber AS level FROM lineitem) b WHERE level <= levels""")
+def list_margins(spark, sf_dir):
+    levels = read(spark, sf_dir, "lineitem").select("l_linenumber").distinct()
+    pairs = levels.select(F.col("l_linenumber").alias("n"), F.explode(F.sequence(F.lit(1), "l_linenumber")).alias("level"))
+    pairs = pairs.join(levels, pairs.level == levels.l_linenumber, "left_semi")
+    out = None
+    for standard in ("bana", "ukaaf"):
+        first, runover = layout.list_margins(F.col("n"), F.col("level"), standard)
+        part = pairs.select("n", F.concat(F.lit(standard), F.col("level").cast("string")).alias("name"), first.cast("long").alias("first"), runover.cast("long").alias("runover"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("""SELECT o_custkey, o_orderkey, kind, CASE WHEN before IS NULL THEN false ELSE NOT ((before = kind AND kind IN (1, 2)) OR (before = 2 AND kind = 3)) END AS blank_before FROM (
+  SELECT *, lag(kind) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM (SELECT o_custkey, o_orderkey, o_orderkey % 3 + 1 AS kind FROM orders))""")
+def heading_blank_lines(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 3 + 1).alias("kind"))
+    return layout.blank_before(rows, "o_custkey", "o_orderkey", "kind")
+
+
+@query("""SELECT p_partkey, p_name || ' ' || repeat('"', greatest(38 - length(p_name) - length(num) - 2, 0)::BIGINT) || ' ' || num AS line FROM (SELECT *, '#' || translate(p_partkey::VARCHAR, '1234567890', 'ABCDEFGHIJ') AS num FROM part)""")
+def contents_dot_leaders(spark, sf_dir):
+    entry = layout.contents_entry(F.col("p_name"), ordinals.braille_number(F.col("p_partkey")))
+    return read(spark, sf_dir, "part").select("p_partkey", entry.alias("line"))
+
+
+@query("""SELECT page_no, min(p_name) || ' - ' || max(p_name) AS guide, count(*) AS n FROM (SELECT p_name, (row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) - 1) // 20 AS page_no, p_brand FROM part) GROUP BY page_no, p_brand""")
+def guide_words(spark, sf_dir):
+    w = Window.partitionBy("p_brand").orderBy("p_name", "p_partkey")
+    rows = read(spark, sf_dir, "part").withColumn("page_no", F.floor((F.row_number().over(w) - 1) / 20).cast("long"))
+    return rows.groupBy("p_brand", "page_no").agg(F.concat(F.min("p_name"), F.lit(" - "), F.max("p_name")).alias("guide"), F.count("*").alias("n")).drop("p_brand")
+
+
+@query("""SELECT conv_id, turn, print_page, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) - 1 AS continuation FROM (
+  SELECT *, last_value(mark IGNORE NULLS) OVER w AS print_page, count(mark) OVER w AS run FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN turn END AS mark FROM conversations)
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))""")
+def print_page_in_force(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("turn")).alias("mark"))
+    return page.print_page_in_force(rows, "conv_id", "turn", "mark").drop("mark")
+
+
+# ---- tables -----------------------------------------------------------------------------------------------------
+
+_NATION = """cells AS (SELECT n_regionkey AS table_id, n_nationkey AS row, unnest(range(3)) AS col, unnest([n_name, n_nationkey::VARCHAR, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE 'Y' || n_nationkey END]) AS text FROM nation)"""
+
+
+def _nation_cells(spark, sf_dir):
+    rows = read(spark, sf_dir, "nation").withColumn("note", F.when(F.col("n_nationkey") % 4 == 0, "").otherwise(F.concat(F.lit("Y"), F.col("n_nationkey").cast("string"))))
+    cells = tables.cells_of(rows, F.col("n_regionkey"), F.col("n_nationkey"), ["n_name", "n_nationkey", "note"])
+    return cells.withColumn("col", F.col("col").cast("long"))
+
+
+@query(f"""WITH {_NATION}, w AS (SELECT table_id, col, max(length(text)) AS width FROM cells GROUP BY ALL)
+SELECT table_id, row, string_agg(CASE WHEN col = 2 THEN text ELSE (CASE WHEN length(text) = 0 THEN repeat('"', width) WHEN length(text) >= width - 1 THEN rpad(text, width::INT, ' ')
+  ELSE text || ' ' || repeat('"', (width - length(text) - 1)) END) || '  ' END, '' ORDER BY col) AS line FROM cells JOIN w USING (table_id, col) GROUP BY ALL""")
+def table_columnar(spark, sf_dir):
+    return tables.columnar(_nation_cells(spark, sf_dir))
+
+
+@query(f"""WITH {_NATION} SELECT table_id, row, col, ['NATION', 'KEY', 'NOTE'][col + 1] || ': ' || CASE WHEN text = '' THEN '\"\"\"' ELSE text END AS line FROM cells""")
+def table_listed(spark, sf_dir):
+    return tables.listed(_nation_cells(spark, sf_dir).withColumn("col", F.col("col").cast("int")), ["Nation", "Key", "Note"]).withColumn("col", F.col("col").cast("long"))
+
+
+@query(f"""WITH {_NATION} SELECT table_id, row, max(text) FILTER (WHERE col = 0) || ': ' || string_agg(text, '; ' ORDER BY col) FILTER (WHERE col > 0) AS line FROM cells GROUP BY ALL""")
+def table_linear(spark, sf_dir):
+    return tables.linear(_nation_cells(spark, sf_dir))
+
+
+@query(f"""WITH {_NATION} SELECT table_id, row, col, repeat(' ', col * 2) || CASE WHEN text = '' THEN '\"\"\"' ELSE text END AS line FROM cells""")
+def table_stairstep(spark, sf_dir):
+    return tables.stairstep(_nation_cells(spark, sf_dir).withColumn("col", F.col("col").cast("int"))).withColumn("col", F.col("col").cast("long"))
+
+
+@query(f"""WITH {_NATION} SELECT table_id, col AS row, row_number() OVER (PARTITION BY table_id, col ORDER BY row) - 1 AS col, text FROM cells""")
+def table_interchanged(spark, sf_dir):
+    return tables.interchanged(_nation_cells(spark, sf_dir))
+
+
+@query(f"""WITH {_NATION}, w AS (SELECT table_id, col, max(length(text)) AS width FROM cells GROUP BY ALL), h AS (SELECT table_id, width AS head FROM w WHERE col = 0)
+SELECT table_id, col, width, ceil(sum(width + 2) OVER (PARTITION BY table_id ORDER BY col) / greatest(18 - head, 1))::BIGINT AS part FROM w JOIN h USING (table_id) WHERE col > 0""")
+def table_vertical(spark, sf_dir):
+    return tables.vertical_parts(_nation_cells(spark, sf_dir), 18).withColumn("width", F.col("width").cast("long"))
+
+
+@query("""WITH c AS (SELECT n_regionkey, coalesce(n_name, '') AS t FROM nation UNION ALL SELECT n_regionkey, CASE WHEN n_nationkey % 2 = 0 THEN 'Name:' ELSE '' END FROM nation)
+, t AS (SELECT n_regionkey, (count(*) // 2) AS rows, 2 AS cols, count(*) FILTER (WHERE t <> '') AS filled, count(*) FILTER (WHERE length(t) <= 60 AND regexp_matches(t, '[:?]$')) AS labels,
+  count(*) FILTER (WHERE t <> '' AND length(t) <= 40) AS short, count(*) FILTER (WHERE length(t) > 250) AS prose, n_regionkey = 1 AS has_header, CASE WHEN n_regionkey = 2 THEN 'presentation' ELSE '' END AS role FROM c GROUP BY n_regionkey)
+SELECT n_regionkey, CASE WHEN role = 'presentation' THEN 'layout' WHEN has_header THEN 'data' WHEN rows <= 1 OR cols <= 1 THEN 'layout' WHEN prose > 0 THEN 'layout' WHEN filled * 2 < rows * cols THEN 'layout'
+  WHEN labels * 2 >= rows THEN 'layout' ELSE 'data' END AS kind FROM t""")
+def table_kind(spark, sf_dir):
+    nation = read(spark, sf_dir, "nation")
+    cells = nation.select("n_regionkey", F.explode(F.array("n_name", F.when(F.col("n_nationkey") % 2 == 0, "Name:").otherwise(""))).alias("t"))
+    tests = tables.cell_tests(F.col("t"))
+    shape = cells.groupBy("n_regionkey").agg(
+        F.floor(F.count("*") / 2).alias("rows"), F.lit(2).alias("cols"), F.count_if(~tests["blank"]).alias("filled"), F.count_if(tests["label"]).alias("labels"),
+        F.count_if(tests["short"]).alias("short"), F.count_if(tests["prose"]).alias("prose"),
+    )
+    shape = shape.withColumn("has_header", F.col("n_regionkey") == 1).withColumn("role", F.when(F.col("n_regionkey") == 2, "presentation").otherwise(""))
+    return tables.classify(shape).select("n_regionkey", "kind")
+
+
+# ---- joins, windows, sets ---------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def note_semi(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels").filter("quality = 1"), "doc_id", "left_semi")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def note_anti(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+_RUNS = "runs AS (SELECT user_id, event_id AS s, event_id + 400 AS e, event_type AS style FROM events WHERE event_type = 'signup')"
+
+
+@query(f"WITH {_RUNS} SELECT p.event_id, r.s, r.style FROM events p JOIN runs r ON p.user_id = r.user_id AND p.event_id >= r.s AND p.event_id < r.e")
+def interval_join(spark, sf_dir):
+    events = read(spark, sf_dir, "events")
+    runs = events.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("s"), (F.col("event_id") + 400).alias("e"), F.col("event_type").alias("style"))
+    return joins.in_interval(events.select("user_id", "event_id"), runs, "user_id", "event_id", "s", "e", 512).select("event_id", "s", "style")
+
+
+@query(f"WITH {_RUNS} SELECT p.event_id, max(r.s) AS run FROM events p LEFT JOIN runs r ON p.user_id = r.user_id AND r.s <= p.event_id GROUP BY 1")
+def asof_join(spark, sf_dir):
+    events = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    runs = events.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("start"), F.col("event_id").alias("run"))
+    return joins.as_of(events.select("user_id", "event_id"), runs, "user_id", "event_id", "start", "run").select("event_id", "run")
+
+
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS child, n_nationkey // 2 AS parent FROM nation WHERE n_nationkey > 0), up AS (
+  SELECT child AS node, parent AS ancestor, 1 AS steps FROM e UNION ALL SELECT up.node, e.parent, up.steps + 1 FROM up JOIN e ON up.ancestor = e.child WHERE up.steps < 50)
+SELECT node, ancestor, min(steps) AS steps FROM up GROUP BY ALL""")
+def recursive_closure(spark, sf_dir):
+    edges = read(spark, sf_dir, "nation").filter("n_nationkey > 0").select(F.col("n_nationkey").alias("child"), F.floor(F.col("n_nationkey") / 2).cast("int").alias("parent"))
+    return joins.closure(spark, edges)
+
+
+@query("SELECT a.s_suppkey AS a, b.p_partkey AS b FROM supplier a, part b WHERE pow(a.s_acctbal - (b.p_partkey * 7 % 9000), 2) + pow(a.s_suppkey - b.p_size, 2) < 900")
+def near_shapes(spark, sf_dir):
+    left = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x"), F.col("s_suppkey").cast("double").alias("y"))
+    right = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 7 % 9000).cast("double").alias("x"), F.col("p_size").cast("double").alias("y"))
+    return joins.closer_than(left, right, "x", "y", 30.0).select(F.col("id").alias("a"), F.col("r_id").alias("b"))
+
+
+_ITEMS = "items AS (SELECT o_custkey AS list_id, o_orderkey AS ord, length(o_orderpriority) % 3 AS level FROM orders)"
+
+
+def _items(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("list_id"), F.col("o_orderkey").alias("ord"), (F.length("o_orderpriority") % 3).cast("long").alias("level"))
+
+
+@query(f"""WITH {_ITEMS}, g AS (SELECT a.list_id, a.ord, a.level, (SELECT count(*) FROM items b WHERE b.list_id = a.list_id AND b.ord <= a.ord AND b.level < a.level) AS g FROM items a)
+SELECT list_id, ord, level, row_number() OVER (PARTITION BY list_id, level, g ORDER BY ord) AS number FROM g""")
+def list_counters(spark, sf_dir):
+    return windows.list_counters(_items(spark, sf_dir), "list_id", "ord", "level")
+
+
+@query(f"WITH {_ITEMS} SELECT a.list_id, a.ord, a.level, (SELECT max(b.ord) FROM items b WHERE b.list_id = a.list_id AND b.ord < a.ord AND b.level < a.level) AS parent FROM items a")
+def level_tree(spark, sf_dir):
+    return windows.level_tree(_items(spark, sf_dir), "list_id", "ord", "level")
+
+
+@query("""SELECT conv_id, role, min(turn) AS first, max(turn) AS last, count(*) AS n FROM (SELECT *, sum(s) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (
+  SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS s FROM conversations)) GROUP BY conv_id, run, role""")
+def island_merge(spark, sf_dir):
+    return windows.islands(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", "role")
+
+
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS key, count(*) AS copies FROM documents GROUP BY sha256(text)")
+def dedupe_by_key(spark, sf_dir):
+    return read(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+# ---- audits -----------------------------------------------------------------------------------------------------
+
+_W = r"unnest(list_transform(regexp_extract_all({c}, '[\p{{L}}\p{{N}}]+'), lambda x: lower(x)))"
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT " + _W.format(c="text") + " AS word FROM documents) GROUP BY word")
+def word_frequency(spark, sf_dir):
+    return audit.word_frequency(read(spark, sf_dir, "documents"))
+
+
+@query("SELECT " + "doc_id, count(*) AS n_words, count(DISTINCT word) AS n_distinct FROM (SELECT doc_id, " + _W.format(c="text") + " AS word FROM documents) GROUP BY doc_id")
+def distinct_words(spark, sf_dir):
+    words = F.transform(text.word_list(F.col("text")), F.lower)
+    docs = read(spark, sf_dir, "documents").select("doc_id", words.alias("w")).filter(F.size("w") > 0)
+    return docs.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
+
+
+@query("WITH t AS (SELECT conv_id, turn, " + _W.format(c="text") + " AS word FROM conversations), s AS (SELECT conv_id, word, count(*) AS need FROM t WHERE turn = 0 GROUP BY ALL), m AS (SELECT conv_id, word, count(*) AS have FROM t WHERE turn = 1 GROUP BY ALL) SELECT conv_id, word, need - coalesce(have, 0) AS missing FROM s LEFT JOIN m USING (conv_id, word) WHERE need > coalesce(have, 0)")
+def missing_words(spark, sf_dir):
+    words = audit.words_of(read(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
+    return audit.missing_words(words.filter("turn = 0"), words.filter("turn = 1"), ["conv_id"])
+
+
+_OVERLAP = "t AS (SELECT DISTINCT conv_id, turn, " + _W.format(c="text") + """ AS word FROM conversations WHERE turn < 2), o AS (SELECT conv_id, count(*) FILTER (WHERE a) AS left_words, count(*) FILTER (WHERE b) AS right_words, count(*) FILTER (WHERE a AND b) AS shared
+  FROM (SELECT conv_id, word, bool_or(turn = 0) AS a, bool_or(turn = 1) AS b FROM t GROUP BY ALL) GROUP BY conv_id)"""
+
+
+def _overlap(spark, sf_dir):
+    words = audit.words_of(read(spark, sf_dir, "conversations").filter("turn < 2"), ["conv_id", "turn"], "text")
+    return audit.overlap(words.filter("turn = 0"), words.filter("turn = 1"), "conv_id")
+
+
+@query(f"WITH {_OVERLAP} SELECT * FROM o")
+def word_overlap(spark, sf_dir):
+    return _overlap(spark, sf_dir)
+
+
+@query(f"WITH {_OVERLAP} SELECT * FROM (SELECT conv_id % 4 AS grp, conv_id, shared / left_words AS score, row_number() OVER (PARTITION BY conv_id % 4 ORDER BY shared / left_words, conv_id) AS rank FROM o WHERE left_words > 0) WHERE rank <= 5")
+def worst_n_similarity(spark, sf_dir):
+    rows = _overlap(spark, sf_dir).filter("left_words > 0").select((F.col("conv_id") % 4).alias("grp"), "conv_id", (F.col("shared") / F.col("left_words")).alias("score"))
+    return audit.worst(rows, "grp", "score", "conv_id", 5)
+
+
+@query("""SELECT lang, source, feature, sum(n) AS n FROM (SELECT lang, source, 'chars' AS feature, length(text) AS n FROM documents UNION ALL SELECT lang, source, 'lines', length(text) - length(replace(text, chr(10), '')) + 1 FROM documents)
+GROUP BY GROUPING SETS ((lang, source, feature), (source, feature), (feature))""")
+def fidelity_grouping_sets(spark, sf_dir):
+    counts = read(spark, sf_dir, "documents").select("lang", "source", F.length("text").cast("long").alias("chars"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("lines"))
+    return audit.fidelity(counts, ["lang", "source"], ["chars", "lines"])
+
+
+@query("SELECT doc_id, strlen(text) AS bytes, len(string_split(text, chr(10))) AS blocks, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) AS non_blank, sha256(text) AS sha256 FROM documents")
+def corpus_audit(spark, sf_dir):
+    parts = F.split("text", "\n", -1)
+    return read(spark, sf_dir, "documents").select(
+        "doc_id", F.octet_length("text").cast("long").alias("bytes"), F.size(parts).cast("long").alias("blocks"),
+        F.size(F.filter(parts, lambda x: F.btrim(x, F.lit(" ")) != "")).cast("long").alias("non_blank"), F.sha2("text", 256).alias("sha256"),
+    )
+
+
+@query("""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
+g AS (SELECT doc_id, n // 5 + 1 AS page_no, list(line ORDER BY n) AS l, max(CASE WHEN trim(line, ' ') <> '' THEN n % 5 + 1 END) AS last, count(*) AS c, min_by(line, n) AS first_line FROM p GROUP BY ALL)
+SELECT doc_id, page_no, c - coalesce(last, 0) AS blanks, CASE WHEN nxt IS NULL THEN 'end' WHEN regexp_matches(nxt, '^ {6,}') THEN 'heading' WHEN regexp_matches(nxt, '^ ') THEN 'paragraph' ELSE 'other' END AS cause
+FROM (SELECT *, lead(first_line) OVER (PARTITION BY doc_id ORDER BY page_no) AS nxt FROM g)""")
+def page_end_blanks(spark, sf_dir):
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("l"))
+    n = F.ceil(F.size("l") / 5).cast("int")
+    pages = lines.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.cast("long").alias("page_no"), F.slice("l", (i - 1) * 5 + 1, F.lit(5)).alias("lines")))).alias("p"))
+    return audit.page_end_blanks(pages.select("doc_id", "p.page_no", "p.lines"))
+
+
+@query("SELECT window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, * FROM events) GROUP BY ALL")
+def tumbling_events(spark, sf_dir):
+    """An extension: the batch form of the streaming smoke test."""
+    rows = read(spark, sf_dir, "events").groupBy(F.window("ts", "10 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    return rows.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
+
+
+@query()
+def html_blocks(spark, sf_dir):
+    """Blocks of every page, with type, level and text."""
+    return blocks.html(read(spark, sf_dir, "pages"))
+
+
+@query()
+def contracted_translate(spark, sf_dir):
+    """Contracted words by the rule transducer, once for each distinct word, with what back-translation gives."""
+    from tactilion.operators import contractions
+
+    words = audit.word_frequency(read(spark, sf_dir, "documents"))
+    return contractions.translate(words)
+
+
+@query()
+def sign_counts(spark, sf_dir):
+    """How often each contraction is used, weighted by word frequency; unused ones with 0, in catalogue order."""
+    from tactilion.operators import contractions
+
+    return contractions.sign_counts(contractions.translate(audit.word_frequency(read(spark, sf_dir, "documents"))))
