@@ -39,7 +39,7 @@ KEYS = 24
 #: Rows of a block of a posting list, and pairs verified against one leading document in a task.
 BLOCK, FAN = 4096, 256
 MIN_BITS, MAX_BITS = 64, 1 << 17
-WORD_CACHE = 600_000
+WORD_CACHE = 150_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -179,7 +179,7 @@ def _tiles(best: bool):
                 continue
             pairs = _near(ids, t.column("n").to_numpy(), t.column("bits").to_pylist(), t.column("comp").to_numpy(), best)
             new = [p for p in pairs if p not in found]
-            if len(found) > 200_000:
+            if len(found) > 50_000:
                 found.clear()
             found.update(new)
             out += new
