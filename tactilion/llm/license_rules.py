@@ -38,7 +38,7 @@ _RULES = r"""
 1 bsd redistribution redistribution and use in source and binary forms with or without modification are permitted
 1 bsd-3-clause endorse neither the name of( [^ ]+){1,12} may be used to endorse or promote products
 1 unlicense unencumbered this is free and unencumbered software released into the public domain
-1 boost boost permission is hereby granted free of charge to any person or organization obtaining a copy of the software
+1 boost permission permission is hereby granted free of charge to any person or organization obtaining a copy of the software
 1 zlib misrepresented the origin of this software must not be misrepresented
 1 wtfpl fuck you just do what the fuck you want to
 2 gpl-3.0 gnu gnu general public license( as published by the free software foundation)?( either)?( version| v) ?3( 0)?
@@ -79,7 +79,7 @@ _RULES = r"""
 2 cddl-1.0 distribution common development and distribution license( version)? 1 0
 2 cddl-1.1 distribution common development and distribution license( version)? 1 1
 2 cpl-1.0 common common public license( version)? 1 0
-2 bsd-2-clause bsd (bsd 2 clause|2 clause bsd|simplified bsd|freebsd)( license)?
+2 bsd-2-clause bsd (bsd 2 clause|2 clause bsd|simplified bsd)( license)?
 2 bsd-3-clause bsd (bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)( license)?
 2 bsd-4-clause bsd (bsd 4 clause|4 clause bsd|original bsd|old bsd)( license)?
 2 0bsd bsd (zero clause bsd|bsd zero clause|0 clause bsd)( license)?
@@ -146,7 +146,7 @@ _RULES = r"""
 2 polyform-sb-1.0 polyform polyform small business license( 1 0 0)?
 2 ofl-1.1 sil sil open font license( version)? 1 1
 2 ofl-1.0 sil sil open font license( version)? 1 0
-2 python-2.0 python (python software foundation|psf) license( version)? 2
+2 python-2.0 python python software foundation license( version)? 2
 2 php-3.01 php php license( version)? 3 01
 2 php-3.0 php php license( version)? 3 0
 2 zpl-2.1 zope zope public license( version)? 2 1
@@ -162,7 +162,7 @@ _RULES = r"""
 2 upl-1.0 universal universal permissive license( v)? ?1 0
 2 openrail-m openrail openrail m
 2 llama llama llama [0-9]( [0-9])? community license
-2 rail rail (bigscience )?(rail|responsible ai) license
+2 rail rail (bigscience )?(open )?rail( m)? license
 3 gpl gnu gnu general public licen[cs]e
 3 gpl gnu gnu gpl
 3 gpl gpl (licensed|released|distributed|available) under( the)? gpl
