@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K, ALPHA, OFFSET = 2, 1.0, 3.0
-BATCH_CHARS = 1_500_000
+BATCH_CHARS = 3_000_000
 _CHUNK = re.compile(r" *[^ \n]+|\n+| +")
 _DENSE = 128
 _U = np.uint64
@@ -115,7 +115,7 @@ class Chunks:
         cls = lattice.classes[self.codes]
         self.piece = np.full((n, width), -1, np.int32)
         weight = np.full((n, width), -np.inf, np.float32)
-        alive, state = np.arange(n), np.zeros(n, np.int32)
+        alive, state, used = np.arange(n), np.zeros(n, np.int32), 1
         for l in range(width):
             keep = remaining[alive] > l
             alive, state = alive[keep], state[keep]
@@ -126,8 +126,11 @@ class Chunks:
                 break
             got = lattice.ids[state]
             has = got >= 0
+            used = l + 1 if has.any() else used
             self.piece[alive[has], l] = got[has]
             weight[alive[has], l] = lattice.weight[got[has]]
+        # no piece of these chunks is longer: shorter rows from here on
+        width, self.piece, weight = used, np.ascontiguousarray(self.piece[:, :used]), np.ascontiguousarray(weight[:, :used])
         bare = np.flatnonzero(self.piece[:, 0] < 0)
         code = self.codes[bare]
         weight[bare, 0] = lattice.byte_weight * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
