@@ -96,11 +96,6 @@ class Lattice:
         return Chunks(self, chunks)
 
 
-def _logaddexp(grid: np.ndarray) -> np.ndarray:
-    top = grid.max(axis=1)
-    return top + np.log(np.exp(grid - top[:, None]).sum(axis=1))
-
-
 class Chunks:
     """Lattices of distinct chunks, side by side: nodes are character positions."""
 
@@ -110,13 +105,11 @@ class Chunks:
         self.end = np.cumsum(sizes)
         self.start = self.end - sizes
         self.codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        n, width = len(self.codes), lattice.longest
+        n = len(self.codes)
         remaining = np.repeat(self.end, sizes) - np.arange(n)
         cls = lattice.classes[self.codes]
-        self.piece = np.full((n, width), -1, np.int32)
-        weight = np.full((n, width), -np.inf, np.float32)
-        alive, state, used = np.arange(n), np.zeros(n, np.int32), 1
-        for l in range(width):
+        alive, state, found = np.arange(n), np.zeros(n, np.int32), []
+        for l in range(lattice.longest):
             keep = remaining[alive] > l
             alive, state = alive[keep], state[keep]
             state = lattice._step(state, cls[alive + l])
@@ -126,64 +119,88 @@ class Chunks:
                 break
             got = lattice.ids[state]
             has = got >= 0
-            used = l + 1 if has.any() else used
-            self.piece[alive[has], l] = got[has]
-            weight[alive[has], l] = lattice.weight[got[has]]
-        # no piece of these chunks is longer: shorter rows from here on
-        width, self.piece, weight = used, np.ascontiguousarray(self.piece[:, :used]), np.ascontiguousarray(weight[:, :used])
+            found.append((alive[has], got[has]))
+        # rows are as wide as the longest piece of these chunks
+        width = max((l + 1 for l, (at, _) in enumerate(found) if len(at)), default=1)
+        self.piece = np.full((n, width), -1, np.int32)
+        weight = np.full((n, width), -np.inf, np.float32)
+        for l, (at, got) in enumerate(found[:width]):
+            self.piece[at, l] = got
+            weight[at, l] = lattice.weight[got]
+        del found
         bare = np.flatnonzero(self.piece[:, 0] < 0)
         code = self.codes[bare]
         weight[bare, 0] = lattice.byte_weight * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
         beta = np.zeros(n + width + 1)
-        order = np.argsort(remaining, kind="stable")
-        cuts = np.searchsorted(remaining[order], np.arange(1, (remaining.max() if n else 0) + 2))
-        reach = np.arange(width)
-        logs = weight
+        # few values: a short type sorts in linear time
+        order = np.argsort(remaining.astype(np.uint16) if n and remaining.max() < 1 << 16 else remaining, kind="stable")
+        cuts = np.searchsorted(remaining, np.arange(1, (remaining.max() if n else 0) + 2), sorter=order)
+        reach = np.arange(1, width + 1)
+        self.log = logs = weight
+        # cumulative probabilities but for the last, which is 1; whole words of eight columns, so that hits are counted in one step
+        self.cum = np.ones((n, -(-max(1, width - 1) // 8) * 8), np.float32)
         for r in range(1, len(cuts)):
             at = order[cuts[r - 1] : cuts[r]]
             if not len(at):
                 continue
             m = min(r, width)
-            after = beta[at[:, None] + reach[None, :m] + 1]
+            # rows are lengths here, so that sums and maxima run over long rows
+            grid = beta[at + reach[:m, None]]
             if m == r:
-                after[:, -1] = 0.0  # the chunk's end; the next position belongs to another chunk
-            grid = weight[at, :m] + after
-            beta[at] = total = _logaddexp(grid)
-            logs[at, :m] = grid - total[:, None]
-        self.log = logs
-        self.cum = np.cumsum(np.exp(logs), axis=1, dtype=np.float32)
-        self.cum /= np.maximum(self.cum[:, -1:], 1e-30)
+                grid[-1] = 0.0  # the chunk's end; the next position belongs to another chunk
+            grid += weight[at, :m].T
+            top = grid.max(axis=0)
+            grid -= top
+            share = np.exp(grid)
+            total = share.sum(axis=0)
+            spare = np.log(total)
+            beta[at] = top + spare
+            logs[at, :m] = (grid - spare).T
+            if m > 1:
+                np.cumsum(share, axis=0, out=share)
+                share /= share[-1]
+                self.cum[at, : m - 1] = share[:-1].T
+
+
+def _place(seed: np.ndarray, a: np.ndarray | int) -> np.ndarray:
+    return seed + np.asarray(a).astype(_U) * _U(0x9E3779B97F4A7C15)
+
+
+def _uniform_at(base: np.ndarray, b: int, c: int) -> np.ndarray:
+    x = base + _U((b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9) & 0xFFFFFFFFFFFFFFFF)
+    x ^= x >> _U(30)
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return ((x >> _U(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
 def _uniform(seed: np.ndarray, a: np.ndarray | int, b: int, c: int) -> np.ndarray:
     """Numbers in (0, 1) that depend on the row's seed, a place, a step and a sample's number."""
     with np.errstate(over="ignore"):
-        x = seed + np.asarray(a).astype(_U) * _U(0x9E3779B97F4A7C15) + _U((b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-        x ^= x >> _U(31)
-    return ((x >> _U(11)).astype(np.float64) + 0.5) / (1 << 53)
+        return _uniform_at(_place(seed, a), b, c)
 
 
 def _draw(chunks: Chunks, which: np.ndarray, seed: np.ndarray, place: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One segmentation of each chunk occurrence: edges in a row (node * width + length - 1), counts, log probabilities."""
     width = chunks.piece.shape[1]
     n = len(which)
-    at, end = chunks.start[which], chunks.end[which]
     logp, counts = np.zeros(n), np.zeros(n, np.int64)
-    live, steps = np.arange(n), []
+    log, live, row, end, steps = chunks.log.ravel(), np.arange(n), chunks.start[which], chunks.end[which], []
+    with np.errstate(over="ignore"):
+        base = _place(seed, place)
     while len(live):
-        u = _uniform(seed[live], place[live], len(steps) + 1, number)
-        row = at[live]
-        l = np.minimum((chunks.cum[row] < u[:, None]).sum(axis=1), width - 1)
-        bad = ~np.isfinite(chunks.log[row, l])
-        if bad.any():  # a number beyond the rounded total: the last edge
-            l[bad] = width - 1 - np.isfinite(chunks.log[row[bad]])[:, ::-1].argmax(axis=1)
-        logp[live] += chunks.log[row, l]
+        u = _uniform_at(base, len(steps) + 1, number).astype(np.float32)
+        # the number of edges below u: a float32 of 1 is not below the last column's 1
+        below = np.bitwise_count((np.take(chunks.cum, row, axis=0) < u[:, None]).view(np.uint64))
+        edge = row * width + (below[:, 0] if below.shape[1] == 1 else below.sum(axis=1, dtype=np.int64))
+        logp[live] += log[edge]
         counts[live] += 1
-        steps.append((live, row * width + l))
-        at[live] = row + l + 1
-        live = live[at[live] < end[live]]
+        steps.append((live, edge))
+        row = edge // width + edge % width + 1
+        on = np.flatnonzero(row < end)
+        live, row, end, base = live[on], row[on], end[on], base[on]
     offset = np.cumsum(counts) - counts
     edges = np.empty(int(counts.sum()), np.int64)
     for s, (who, e) in enumerate(steps):
