@@ -15,9 +15,11 @@ copies never become pairs.
   the size band (0.75 to 1/0.75), this removes pairs before any set is read.
 * **Verification.** Surviving pairs go to an exact sorted-array intersection, one leading document at a
   time in memory.
-* **Large groups.** A first pass gives each document of a tile its closest partner only; components of
-  those links are then known, and the second pass gives just pairs of different components. Links inside
-  a component need not be enumerated, as only components are asked for.
+* **Large groups.** Only components are asked for, so links inside a known component need not be found. Three passes
+  run over the tiles, each on pairs of different components so far: first a document names its closest
+  partner, and the closest of those sorted before it, in the tile of its smallest shared hash alone; then
+  each component of a tile but the largest names its closest pair (a Boruvka step); what is left apart is
+  then compared in full, so that no link is missed.
 """
 
 from __future__ import annotations
@@ -96,13 +98,16 @@ def linked(distance: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return 7 * distance <= sizes
 
 
-def _near(ids: np.ndarray, sizes: np.ndarray, bits: list[bytes], comps: np.ndarray, best: bool) -> list[tuple[int, int]]:
+def _near(ids: np.ndarray, sizes: np.ndarray, bits: list[bytes], comps: np.ndarray, lead: np.ndarray, mode: str) -> list[tuple[int, int]]:
     """Pairs of one tile, of different components, that sizes and bitmaps cannot rule out.
 
-    With ``best`` each document is given its closest partner alone; without, all pairs are given.
+    ``lead`` mode: the closest partner, and the closest of those before it, of each document whose ``lead`` is set.
+    ``closest``: the closest pair of each component but the largest. ``all``: all pairs.
     """
     order = np.lexsort((ids, sizes))
-    ids, sizes, comps = ids[order], sizes[order], comps[order]
+    ids, sizes, comps, lead = ids[order], sizes[order], comps[order], lead[order]
+    if mode == "lead" and not lead.any():
+        return []
     maps = [np.frombuffer(bits[i], np.uint64) for i in order]
     m = len(ids)
     if m == 2:
@@ -113,6 +118,7 @@ def _near(ids: np.ndarray, sizes: np.ndarray, bits: list[bytes], comps: np.ndarr
         return [(int(ids.min()), int(ids.max()))] if ok else []
     out: list[tuple[int, int]] = []
     nearest, closest = np.full(m, -1), np.full(m, 1 << 60)
+    before, shortest = np.full(m, -1), np.full(m, 1 << 60)
     widths = np.array([len(x) for x in maps])
     for width in np.unique(widths):
         # sizes of a pair differ by a third at most, so widths by a factor of two: the wider map folds onto the narrower
@@ -132,16 +138,27 @@ def _near(ids: np.ndarray, sizes: np.ndarray, bits: list[bytes], comps: np.ndarr
             hit = linked(d, n[at] + n[i])
             if not hit.any():
                 continue
-            at, d = rows[at[hit]], d[hit]
-            if not best:
-                out += [(min(int(ids[j]), int(ids[rows[i]])), max(int(ids[j]), int(ids[rows[i]]))) for j in at]
+            at, d, r = rows[at[hit]], d[hit], rows[i]
+            if mode == "all":
+                out += [(min(int(ids[j]), int(ids[r])), max(int(ids[j]), int(ids[r]))) for j in at]
                 continue
             closer = d < closest[at]
-            nearest[at[closer]], closest[at[closer]] = rows[i], d[closer]
+            nearest[at[closer]], closest[at[closer]] = r, d[closer]
             k = d.argmin()
-            if d[k] < closest[rows[i]]:
-                nearest[rows[i]], closest[rows[i]] = at[k], d[k]
-    return out + [(min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))) for i, j in enumerate(nearest) if j >= 0]
+            if d[k] < closest[r]:
+                nearest[r], closest[r] = at[k], d[k]
+            if d[k] < shortest[r]:
+                before[r], shortest[r] = at[k], d[k]
+    if mode == "all":
+        return out
+    if mode == "lead":
+        named = {(i, j) for to in (nearest, before) for i, j in enumerate(to.tolist()) if j >= 0 and lead[i]}
+    else:
+        _, of, count = np.unique(comps, return_inverse=True, return_counts=True)
+        ranked = np.lexsort((closest, of))
+        firsts = ranked[np.concatenate(([0], np.cumsum(count)[:-1]))]
+        named = {(int(i), int(nearest[i])) for i in np.delete(firsts, count.argmax()) if nearest[i] >= 0}
+    return sorted({(min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))) for i, j in named})
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
@@ -167,7 +184,7 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tab
         yield pa.concat_tables(held)
 
 
-def _tiles(best: bool):
+def _tiles(mode: str):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +194,7 @@ def _tiles(best: bool):
             ids = t.column("node").to_numpy()
             if len(ids) < 2:
                 continue
-            pairs = _near(ids, t.column("n").to_numpy(), t.column("bits").to_pylist(), t.column("comp").to_numpy(), best)
+            pairs = _near(ids, t.column("n").to_numpy(), t.column("bits").to_pylist(), t.column("comp").to_numpy(), t.column("lead").to_numpy(), mode)
             new = [p for p in pairs if p not in found]
             if len(found) > 50_000:
                 found.clear()
@@ -191,11 +208,13 @@ def _tiles(best: bool):
     return run
 
 
-def _candidates(postings: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
+def _candidates(postings: DataFrame, nodes: DataFrame, mode: str) -> DataFrame:
     """``postings(key, i, j, node)`` and ``nodes(node, n, bits, comp)`` to distinct pairs ``(a, b)``."""
-    rows = postings.join(nodes, "node").select("key", "i", "j", "node", "n", "comp", "bits")
+    # the smallest hash of each document, in its own block: the window deals by the key of the join
+    lead = (F.col("key") == F.min("key").over(Window.partitionBy("node"))) & (F.col("i") == F.col("j")) if mode == "lead" else F.lit(False)
+    rows = postings.withColumn("lead", lead).join(nodes, "node").select("key", "i", "j", "node", "n", "comp", "lead", "bits")
     rows = rows.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
-    return materialize(rows.mapInArrow(_tiles(best), "a long, b long").distinct(), "pairs")
+    return materialize(rows.mapInArrow(_tiles(mode), "a long, b long").distinct(), "pairs")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,14 +269,17 @@ def components(documents: DataFrame) -> DataFrame:
     shared = shared.withColumn("other", F.explode(F.when(F.col("nb") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))))
     postings = materialize(shared.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node"), "postings")
     nodes = reps.select("node", "n", "bits")
-    first = materialize(verified(docs, _candidates(postings, nodes.withColumn("comp", F.col("node")), True)), "links")
-    found = materialize(connected_components(first), "components")
-    comp = F.coalesce("component", "node")
-    # only keys whose documents lie in different components still have pairs to look at
-    labelled = postings.join(found, "node", "left").select("key", "i", "j", "node", comp.alias("comp"))
-    open_keys = labelled.groupBy("key", "i", "j").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "i", "j")
-    rest = labelled.join(open_keys, ["key", "i", "j"]).drop("comp")
-    second = verified(docs, _candidates(rest, nodes.join(found, "node", "left").select("node", "n", "bits", comp.alias("comp")), False))
-    links = first.union(second.select("a", "b"))
-    final = connected_components(links)
-    return classes.join(final, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    links, found, comp = None, None, F.coalesce("component", "node")
+    for mode in ("lead", "closest", "all"):
+        if links is None:
+            pairs = _candidates(postings, nodes.withColumn("comp", F.col("node")), mode)
+        else:
+            # only keys whose documents lie in different components still have pairs to look at
+            labelled = postings.join(found, "node", "left").select("key", "i", "j", "node", comp.alias("comp"))
+            apart = labelled.groupBy("key", "i", "j").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "i", "j")
+            rest = labelled.join(apart, ["key", "i", "j"]).drop("comp")
+            pairs = _candidates(rest, nodes.join(found, "node", "left").select("node", "n", "bits", comp.alias("comp")), mode)
+        new = materialize(verified(docs, pairs).select("a", "b"), "links")
+        links = new if links is None else links.union(new)
+        found = materialize(connected_components(links), "components")
+    return classes.join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
