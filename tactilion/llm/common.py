@@ -2,15 +2,38 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of the semi-join filter: 2**25 bits are 4 MB at any input size.
 FILTER_BITS = 25
 
+_KEPT: dict = {}
+
+
+def kept(key: Hashable, build: Callable):
+    """What ``build`` gives, kept in a reused Python worker until another operator keeps something: one object at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
+def give_back() -> None:
+    """Freed memory of a Python worker back to the system, at the end of a task: workers are reused and would hold it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

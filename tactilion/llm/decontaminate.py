@@ -25,11 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tactilion.llm.common import give_back, kept
+
 REPEATS, SAMPLES, SEED = 4, 10, 20240501
 #: An item is found where at most this share of its words differs.
 MAX_EDIT = 0.25
 BLOCK_BYTES = 4 << 20
-WORD_CACHE, BATCH_WORDS, CHUNK = 600_000, 400_000, 65_536
+WORD_CACHE, BATCH_WORDS, CHUNK = 150_000, 400_000, 65_536
 _FILTER = 1 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -175,15 +177,9 @@ class Finder:
         return [sorted((self.items[k][0], at, d, len(self.items[k][1])) for k, (d, at) in x.items()) for x in out]
 
 
-_FINDERS: dict[str, Finder] = {}
-
-
 def _finder(items: list[tuple[int, str]]) -> Finder:
     key = xxhash.xxh3_128_hexdigest(repr(items).encode("utf-8", "surrogatepass"))
-    if key not in _FINDERS:
-        _FINDERS.clear()
-        _FINDERS[key] = Finder(items)
-    return _FINDERS[key]
+    return kept(("decontaminate", key), lambda: Finder(items))
 
 
 def item_blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
@@ -212,6 +208,8 @@ def leaks(items: list[tuple[int, str]]):
                     seqs, held = [], 0
             out += finder.find(seqs)
             yield pd.Series([[dict(zip(("item_id", "start_word", "distance", "n_words"), x)) for x in row] for row in out], dtype=object)
+        _HASHES.clear()
+        give_back()
 
     return found
 

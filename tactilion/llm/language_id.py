@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tactilion.llm.common import give_back, kept
+
 UNKNOWN = "und"
 LANE = 256
 #: Bounds of the training sample: languages, documents and symbols of each, characters of a document.
@@ -141,15 +143,9 @@ class Parser:
         return [(self.langs[b], float(m)) if n else (UNKNOWN, 0.0) for b, m, n in zip(best, margin, sizes)]
 
 
-_PARSERS: dict[str, Parser] = {}
-
-
 def _parser(samples: dict[str, str]) -> Parser:
     key = hashlib.sha256(repr(sorted(samples.items())).encode("utf-8", "surrogatepass")).hexdigest()
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = Parser(samples)
-    return _PARSERS[key]
+    return kept(("language_id", key), lambda: Parser(samples))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -199,6 +195,7 @@ def predictor(samples: dict[str, str]):
                     texts, held = [], 0
             out += parser.predict(texts) if texts else []
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
+        give_back()
 
     return predict
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 import xxhash
 
-from tactilion.llm.common import connected_components, materialize, semi_filter
+from tactilion.llm.common import connected_components, give_back, kept, materialize, semi_filter
 
 N = 5
 KEYS = 24
@@ -54,9 +54,6 @@ class _WordHashes(dict):
         return value
 
 
-_HASHES = _WordHashes()
-
-
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word five-grams; one hash of all words if fewer; empty without words.
 
@@ -66,7 +63,7 @@ def shingles(text: str | None) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(kept("ngram_join", _WordHashes).__getitem__, words), np.uint64, n)
     k = min(n, N)
     out = np.full(n - k + 1, k, np.uint64)
     for j in range(k):
@@ -91,6 +88,7 @@ def _features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             s = shingles(text)
             rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), s[:KEYS].view(np.int64), bitmap(s)) if len(s) else (0, b"", np.empty(0, np.int64), b""))
         yield pd.DataFrame(rows, columns=["n", "set_hash", "keys", "bits"])
+    give_back()
 
 
 def linked(distance: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -204,6 +202,7 @@ def _tiles(mode: str):
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], schema=schema)
                 out = []
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], schema=schema)
+        give_back()
 
     return run
 
@@ -231,6 +230,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if linked(len(own) + len(s) - 2 * both, len(own) + len(s)):
                     out.append((x, y))
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    give_back()
 
 
 def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:

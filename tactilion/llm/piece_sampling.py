@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tactilion.llm.common import give_back, kept
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K, ALPHA, OFFSET = 2, 1.0, 3.0
 BATCH_CHARS = 3_000_000
@@ -341,15 +343,9 @@ def decode(lattice: Lattice, ids: np.ndarray) -> str:
     return b"".join(map(lattice.bytes.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")[1:]
 
 
-_LATTICES: dict[str, Lattice] = {}
-
-
 def _lattice(model: bytes) -> Lattice:
     key = xxhash.xxh3_128_hexdigest(model)
-    if key not in _LATTICES:
-        _LATTICES.clear()
-        _LATTICES[key] = Lattice(model)
-    return _LATTICES[key]
+    return kept(("piece_sampling", key), lambda: Lattice(model))
 
 
 def row_seed(doc_id: int | None, text: str) -> int:
@@ -395,5 +391,6 @@ def encode(documents: DataFrame, k: int = K, model_path: str = MODEL) -> DataFra
                     names, texts, held = [], [], 0
             if texts:
                 yield _encode_rows(lattice, names, texts, k)
+        give_back()
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
