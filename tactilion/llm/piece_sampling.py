@@ -32,7 +32,7 @@ from tactilion.llm.common import give_back, kept
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K, ALPHA, OFFSET = 2, 1.0, 3.0
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 2_000_000
 _CHUNK = re.compile(r" *[^ \n]+|\n+| +")
 _DENSE = 128
 _U = np.uint64
@@ -110,7 +110,7 @@ class Chunks:
         n = len(self.codes)
         remaining = np.repeat(self.end, sizes) - np.arange(n)
         cls = lattice.classes[self.codes]
-        alive, state, found = np.arange(n), np.zeros(n, np.int32), []
+        alive, state, found = np.arange(n, dtype=np.int32), np.zeros(n, np.int32), []
         for l in range(lattice.longest):
             keep = remaining[alive] > l
             alive, state = alive[keep], state[keep]
@@ -126,10 +126,11 @@ class Chunks:
         width = max((l + 1 for l, (at, _) in enumerate(found) if len(at)), default=1)
         self.piece = np.full((n, width), -1, np.int32)
         weight = np.full((n, width), -np.inf, np.float32)
-        for l, (at, got) in enumerate(found[:width]):
-            self.piece[at, l] = got
-            weight[at, l] = lattice.weight[got]
-        del found
+        del alive, state, found[width:]
+        while found:
+            at, got = found.pop()
+            self.piece[at, len(found)] = got
+            weight[at, len(found)] = lattice.weight[got]
         bare = np.flatnonzero(self.piece[:, 0] < 0)
         code = self.codes[bare]
         weight[bare, 0] = lattice.byte_weight * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
