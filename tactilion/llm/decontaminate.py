@@ -1,14 +1,12 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit check.
-
-Texts are sequences of lower-cased words (punctuation counts as white space). An item of ``m`` words is cut in
-windows at every word; documents are cut in windows of the same size at every ``stride`` words,
-chosen from ``m`` so that any passage as long as the item holds at least one whole window. Each window is
-embedded by the Chakraborty-Goldenberg-Koucky random walk: at step ``j`` the current word is written and
-the pointer moves on if bit ``j`` of a random function of that word is set, so that strings at small edit distance
-get embeddings at small Hamming distance. A repetition samples positions of the embedding; windows that
-agree on all of them are candidates. :data:`REPEATS` repetitions are made; a window without an edit always
-collides, and a passage has several windows. Every candidate's item is then aligned exactly (edit
-distance over words, free ends in the document).
+"""Benchmark decontamination: exact gram counts as candidate filter, exact edit check.
+
+Texts are sequences of lower-cased words (punctuation counts as white space). An item of ``m`` words is found where at
+most ``k``, the whole part of :data:`MAX_EDIT` times ``m``, of its words are edited (replaced, added or left out). An edit
+destroys at most ``q`` of the item's ``m - q + 1`` grams of ``q`` words, so ``m - q + 1 - k * q`` of them are left at least,
+and places in the document less places in the item differ by at most ``k`` among them. ``q`` is chosen so that the
+count is 1 or more for every ``m``. Stretches of a document with that many shared grams are candidates: the filter
+is a necessary condition, not a sample, so no item within ``k`` edits is missed at any length. Every candidate's item
+is then aligned exactly (edit distance over words, free ends in the document).
 
 The benchmark is read in blocks of at most :data:`BLOCK_BYTES`, so what each worker holds is bounded; every
 block is run against all documents.
@@ -16,7 +14,6 @@ block is run against all documents.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +24,14 @@ from pyspark.sql import functions as F
 
 from tactilion.llm.common import give_back, kept
 
-REPEATS, SAMPLES, SEED = 4, 10, 20240501
+#: Words in the grams of items that are long enough for it.
+GRAM = 3
 #: An item is found where at most this share of its words differs.
 MAX_EDIT = 0.25
 BLOCK_BYTES = 4 << 20
 WORD_CACHE, BATCH_WORDS, CHUNK = 150_000, 400_000, 65_536
+#: Shared grams that are held at a time; more are taken in shorter stretches of the documents.
+HITS = 1 << 20
 _FILTER = 1 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -55,33 +55,20 @@ def words(text: str | None) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
 
 
-def window_shape(m: int) -> tuple[int, int]:
-    """Window size and document stride for items of ``m`` words: size + stride - 1 <= m always."""
-    return (8, 4) if m >= 12 else (4, 2) if m >= 6 else (m, 1)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
-def embedding_keys(seq: np.ndarray, starts: np.ndarray, size: int, repeat: int) -> np.ndarray:
-    """One LSH key for each window ``seq[start:start + size]``: sampled positions of its CGK walk."""
-    rng = np.random.default_rng([SEED, repeat, size])
-    steps = min(64, 2 * size)
-    taken = np.sort(rng.choice(steps, min(SAMPLES, steps), replace=False))
-    coins = _mix(seq + np.uint64(int(rng.integers(1, 2**63))))
-    at, end = starts.copy(), starts + size
-    keys = np.full(len(starts), size, np.uint64)
-    last = len(seq) - 1
-    for j in range(int(taken[-1]) + 1):
-        inside = at < end
-        here = np.minimum(at, last)
-        if j in taken:
-            keys = (keys ^ np.where(inside, seq[here], np.uint64(1))) * np.uint64(0xC2B2AE3D27D4EB4F)
-            keys ^= keys >> np.uint64(32)
-        at += ((coins[here] >> np.uint64(j)) & np.uint64(1)).astype(np.int64) & inside
+def gram_shape(m: int) -> tuple[int, int, int]:
+    """Allowed edits, words of a gram and the least number of grams that are left, for items of ``m`` words."""
+    k = int(MAX_EDIT * m)
+    q = min(GRAM, m // (k + 1))
+    return k, q, m - q + 1 - k * q
+
+
+def gram_keys(seq: np.ndarray, size: int) -> np.ndarray:
+    """A key for each run of ``size`` words."""
+    n = max(0, len(seq) - size + 1)
+    keys = np.full(n, size, np.uint64)
+    for j in range(size):
+        keys = (keys ^ seq[j : j + n]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        keys ^= keys >> np.uint64(32)
     return keys
 
 
@@ -104,75 +91,92 @@ def edit_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
 
 
 class Finder:
-    """The items' windows under their LSH keys, for one block of the benchmark."""
+    """The items' grams under their keys, for one block of the benchmark."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, w) for i, t in items if len(w := words(t))]
-        self.index: dict[tuple[int, int], list] = {}
-        shapes: dict[tuple[int, int], list[int]] = {}
-        for k, (_, w) in enumerate(self.items):
-            shapes.setdefault(window_shape(len(w)), []).append(k)
-        for (size, stride), members in shapes.items():
-            reps = []
-            for r in range(REPEATS if size > 3 else 1):
-                keys, owner, offset = [], [], []
-                for k in members:
-                    w = self.items[k][1]
-                    at = np.arange(len(w) - size + 1)
-                    keys.append(embedding_keys(w, at, size, r))
-                    owner.append(np.full(len(at), k))
-                    offset.append(at)
-                key = np.concatenate(keys)
-                order = np.argsort(key, kind="stable")
-                gate = np.zeros(_FILTER, bool)
-                gate[key & np.uint64(_FILTER - 1)] = True
-                reps.append((key[order], np.concatenate(owner)[order], np.concatenate(offset)[order], gate))
-            self.index[size, stride] = reps
-
-    def _candidates(self, seq: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(document, item, start) for each pair of windows that collide."""
-        for (size, stride), reps in self.index.items():
-            counts = np.maximum(0, (np.diff(bounds) - size) // stride + 1)
-            total = int(counts.sum())
-            owner = np.repeat(np.arange(len(counts)), counts)
-            starts = np.repeat(bounds[:-1], counts) + stride * (np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts))
-            for lo in range(0, total, CHUNK):
-                at = starts[lo : lo + CHUNK]
-                # keys need their windows' words alone
-                base = int(at[0])
-                part = seq[base : int(at[-1]) + size]
-                for r, (key, items, offsets, gate) in enumerate(reps):
-                    own = embedding_keys(part, at - base, size, r)
-                    hit = np.flatnonzero(gate[own & np.uint64(_FILTER - 1)])
-                    left = np.searchsorted(key, own[hit])
-                    right = np.searchsorted(key, own[hit], "right")
-                    for h, a, b in zip(hit[right > left], left[right > left], right[right > left]):
-                        for x in range(a, b):
-                            yield int(owner[lo + h]), int(items[x]), int(at[h]) - int(offsets[x])
+        shapes = np.array([(len(w), *gram_shape(len(w))) for _, w in self.items], np.int64).reshape(-1, 4)
+        self.size, self.slack, gram, self.need = shapes.T
+        #: No place of an item is longer.
+        self.reach = int((self.size + self.slack).max(initial=0))
+        self.index: list[tuple] = []
+        for q in sorted(set(gram.tolist())):
+            members = np.flatnonzero(gram == q)
+            count = self.size[members] - q + 1
+            key = np.concatenate([gram_keys(self.items[k][1], q) for k in members])
+            order = np.argsort(key, kind="stable")
+            offset = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
+            gate = np.zeros(_FILTER, bool)
+            gate[key & np.uint64(_FILTER - 1)] = True
+            self.index.append((q, key[order], np.repeat(members, count)[order], offset[order], gate))
+
+    def _hits(self, seq: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(items, documents, places) of shared grams, in stretches; any place of an item lies in one of them as a whole."""
+        length = max(CHUNK, 4 * self.reach)
+        for q, key, items, offsets, gate in self.index:
+            todo = [(lo, min(lo + length, len(seq))) for lo in range(0, max(1, len(seq) - self.reach), length - self.reach)][::-1]
+            while todo:
+                lo, hi = todo.pop()
+                own = gram_keys(seq[lo:hi], q)
+                at = np.flatnonzero(gate[own & np.uint64(_FILTER - 1)])
+                doc = np.searchsorted(bounds, at + lo, "right") - 1
+                inside = at + lo + q <= bounds[doc + 1]
+                at, doc = at[inside], doc[inside]
+                left = np.searchsorted(key, own[at])
+                count = np.searchsorted(key, own[at], "right") - left
+                total = int(count.sum())
+                if total > HITS and hi - lo > 4 * self.reach:
+                    half = (lo + hi) // 2
+                    todo += [(half, hi), (lo, half + self.reach)]
+                elif total:
+                    x = np.repeat(left - np.cumsum(count) + count, count) + np.arange(total)
+                    yield items[x], np.repeat(doc, count), np.repeat(at + lo, count) - offsets[x]
+
+    def _candidates(self, seq: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(document, item, places) for each stretch of a document that shares enough grams with an item."""
+        # one number sorts by item, document and place; documents lie further apart than any slack
+        gap = 2 * (self.reach + 1)
+        span = len(seq) + gap * (len(bounds) + 1)
+        for item, doc, place in self._hits(seq, bounds):
+            where = np.sort(item * span + place + gap * (doc + 1))
+            item = where // span
+            last = np.searchsorted(where, where + self.slack[item], "right")
+            first = np.flatnonzero(last - np.arange(len(where)) >= self.need[item])
+            ends = np.zeros(len(where) + 1, np.int64)
+            np.add.at(ends, first, 1)
+            np.add.at(ends, last[first], -1)
+            where = where[np.cumsum(ends[:-1]) > 0]
+            item = where // span
+            # stretches that overlap are one
+            cuts = np.flatnonzero((np.diff(item) != 0) | (np.diff(where) > self.size[item[:-1]])) + 1
+            for part in np.split(where, cuts) if len(where) else ():
+                k = int(part[0] // span)
+                part = part - k * span
+                # an item's place may start before its document does
+                doc = int(np.searchsorted(bounds[:-1] + gap * np.arange(1, len(bounds)) - self.reach, part[0], "right")) - 1
+                yield doc, k, part - gap * (doc + 1)
 
     def find(self, seqs: list[np.ndarray]) -> list[list[tuple[int, int, int, int]]]:
         """For each document the items it holds: item id, first word, distance and words of the item."""
         out: list[dict[int, tuple[int, int]]] = [{} for _ in seqs]
         bounds = np.concatenate(([0], np.cumsum([len(s) for s in seqs]))).astype(np.int64)
         seq = np.concatenate(seqs) if seqs else np.empty(0, np.uint64)
-        tried: set[tuple[int, int, int]] = set()
-        for doc, k, start in self._candidates(seq, bounds) if len(seq) else ():
+        for doc, k, places in self._candidates(seq, bounds) if len(seq) and self.items else ():
             item = self.items[k][1]
-            m, low, high = len(item), int(bounds[doc]), int(bounds[doc + 1])
-            slack = math.ceil(MAX_EDIT * m)
-            if out[doc].get(k, (1, 0))[0] == 0 or (doc, k, start) in tried:
+            m, slack, low, high = len(item), int(self.slack[k]), int(bounds[doc]), int(bounds[doc + 1])
+            if out[doc].get(k, (1, 0))[0] == 0:
                 continue
-            tried.add((doc, k, start))
-            if start >= low and start + m <= high and np.array_equal(seq[start : start + m], item):
-                d, at = 0, start
+            whole = next((int(x) for x in np.unique(places) if low <= x <= high - m and np.array_equal(seq[x : x + m], item)), None)
+            if whole is not None:
+                d, at = 0, whole
             else:
-                a, b = max(low, start - slack), min(high, start + m + slack)
+                a, b = max(low, int(places[0]) - slack), min(high, int(places[-1]) + m + 2 * slack)
                 # each word of the item that the region lacks costs an edit
-                if np.isin(item, seq[a:b], invert=True).sum() > MAX_EDIT * m:
+                if np.isin(item, seq[a:b], invert=True).sum() > slack:
                     continue
                 d, at = edit_distance(item, seq[a:b])
                 at += a
-            if d <= MAX_EDIT * m and (d, at - low) < out[doc].get(k, (m + 1, 0)):
+            if d <= slack and (d, at - low) < out[doc].get(k, (m + 1, 0)):
                 out[doc][k] = d, at - low
         return [sorted((self.items[k][0], at, d, len(self.items[k][1])) for k, (d, at) in x.items()) for x in out]
 

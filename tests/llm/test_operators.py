@@ -288,6 +288,42 @@ def test_decontamination_recall(spark):
     assert not any(d >= 10_000 and i in long_items for d, i in got)
 
 
+@pytest.mark.parametrize("m", [4, 5, 6, 8, 12, 16, 20, 40, 100])
+def test_decontamination_finds_every_edited_item(m):
+    r = random.Random(m)
+    word = lambda n=1: ["".join(r.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(n)]
+    items, docs = [], []
+    for share in (0.1, 0.2, 0.25):
+        for kind in ("even", "random", "mixed") * 4:
+            item, k = word(m), int(share * m)
+            e = list(item)
+            for j in range(k):
+                x = (2 * j + 1) * m // (2 * k) if kind == "even" else r.randrange(len(e))
+                op = r.choice(["replace", "add", "leave out"]) if kind == "mixed" else "replace"
+                e[x : x + (op != "add")] = word(op != "leave out")
+            items.append((len(items), " ".join(item)))
+            docs.append(decontaminate.words(" ".join(word(r.randrange(30)) + e + word(r.randrange(30)))))
+    found = decontaminate.Finder(items).find(docs)
+    assert [[x[0] for x in f] for f in found] == [[i] for i in range(len(docs))]
+
+
+def test_decontamination_equals_all_alignments(monkeypatch):
+    r = random.Random(3)
+    line = lambda n, size: " ".join(r.choice("abcdefghijklmnop"[:size]) for _ in range(n))
+    for size in (2, 6, 16):
+        items = [(i, line(r.randrange(1, 30), size)) for i in range(25)]
+        docs = [line(r.randrange(0, 80), size) for _ in range(60)] + [line(20, size) + " " + t for _, t in items]
+        seqs = [decontaminate.words(t) for t in docs]
+        want = []
+        for s in seqs:
+            best = [(i, decontaminate.edit_distance(w, s)[0], len(w)) for i, t in items for w in [decontaminate.words(t)]]
+            want.append([(i, d, m) for i, d, m in best if d <= decontaminate.MAX_EDIT * m])
+        for chunk, hits in ((65_536, 1 << 20), (64, 50)):
+            monkeypatch.setattr(decontaminate, "CHUNK", chunk)
+            monkeypatch.setattr(decontaminate, "HITS", hits, raising=False)
+            assert [[(i, d, m) for i, _, d, m in f] for f in decontaminate.Finder(items).find(seqs)] == want
+
+
 def test_quality_held_out(spark):
     rows = queries.op10_quality(spark, "/root/testdata/sf0.01").filter("held_out").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", F.col("quality").alias("y")), "doc_id").collect()
     assert np.mean([(r.quality >= 0.5) == (r.y == 1) for r in rows]) > 0.85
