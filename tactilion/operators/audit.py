@@ -24,14 +24,14 @@ def missing_words(source: DataFrame, model: DataFrame, key: list[str]) -> DataFr
     return need.join(have, [*key, "word"], "left").withColumn("missing", gone).filter("missing > 0").select(*key, "word", "missing")
 
 
-def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def overlap(left: DataFrame, right: DataFrame, *key: str) -> DataFrame:
     """Distinct words of two versions by key, shared and in total."""
-    a, b = left.select(key, "word").distinct(), right.select(key, "word").distinct()
-    both = a.withColumn("a", F.lit(1)).join(b.withColumn("b", F.lit(1)), [key, "word"], "full")
-    return both.groupBy(key).agg(F.count("a").alias("left_words"), F.count("b").alias("right_words"), F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("shared"))
+    a, b = left.select(*key, "word").distinct(), right.select(*key, "word").distinct()
+    both = a.withColumn("a", F.lit(1)).join(b.withColumn("b", F.lit(1)), [*key, "word"], "full")
+    return both.groupBy(*key).agg(F.count("a").alias("left_words"), F.count("b").alias("right_words"), F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("shared"))
 
 
-def worst(rows: DataFrame, by: str, score: str, tie: str, n: int) -> DataFrame:
+def worst(rows: DataFrame, by: str, score: str, tie: str | Column, n: int) -> DataFrame:
     """The ``n`` lowest scores of each group; the limit is pushed below the shuffle."""
     w = Window.partitionBy(by).orderBy(score, tie)
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n)

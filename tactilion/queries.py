@@ -446,6 +446,33 @@ def worst_n_similarity(spark, sf_dir):
     return audit.worst(rows, "grp", "score", "conv_id", 5)
 
 
+def _turns(spark, sf_dir):
+    """Words of each turn's previous turn and of the turn, both under the later turn's key."""
+    rows = read(spark, sf_dir, "conversations")
+    previous = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    pairs = rows.select("conv_id", "turn").distinct().select("conv_id", "turn", previous.alias("previous")).filter("previous IS NOT NULL")
+    words = audit.words_of(rows, ["conv_id", "turn"], "text")
+    before = words.withColumnRenamed("turn", "previous").join(pairs, ["conv_id", "previous"])
+    return before.select("conv_id", "turn", "word"), words.join(pairs, ["conv_id", "turn"]).select("conv_id", "turn", "word")
+
+
+@query()
+def missing_words_by_turn(spark, sf_dir):
+    """Every turn against the previous one: how often each word of the previous turn is missing."""
+    return audit.missing_words(*_turns(spark, sf_dir), ["conv_id", "turn"])
+
+
+@query()
+def word_overlap_by_turn(spark, sf_dir):
+    return audit.overlap(*_turns(spark, sf_dir), "conv_id", "turn")
+
+
+@query()
+def worst_n_similarity_by_turn(spark, sf_dir):
+    rows = word_overlap_by_turn(spark, sf_dir).filter("left_words > 0").select((F.col("conv_id") % 4).alias("grp"), "conv_id", "turn", (F.col("shared") / F.col("left_words")).alias("score"))
+    return audit.worst(rows, "grp", "score", F.struct("conv_id", "turn"), 5)
+
+
 @query("""SELECT lang, source, feature, sum(n) AS n FROM (SELECT lang, source, 'chars' AS feature, length(text) AS n FROM documents UNION ALL SELECT lang, source, 'lines', length(text) - length(replace(text, chr(10), '')) + 1 FROM documents)
 GROUP BY GROUPING SETS ((lang, source, feature), (source, feature), (feature))""")
 def fidelity_grouping_sets(spark, sf_dir):
