@@ -82,7 +82,7 @@ def scan(documents: DataFrame) -> DataFrame:
     found = F.flatten(F.transform(F.filter(rules, lambda r: F.array_contains("_words", r["word"])), lambda r: _matches(flat, r)))
     docs = docs.withColumn("_kept", F.when(F.size("_words") > 0, _kept(found)))
     before = F.when(F.size("_base") > 0, F.element_at(F.split(flat, _BASE, 2), 1))
-    upto = F.when(F.size("_base") > 0, F.regexp_extract(flat, f"^(.*){_BASE}", 1))
+    upto = F.when(F.size("_base") > 0, F.regexp_extract(flat, f"(?s)^(.*){_BASE}", 1))
     base_labels = F.array_sort(F.array_distinct(F.transform("_base", lambda p: F.element_at(label, p))))
     names = F.array_sort(F.array_union(base_labels, F.coalesce(F.transform("_kept", lambda d: d["label"]), F.array().cast("array<string>"))))
     weight = F.array(*[F.lit(c) for c in CONFIDENCE])

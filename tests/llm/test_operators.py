@@ -86,6 +86,13 @@ def test_license_positions(spark):
     assert "gpl-3.0" in r.labels and "apache-2.0" in r.labels and "cc-by-nc-4.0" in r.labels and r.score == 0.9
 
 
+@pytest.mark.parametrize("mark", ["\u0085", "\u2028", "\u2029"])
+def test_license_positions_after_line_marks(spark, mark):
+    texts = [f"a{mark}b apache license c", f"mit license a{mark}b cc by c{mark}", f"{mark} x mit license"]
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_base, r.first_word, r.last_word) for r in rows] == [(4, 1, 1, 1), (6, 2, 0, 3), (4, 1, 2, 2)]
+
+
 def test_license_rules_each_match_themselves():
     from tactilion.llm.license_rules import RULES
 
