@@ -8,8 +8,9 @@ the plain forms.
 Bootstrapping: every digit-bearing token with a word before it is an occurrence of a *pattern* (that word
 and the separators) and an *instance* (the token). Instances that are base entities are seeds with score 1.
 Each round scores a pattern by its instances (sum of scores over count plus a prior) and each other instance by its
-patterns (noisy or). After :data:`ROUNDS` rounds, patterns with enough confidence and distinct seeds mark
-their other occurrences as kind ``id``, unless these overlap a base span.
+patterns (noisy or). Instances that reach :data:`MIN_CONFIDENCE` are seeds of the next round, so that patterns that
+are linked to trusted ones by discovered identifiers alone come in too, one hop a round. After :data:`ROUNDS`
+rounds, patterns with enough confidence and distinct seeds mark their other occurrences as kind ``id``, unless these overlap a base span.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def _scan(documents: DataFrame) -> DataFrame:
 
 
 def context_patterns(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``occurrences(pattern, token)`` to ``pattern, confidence, seeds`` of the patterns that are trusted.
+    """``occurrences(pattern, token)`` to ``pattern, confidence, seeds`` of the patterns that are trusted (seeds found in earlier rounds included).
 
     The pattern-instance graph is aggregated before it is joined, so a pattern that a third of
     all texts share is one row for each distinct token, not one for each text.
@@ -128,7 +129,7 @@ def context_patterns(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         known = edges.withColumn("score", F.col("seed").cast("double")) if scores is None else (
             edges.join(scores, "token", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
         )
-        patterns = known.groupBy("pattern").agg((F.sum("score") / (F.count("*") + PRIOR)).alias("confidence"), F.count_if("seed").alias("seeds"))
+        patterns = known.groupBy("pattern").agg((F.sum("score") / (F.count("*") + PRIOR)).alias("confidence"), F.count_if(F.round("score", 6) >= MIN_CONFIDENCE).alias("seeds"))
         patterns = patterns.filter(F.col("seeds") >= MIN_SEEDS)
         linked = edges.filter("not seed").join(patterns, "pattern")
         miss = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))))

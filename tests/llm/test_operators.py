@@ -295,6 +295,16 @@ def test_decontamination_recall(spark):
     assert not any(d >= 10_000 and i in long_items for d, i in got)
 
 
+def test_personal_data_second_hop(spark):
+    rows = [("user|:_", f"u{i}@example.org") for i in range(20)] + [(p, f"AB{i}77X") for p in ("user|:_", "account|=") for i in range(4)]
+    rows += [("account|=", "ZZ991Q"), ("room|_", "B12345"), ("room|_", "AB077X")]
+    trusted = {r.pattern for r in pii.context_patterns(spark.createDataFrame(rows, "pattern string, token string")).collect()}
+    assert trusted == {"user|:_", "account|="}
+    texts = [f"user: {t}" if p == "user|:_" else f"{p.split('|')[0]}{'=' if '=' in p else ' '}{t}" for p, t in rows]
+    masked = [r.text for r in pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert masked[28] == "account=[ID]" and masked[29] == "room B12345"
+
+
 @pytest.mark.parametrize("m", [4, 5, 6, 8, 12, 16, 20, 40, 100])
 def test_decontamination_finds_every_edited_item(m):
     r = random.Random(m)
