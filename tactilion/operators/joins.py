@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,14 +31,26 @@ def as_of(points: DataFrame, runs: DataFrame, by: str, at: str, start: str, valu
     return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).filter("_kind = 1").drop("_v", "_at", "_kind")
 
 
-def closure(spark: SparkSession, edges: DataFrame, depth: int = 50) -> DataFrame:
-    """``node, ancestor, steps`` over ``edges(child, parent)``; cycles end at ``depth``."""
-    return spark.sql(
-        f"""WITH RECURSIVE up AS (SELECT child AS node, parent AS ancestor, 1 AS steps FROM {{edges}}
-        UNION ALL SELECT up.node, e.parent, up.steps + 1 FROM up JOIN {{edges}} e ON up.ancestor = e.child WHERE up.steps < {depth})
-        SELECT node, ancestor, min(steps) AS steps FROM up GROUP BY node, ancestor""",
-        edges=edges,
-    )
+def closure(edges: DataFrame) -> DataFrame:
+    """``node, ancestor, steps`` over ``edges(child, parent)``: paths are joined to paths, twice as long each time, until no new pair appears."""
+    spark = edges.sparkSession
+
+    def shortest(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.groupBy("node", "ancestor").agg(F.min("steps").alias("steps"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:  # one JVM, as in tests
+            return pairs.localCheckpoint()
+        path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+        pairs.write.parquet(path)
+        return spark.read.schema(pairs.schema).parquet(path)
+
+    up = shortest(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("steps")))
+    known = 0
+    while (n := up.count()) > known:
+        known = n
+        on = up.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_up"), F.col("steps").alias("_steps"))
+        up = shortest(up.unionByName(up.join(on, "ancestor").select("node", F.col("_up").alias("ancestor"), (F.col("steps") + F.col("_steps")).alias("steps"))))
+    return up
 
 
 def closer_than(left: DataFrame, right: DataFrame, x: str, y: str, limit: float) -> DataFrame:

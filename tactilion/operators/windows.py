@@ -2,29 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+
+def _fold(items: DataFrame, by: str, order: str, level: str, out: str, kind: str, step: Callable[[list, object, object], object]) -> DataFrame:
+    """``items`` with ``out``: ``step`` over the rows of each ``by`` in order, which keeps a stack no deeper than the levels open at a row."""
+    schema = items.select("*", F.lit(None).cast(kind).alias(out)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, stack = (), []
+        for batch in batches:
+            values = []
+            for key, at, depth in zip(*(batch.column(c).to_pylist() for c in (by, order, level))):
+                if group != (key,):
+                    group, stack = (key,), []
+                values.append(step(stack, at, depth))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, to_arrow_type(schema[out].dataType))], [*batch.schema.names, out])
+
+    return items.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, schema)
+
+
+def _number(stack: list, at: object, depth: object) -> int:
+    # rows without a level are counted at the bottom, which no level closes
+    if not stack:
+        stack.append([None, 0])
+    if depth is None:
+        stack[0][1] += 1
+        return stack[0][1]
+    while len(stack) > 1 and stack[-1][0] > depth:
+        stack.pop()
+    if len(stack) == 1 or stack[-1][0] != depth:
+        stack.append([depth, 0])
+    stack[-1][1] += 1
+    return stack[-1][1]
+
+
+def _parent(stack: list, at: object, depth: object) -> object:
+    if depth is None:
+        return None
+    while stack and stack[-1][0] >= depth:
+        stack.pop()
+    stack.append((depth, at))
+    return stack[-2][1] if len(stack) > 1 else None
 
 
 def list_counters(items: DataFrame, by: str, order: str, level: str) -> DataFrame:
     """Number of each item among those of its level since the last shallower one."""
-    before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    levels = [r[0] for r in items.select(level).distinct().orderBy(level).limit(64).collect()]
-    group = F.lit(0).cast("long")
-    for n in levels:  # the number of shallower items so far tells runs of a level apart
-        group = F.when(F.col(level) == n, F.count(F.when(F.col(level) < n, 1)).over(before)).otherwise(group)
-    inner = Window.partitionBy(by, level, "_g").orderBy(order)
-    return items.withColumn("_g", group).withColumn("number", F.row_number().over(inner).cast("long")).drop("_g")
+    return _fold(items, by, order, level, "number", "long", _number)
 
 
 def level_tree(items: DataFrame, by: str, order: str, level: str) -> DataFrame:
     """Parent of each item: the nearest earlier item of a smaller level."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    levels = [r[0] for r in items.select(level).distinct().orderBy(level).limit(64).collect()]
-    parent = F.lit(None).cast("long")
-    for n in levels:
-        parent = F.when(F.col(level) == n, F.max(F.when(F.col(level) < n, F.col(order))).over(w)).otherwise(parent)
-    return items.withColumn("parent", parent)
+    return _fold(items, by, order, level, "parent", items.select(F.coalesce(F.lit(None).cast("long"), order)).schema[0].dataType.simpleString(), _parent)
 
 
 def islands(rows: DataFrame, by: str, order: str, same: str) -> DataFrame:

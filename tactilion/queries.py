@@ -364,7 +364,7 @@ def asof_join(spark, sf_dir):
 SELECT node, ancestor, min(steps) AS steps FROM up GROUP BY ALL""")
 def recursive_closure(spark, sf_dir):
     edges = read(spark, sf_dir, "nation").filter("n_nationkey > 0").select(F.col("n_nationkey").alias("child"), F.floor(F.col("n_nationkey") / 2).cast("int").alias("parent"))
-    return joins.closure(spark, edges)
+    return joins.closure(edges)
 
 
 @query("SELECT a.s_suppkey AS a, b.p_partkey AS b FROM supplier a, part b WHERE pow(a.s_acctbal - (b.p_partkey * 7 % 9000), 2) + pow(a.s_suppkey - b.p_size, 2) < 900")
