@@ -13,8 +13,10 @@ a single row over the limit is a shard of its own.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tactilion.llm.common import materialize
@@ -59,6 +61,27 @@ def directory(rows: DataFrame, shard_bytes: int) -> DataFrame:
         floor = deep + 1
 
 
+def _overflow(rows: DataFrame, shard_bytes: int) -> DataFrame:
+    """``rows`` with ``overflow``: each bucket's rows in the order of size and key, a new shard where the next row would pass the limit."""
+    schema = rows.withColumn("overflow", F.lit(0).cast("long")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, number, held = None, 0, 0
+        for batch in batches:
+            numbers = []
+            for prefix, n in zip(batch.column("prefix").to_pylist(), batch.column("n_bytes").to_pylist()):
+                if prefix != bucket:
+                    bucket, number, held = prefix, 0, n
+                elif held + n > shard_bytes:
+                    number, held = number + 1, n
+                else:
+                    held += n
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], [*batch.schema.names, "overflow"])
+
+    return rows.repartition("prefix").sortWithinPartitions("prefix", "n_bytes", "key").mapInArrow(run, schema)
+
+
 def shard(table: DataFrame, key: str, payload: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``key, shard, depth, overflow, n_bytes`` for every row.
 
@@ -70,10 +93,8 @@ def shard(table: DataFrame, key: str, payload: str, shard_bytes: int = SHARD_BYT
     depths = [r[0] for r in plan.select("depth").distinct().collect()]  # at most 61 values
     tried = rows.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in sorted(depths)]))).withColumn("prefix", F.expr(f"shiftright(h, {BITS} - depth)"))
     placed = tried.join(plan, ["depth", "prefix"])
-    full = placed.filter(F.col("depth") == BITS)
-    w = Window.partitionBy("prefix").orderBy("n_bytes", "key").rowsBetween(Window.unboundedPreceding, -1)
-    full = full.withColumn("overflow", F.floor(F.coalesce(F.sum("n_bytes").over(w), F.lit(0)) / shard_bytes).cast("long"))
-    placed = placed.filter(F.col("depth") < BITS).withColumn("overflow", F.lit(0).cast("long")).unionByName(full)
+    kept = placed.filter(F.col("depth") < BITS).withColumn("overflow", F.lit(0).cast("long"))
+    placed = kept.unionByName(_overflow(placed.filter(F.col("depth") == BITS), shard_bytes)) if BITS in depths else kept
     bits = F.expr("CASE WHEN depth = 0 THEN '' ELSE lpad(conv(prefix, 10, 2), depth, '0') END")
     name = F.when(F.col("overflow") > 0, F.concat(bits, F.lit("+"), F.col("overflow").cast("string"))).otherwise(bits)
     return placed.select(F.col("key").alias(key), name.alias("shard"), F.col("depth").cast("int").alias("depth"), "overflow", "n_bytes")

@@ -198,6 +198,17 @@ def test_language_id_automaton_and_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_sharding_of_equal_keys_keeps_the_limit(spark):
+    sizes = [0, 10, 200, 90, 160, 300, 301, 40, 150, 900]
+    docs = spark.createDataFrame([(1, "x" * n) for n in sizes] + [(2, "y" * 250)] * 3 + [(i, "z" * 20) for i in range(3, 40)], "doc_id long, text string")
+    rows = sharding.shard(docs, "doc_id", "text", 300).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r.shard, []).append(r.n_bytes)
+    assert len(rows) == len(sizes) + 40
+    assert all(sum(x) <= 300 or len(x) == 1 for x in held.values()), held
+
+
 def test_sharding_limits(spark):
     docs = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(500)] + [(7, "y" * 40)] * 20, "doc_id long, text string")
     rows = sharding.shard(docs, "doc_id", "text", 300).collect()
