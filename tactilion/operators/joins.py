@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tactilion.operators.scratch import discard, materialize
+
 
 def dictionary(rows: DataFrame, word: str, translate: Callable[[Column], Column], out: str) -> DataFrame:
     """Applies ``translate`` once for each distinct word and joins the result back."""
@@ -33,23 +34,17 @@ def as_of(points: DataFrame, runs: DataFrame, by: str, at: str, start: str, valu
 
 def closure(edges: DataFrame) -> DataFrame:
     """``node, ancestor, steps`` over ``edges(child, parent)``: paths are joined to paths, twice as long each time, until no new pair appears."""
-    spark = edges.sparkSession
-
     def shortest(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.groupBy("node", "ancestor").agg(F.min("steps").alias("steps"))
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:  # one JVM, as in tests
-            return pairs.localCheckpoint()
-        path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-        pairs.write.parquet(path)
-        return spark.read.schema(pairs.schema).parquet(path)
+        return materialize(pairs.groupBy("node", "ancestor").agg(F.min("steps").alias("steps")), "closure")
 
     up = shortest(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("steps")))
     known = 0
     while (n := up.count()) > known:
         known = n
         on = up.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_up"), F.col("steps").alias("_steps"))
+        before = up
         up = shortest(up.unionByName(up.join(on, "ancestor").select("node", F.col("_up").alias("ancestor"), (F.col("steps") + F.col("_steps")).alias("steps"))))
+        discard(before)
     return up
 
 
