@@ -11,11 +11,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tactilion.llm.common import arrow_limit
+
 
 @dataclass(frozen=True)
 class Template:
@@ -43,28 +46,42 @@ class Template:
 
     def segments(self, role: str, text: str) -> list[tuple[str, bool]]:
         """Text segments of a turn, each with its loss flag."""
-        name = dict(self.names).get(role, role)
         trained = role in self.loss
-        return [(self.head.replace("{role}", self.guard(name)), False), (self.guard(text), trained), (self.tail, False)]
+        return [(self.head.replace("{role}", self.name(role)), False), (self.guard(text), trained), (self.tail, False)]
+
+    def name(self, role: str) -> str:
+        """What stands for a role in the head; a role that is spelled like another's name is escaped."""
+        marks = {k: self.guard(v) for k, v in self.names}
+        if role in marks:
+            return marks[role]
+        own = self.guard(role)
+        return self.escape + own if own in marks.values() else own
+
+    def turns(self, text: str) -> tuple[list[tuple[str, str]], str]:
+        """Roles and texts of the whole turns at the start of ``text``, and the rest."""
+        turn, role_of = _reader(self)
+        out, at = [], 0
+        while m := turn.match(text, at):
+            out.append((role_of[m[1]] if m[1] in role_of else self.unguard(m[1]), self.unguard(m[2])))
+            at = m.end()
+        return out, text[at:]
 
     def read(self, text: str) -> list[tuple[str, str]]:
         """Roles and texts of a formatted conversation."""
-        before, after = self.head.split("{role}")
-        role_of = {v: k for k, v in self.names}
-        e = re.escape(self.escape)
-        body = rf"((?:{e}.|[^{e}])*?)"
-        turn = re.compile(re.escape(before) + body + re.escape(after) + body + re.escape(self.tail), re.S)
-        out, at = [], 0
-        while at < len(text):
-            m = turn.match(text, at)
-            if not m:
-                raise ValueError(f"no turn at {at}")
-            role = self.unguard(m[1])
-            out.append((role_of.get(role, role), self.unguard(m[2])))
-            at = m.end()
+        out, rest = self.turns(text)
+        if rest:
+            raise ValueError(f"no turn at {len(text) - len(rest)}")
         return out
 
 
+@lru_cache(16)
+def _reader(t: Template) -> tuple[re.Pattern, dict[str, str]]:
+    before, after = t.head.split("{role}")
+    e = re.escape(t.escape)
+    body = rf"((?:{e}.|[^{e}])*?)"
+    return re.compile(re.escape(before) + body + re.escape(after) + body + re.escape(t.tail), re.S), {t.guard(v): k for k, v in t.names}
+
+
 DEFAULT = Template()
 
 
@@ -73,11 +90,13 @@ class _Conversation:
     template: Template
     key: int | None
     turns: int = 0
+    added: int = 0
     loss_chars: int = 0
     formatted_chars: int = 0
     segments: int = 0
     state: str = ""
     bad_turn: int | None = None
+    unread: str = ""
     all: object = field(default_factory=hashlib.sha256)
     loss: object = field(default_factory=hashlib.sha256)
 
@@ -86,26 +105,31 @@ class _Conversation:
         parts = t.segments(role, text)
         self.formatted_chars += sum(len(s) for s, _ in parts)
         self.segments += len(parts)
-        ((role_back, text_back),) = t.read("".join(s for s, _ in parts))
-        self.all.update(f"{role_back}\n{text_back}\n".encode("utf-8", "surrogatepass"))
+        # the formatted conversation is one stream: what a turn leaves unread stands before the next
+        found, self.unread = t.turns(self.unread + "".join(s for s, _ in parts))
+        for role_back, text_back in found:
+            self.all.update(f"{role_back}\n{text_back}\n".encode("utf-8", "surrogatepass"))
+            self.turns += 1
         for s, trained in parts:
             if trained:
                 plain = t.unguard(s)
                 self.loss_chars += len(plain)
                 self.loss.update(plain.encode("utf-8", "surrogatepass"))
         if self.bad_turn is None and role not in dict(t.steps).get(self.state, ()):
-            self.bad_turn = self.turns
+            self.bad_turn = self.added
         self.state = role
-        self.turns += 1
+        self.added += 1
         return parts
 
     def row(self) -> tuple:
+        if self.unread:
+            raise ValueError(f"conversation {self.key} cannot be read back")
         bad = self.bad_turn if self.bad_turn is not None else None if self.state in self.template.final else self.turns
         return self.key, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars, self.segments, bad is None, bad
 
 
 def _sorted(conversations: DataFrame) -> DataFrame:
-    rows = conversations.select(
+    rows = arrow_limit(conversations).select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
@@ -183,6 +207,7 @@ WITH rows AS (
   SELECT *, row_number() OVER w - 1 AS n, coalesce(lag(role) OVER w, '') AS before,
     regexp_replace(text, '(\\|###|</turn>|: )', '\\\1', 'g') AS safe,
     CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' WHEN 'tool' THEN 'Tool'
+      WHEN 'System' THEN '\System' WHEN 'User' THEN '\User' WHEN 'Assistant' THEN '\Assistant' WHEN 'Tool' THEN '\Tool'
       ELSE regexp_replace(role, '(\\|###|</turn>|: )', '\\\1', 'g') END AS name
   FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 ), checked AS (

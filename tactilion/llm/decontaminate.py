@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactilion.llm.common import give_back, kept
+from tactilion.llm.common import arrow_limit, give_back, kept
 
 #: Words in the grams of items that are long enough for it.
 GRAM = 3
@@ -223,7 +223,7 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null or empty texts and items hold nothing; repeated rows give repeated results.
     """
-    out = None
+    out, documents = None, arrow_limit(documents)
     for items in item_blocks(benchmark):
         part = documents.select("doc_id", F.explode(leaks(items)("text")).alias("m")).select(
             "doc_id", "m.item_id", "m.start_word", "m.distance", "m.n_words", (1 - F.col("m.distance") / F.col("m.n_words")).alias("similarity")
@@ -235,5 +235,5 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
     for items in item_blocks(benchmark):
-        documents = documents.filter(F.size(leaks(items)("text")) == 0)
+        documents = arrow_limit(documents).filter(F.size(leaks(items)("text")) == 0)
     return documents

@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a line, cut every :data:`PARAGRAPH` characters if it is longer; repeats are numbered, so a text is a set of
-digests. Each digest is added to three cells (one in each third of the sketch): a count, the XOR of digests
+A paragraph is a line; a line of more than :data:`PARAGRAPH` characters is cut where a hash of its last :data:`WINDOW` characters
+says so, so that an edit moves no cut far from it. Repeats are numbered, so a text is a set of digests. Each digest is added to three cells (one in each third of the sketch): a count, the XOR of digests
 and the XOR of their checks. Subtracting two sketches leaves the difference of the two sets, and peeling cells
 that hold one digest recovers it; when peeling gets stuck, both sketches are made again, four times larger.
 The likeness of two texts is the Jaccard similarity of their sets, from their sizes and the recovered difference.
@@ -20,7 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tactilion.llm.common import arrow_limit
+
 PARAGRAPH, CELLS, GROW = 512, 24, 4
+#: Characters that decide a cut, the cuts' mask (one in 256 places on average) and the least length of a piece.
+WINDOW, MASK, LEAST = 8, np.uint64(0xFF), 64
 #: Rows for each range of ids, and ranges at most.
 RANGE_ROWS, MAX_RANGES = 4_000, 20_000
 
@@ -29,15 +33,29 @@ _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 _CHECK = 0xA0761D6478BD642F
 
 
+def _pieces(line: str) -> list[str]:
+    """A long line cut by its content alone."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(len(codes) - WINDOW + 1, np.uint64)
+    for j in range(WINDOW):
+        h = (h ^ codes[j : j + len(h)]) * np.uint64(_MULTIPLIERS[0])
+        h ^= h >> np.uint64(32)
+    out, at = [], 0
+    for cut in (np.flatnonzero((h & MASK) == 0) + WINDOW).tolist():
+        if cut - at >= LEAST:
+            out.append(line[at:cut])
+            at = cut
+    return [*out, line[at:]] if at < len(line) else out
+
+
 def paragraphs(text: str) -> list[str]:
     """Lines that are not empty, long ones in pieces."""
     out = []
     for line in text.split("\n"):
-        if len(line) <= PARAGRAPH:
-            if line:
-                out.append(line)
-        else:
-            out += [line[i : i + PARAGRAPH] for i in range(0, len(line), PARAGRAPH)]
+        if len(line) > PARAGRAPH:
+            out += _pieces(line)
+        elif line:
+            out.append(line)
     return out
 
 
@@ -99,7 +117,7 @@ class Sketch:
 
     def text(self, items: int) -> str:
         """The sketch and the number of its digests, as text."""
-        raw = self.count.astype("<i2").tobytes() + self.keys.astype("<u8").tobytes() + self.checks.astype("<u4").tobytes()
+        raw = self.count.astype("<i8").tobytes() + self.keys.astype("<u8").tobytes() + self.checks.astype("<u4").tobytes()
         return f"{items}:{base64.b64encode(raw).decode()}"
 
 
@@ -198,23 +216,22 @@ def compare(documents: DataFrame) -> DataFrame:
     lowest range. So each text is moved once, and no task sees more than its range. Null texts count as empty,
     a null id is smallest, rows with one id are ordered by text.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = arrow_limit(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = docs.select("doc_id").count()
     wanted = max(1, min(MAX_RANGES, n // RANGE_ROWS))
     shares = [(i + 1) / wanted for i in range(wanted - 1)] + [1.0]
     bounds = np.array(sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 100 * wanted + 10_000)).first()[0] or [])), np.int64)
 
-    @F.pandas_udf("array<struct<range: int, copy: boolean>>")
-    def ranges(ids: pd.Series) -> pd.Series:
-        out = []
-        for i in ids:
-            if i is None or not len(bounds):
-                out.append([(0, False)])
-                continue
-            at = int(np.searchsorted(bounds, int(i)))
-            out.append([(at, False), ((at + 1) % len(bounds), True)] if bounds[at] == int(i) else [(at, False)])
-        return pd.Series([[dict(zip(("range", "copy"), x)) for x in row] for row in out], dtype=object)
-
-    dealt = docs.withColumn("at", F.explode(ranges(F.col("doc_id").cast("string")))).select("at.range", "at.copy", "doc_id", "text")
+    @F.pandas_udf("range int, edge boolean")
+    def ranges(ids: pd.Series) -> pd.DataFrame:
+        known = ids.notna().to_numpy()
+        own = ids.fillna("0").astype("int64").to_numpy()
+        at = np.where(known, np.searchsorted(bounds, own), 0) if len(bounds) else np.zeros(len(ids), np.int64)
+        return pd.DataFrame({"range": at.astype(np.int32), "edge": known & (bounds[at] == own) if len(bounds) else np.zeros(len(ids), bool)})
+
+    # a range's largest row also follows the last row of the range above it
+    copies = F.array(F.struct(F.col("r.range").alias("range"), F.lit(False).alias("copy")), F.struct(((F.col("r.range") + 1) % max(1, len(bounds))).alias("range"), F.lit(True).alias("copy")))
+    dealt = docs.withColumn("r", ranges(F.col("doc_id").cast("string"))).withColumn("at", F.explode(F.slice(copies, F.lit(1), F.when(F.col("r.edge"), 2).otherwise(1))))
+    dealt = dealt.select("at.range", "at.copy", "doc_id", "text")
     rows = dealt.repartition("range").sortWithinPartitions("range", "copy", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     return rows.mapInArrow(_run, _SCHEMA)

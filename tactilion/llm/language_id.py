@@ -3,14 +3,14 @@
 Each language's training text becomes a suffix automaton. A text is parsed against it into
 longest matches; the language whose parse needs the fewest phrases, each weighted by
 ``log2`` of its training length, wins. Parsing restarts every :data:`LANE` symbols so that
-long and short texts run in the same vectorised steps; every symbol of a text is parsed.
+long and short texts run in the same vectorised steps; every symbol of a text is parsed. Each letter of the training texts is a
+symbol of its own, and every ``lang`` value with training text is learned.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,14 +19,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactilion.llm.common import give_back, kept
+from tactilion.llm.common import arrow_limit, give_back, kept
 
 UNKNOWN = "und"
 LANE = 256
-#: Bounds of the training sample: languages, documents and symbols of each, characters of a document.
-MAX_LANGUAGES, MAX_DOCS, TRAIN_SYMBOLS, DOC_CHARS = 100, 64, 40_000, 4_000
-#: Letters the model tells apart; rarer ones share a symbol that no training text holds.
-MAX_LETTERS = 120
+#: The training sample: documents and characters of a language at most, and characters of all languages together, which these share.
+MAX_DOCS, LANG_CHARS, ALL_CHARS = 64, 80_000, 8_000_000
+#: Alphabets up to this size have dense tables; larger ones are looked up by hash, with the same results.
+DENSE = 256
 BATCH_SYMBOLS = 3_000_000
 
 
@@ -76,30 +76,71 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
+class Automaton:
+    """One language's transitions. Symbols: 0 separator, letters of its training text, then any other letter, then padding."""
+
+    def __init__(self, symbols: np.ndarray, size: int, dense: int):
+        self.size, self.pad = size, size - 1
+        nxt = suffix_automaton(symbols.tolist())
+        edges = [(s * size + c, to) for s, out in enumerate(nxt) for c, to in out.items()]
+        key, to = (np.array(x, np.int64) for x in zip(*edges))
+        self.root = np.zeros(size, np.int32)
+        first = key < size
+        self.root[key[first]] = to[first]
+        self.table = None
+        if size <= dense:
+            table = np.full(len(nxt) * size, -1, np.int32)
+            table[key] = to
+            table[np.arange(len(nxt)) * size + self.pad] = np.arange(len(nxt))
+            # states are kept multiplied by the row length, so that a step is one addition and one look-up
+            self.table = np.where(table >= 0, table * size, -1)
+            self.root *= size
+            return
+        self.bits = max(4, (2 * len(key) - 1).bit_length())
+        self.keys, self.to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        left, at, self.probes = np.arange(len(key)), self._slot(key), 0
+        while len(left):
+            self.probes += 1
+            free = self.keys[at] < 0
+            self.keys[at[free]] = key[left[free]]
+            won = self.keys[at] == key[left]
+            self.to[at[won]] = to[left[won]]
+            left, at = left[~won], (at[~won] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """Next states; -1 where no training text goes on so."""
+        if self.table is not None:
+            return self.table[state + column]
+        key = state.astype(np.int64) * self.size + column
+        at, out = self._slot(key), np.where(column == self.pad, state, -1)
+        for _ in range(self.probes):
+            hit = self.keys[at] == key
+            out[hit] = self.to[at[hit]]
+            at = (at + 1) & ((1 << self.bits) - 1)
+        return out
+
+
 class Parser:
-    """Automata of all languages as dense tables, built once in each worker."""
-
-    def __init__(self, samples: dict[str, str]):
-        counts = Counter(ch for text in samples.values() for ch in text.lower() if ch.isalpha())
-        letters = sorted(sorted(counts), key=lambda ch: -counts[ch])[:MAX_LETTERS]
-        self.size = len(letters) + 3  # separator, letters, other letter, padding
-        other, self.pad = len(letters) + 1, len(letters) + 2
-        self.table = np.where(_letters(), other, 0).astype(np.uint8)
-        for i, ch in enumerate(letters):
-            self.table[ord(ch)] = i + 1
-        self.langs, self.steps, self.weights = [], [], []
+    """Automata of all languages, built once in each worker."""
+
+    def __init__(self, samples: dict[str, str], dense: int = DENSE):
+        letters = sorted({ch for text in samples.values() for ch in text.lower() if ch.isalpha()})
+        self.other, self.pad = len(letters) + 1, len(letters) + 2
+        kind = np.uint8 if self.pad < 256 else np.uint32
+        self.table = np.where(_letters(), self.other, 0).astype(kind)
+        self.table[[ord(ch) for ch in letters]] = np.arange(1, len(letters) + 1)
+        self.langs, self.automata, self.weights = [], [], []
         for lang in sorted(samples):
-            symbols = _symbols(_codes(samples[lang].lower()), self.table)[:TRAIN_SYMBOLS]
-            if not len(symbols):
+            symbols = _symbols(_codes(samples[lang].lower()), self.table)
+            if not symbols.any():
                 continue
-            nxt = suffix_automaton(symbols.tolist())
-            dense = np.full((len(nxt), self.size), -1, np.int32)
-            for s, edges in enumerate(nxt):
-                if edges:
-                    dense[s, list(edges)] = list(edges.values())
-            dense[:, self.pad] = np.arange(len(nxt))
-            # states are kept multiplied by the row length, so that a step is one addition and one look-up
-            self.steps.append(np.where(dense >= 0, dense * self.size, -1).ravel())
+            own = np.unique(symbols[symbols > 0])
+            to_own = np.full(self.pad + 1, len(own) + 1, kind)
+            to_own[0], to_own[own], to_own[self.pad] = 0, np.arange(1, len(own) + 1), len(own) + 2
+            self.automata.append((to_own, Automaton(to_own[symbols], len(own) + 3, dense)))
             self.langs.append(lang)
             self.weights.append(math.log2(len(symbols) + 1))
 
@@ -112,7 +153,7 @@ class Parser:
         out = np.zeros((len(texts), len(self.langs)))
         if not n:
             return out, sizes
-        grid = np.full((n, LANE), self.pad, np.uint8)
+        grid = np.full((n, LANE), self.pad, self.table.dtype)
         flat, row = grid.ravel(), 0
         for s, size, k in zip(streams, sizes, lanes_of):
             if size:
@@ -120,15 +161,15 @@ class Parser:
                 row += k
         grid = np.ascontiguousarray(grid.T)
         owner = np.repeat(np.arange(len(texts)), lanes_of)
-        for j, step in enumerate(self.steps):
-            root = np.maximum(step[: self.size], 0)
+        for j, (to_own, automaton) in enumerate(self.automata):
             state = np.zeros(n, np.int32)
             found = np.zeros(n, np.int32)
             for column in grid:
-                after = step[state + column]
+                column = to_own[column]
+                after = automaton.step(state, column)
                 fail = after < 0
                 found += fail
-                state = np.where(fail, root[column], after)
+                state = np.where(fail, automaton.root[column], after)
             out[:, j] = np.bincount(owner, found + 1, len(texts))
         return out, sizes
 
@@ -154,28 +195,27 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(documents: DataFrame) -> dict[str, str]:
-    """Training text by language from at most ``MAX_DOCS`` labelled documents of each language.
+    """Training text by language, of whole labelled documents.
 
-    Documents are taken in the order of a hash of their id, so the sample does not depend on
-    the number of partitions; it is bounded by the constants above whatever the table's size.
+    Documents of a language are taken in the order of a hash of their id while they fit: at most :data:`MAX_DOCS`, and
+    at most :data:`LANG_CHARS` characters together (less if the languages' shares of :data:`ALL_CHARS` are smaller). Longer documents are not
+    taken; a language that has no other learns from its shortest one. So the sample does not depend on the number of partitions.
     """
-    rows = documents.select("doc_id", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    rows = arrow_limit(documents).filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")).select(
+        "doc_id", "lang", F.length("text").alias("n"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t")
+    )
+    langs = rows.agg(F.count_distinct("lang")).first()[0]
     if not langs:
         return {}
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.filter(F.col("lang").isin(langs)).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= MAX_DOCS)
-    ids = [r[0] for r in picked.select("doc_id").distinct().collect()]
-    texts = (
-        documents.select("doc_id", "lang", F.substring("text", 1, DOC_CHARS).alias("text"))
-        .filter(F.col("doc_id").isin(ids) & F.col("lang").isin(langs) & F.col("text").isNotNull())
-        .select(F.xxhash64("doc_id").alias("h"), "doc_id", "lang", "text")
-    )
+    most = max(1, min(LANG_CHARS, ALL_CHARS // langs))
+    by = Window.partitionBy("lang")
+    first = rows.withColumn("order", F.row_number().over(by.orderBy(F.col("n") > most, F.when(F.col("n") > most, F.col("n")), "h", "doc_id", "t"))).filter(F.col("order") <= MAX_DOCS)
+    upto = F.sum("n").over(by.orderBy("order").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    picked = first.withColumn("upto", upto).filter((F.col("order") == 1) | (F.col("n") <= most) & (F.col("upto") <= most))
+    texts = documents.withColumn("t", F.xxhash64("text")).join(F.broadcast(picked.select("doc_id", "lang", "t", "order").distinct()), ["doc_id", "lang", "t"])
     out: dict[str, str] = {}
-    for r in sorted(texts.collect()):
-        had = out.get(r["lang"], "")
-        if len(had) < 2 * TRAIN_SYMBOLS:
-            out[r["lang"]] = f"{had} {r['text']}"
+    for r in sorted(texts.select("lang", "order", "text").distinct().collect()):
+        out[r["lang"]] = f"{out[r['lang']]} {r['text']}" if r["lang"] in out else r["text"]
     return out
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 import xxhash
 
-from tactilion.llm.common import connected_components, give_back, kept, materialize, semi_filter
+from tactilion.llm.common import arrow_limit, connected_components, discard, give_back, kept, materialize, semi_filter
 
 N = 5
 KEYS = 24
@@ -249,10 +249,11 @@ def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
 def components(documents: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``documents(doc_id, text, ...)``.
 
-    Null, empty or blank texts have no shingles and link with nothing. Rows with one ``doc_id`` count
-    as one document. A row with a null id is kept, with a null component, and links with nothing.
+    Null, empty or blank texts have no shingles and link with nothing. Rows with one ``doc_id`` are one node: each row has the
+    size of its own text, and all have the component of the texts of that id together (callers whose ids repeat pass a key of their
+    own instead). A row with a null id is kept, with a null component, and links with nothing.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = arrow_limit(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = F.pandas_udf(_features, "n long, set_hash binary, keys array<long>, bits binary")
     feats = materialize(docs.select("doc_id", features("text").alias("f")).select("doc_id", "f.*"), "features")
     named = feats.filter("n > 0 and doc_id is not null")
@@ -280,6 +281,8 @@ def components(documents: DataFrame) -> DataFrame:
             rest = labelled.join(apart, ["key", "i", "j"]).drop("comp")
             pairs = _candidates(rest, nodes.join(found, "node", "left").select("node", "n", "bits", comp.alias("comp")), mode)
         new = materialize(verified(docs, pairs).select("a", "b"), "links")
+        discard(pairs)
         links = new if links is None else links.union(new)
-        found = materialize(connected_components(links), "components")
+        found = connected_components(links)
+    discard(postings)
     return classes.join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))

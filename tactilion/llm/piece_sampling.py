@@ -10,7 +10,7 @@ the child drawn by its probability; the sets of segmentations that leave the fou
 Gumbel of their exact mass, truncated at the parent's value. The search pops the set with the largest
 value, draws its best member and splits it in turn. The values popped are the ``k`` largest of all perturbed
 segmentations, all distinct. The next value in the queue is the threshold of the inclusion score
-``1 - exp(-exp(log_prob - threshold))``. Random numbers are hashes of the row's key and the place in the
+``1 - exp(-exp(log_prob - threshold))``, given with its logarithm: long texts have scores below the smallest number. Random numbers are hashes of the row's key and the place in the
 text: a row's samples do not depend on its batch or partition.
 """
 
@@ -28,8 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactilion.llm.common import give_back, kept
+from tactilion.llm.common import arrow_limit, give_back, kept
 
+#: Where the vocabulary file lies unless the session sets ``spark.tactilion.pieceModel``.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K, ALPHA, OFFSET = 2, 1.0, 3.0
 BATCH_CHARS = 2_000_000
@@ -260,6 +261,11 @@ class _Sample:
 
 def sample(lattice: Lattice, texts: list[str], seeds: list[int], k: int = K) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text up to ``k`` distinct segmentations: piece ids, log probability, inclusion score."""
+    return [[(ids, logp, math.exp(score)) for ids, logp, score in found] for found in sample_logs(lattice, texts, seeds, k)]
+
+
+def sample_logs(lattice: Lattice, texts: list[str], seeds: list[int], k: int = K) -> list[list[tuple[np.ndarray, float, float]]]:
+    """As :func:`sample`, with the logarithm of the inclusion score."""
     parts = [_CHUNK.findall(f" {t}") for t in texts]
     counts = np.array([len(p) for p in parts])
     codes, distinct = pd.factorize(np.array([c for p in parts for c in p], dtype=object))
@@ -311,7 +317,16 @@ def sample(lattice: Lattice, texts: list[str], seeds: list[int], k: int = K) ->
             left = 1 - sum(math.exp(sum(float(chunks.log[e // width, e % width]) for e in q)) for q in known)
             mass = np.array([parent.before[i] + math.log(left) if left > 1e-9 else -np.inf])
             parent.open[i] = _truncated(mass, value, _uniform(seed[d : d + 1], i, 3, number))[0]
-    return [[(_ids(chunks, s.edges), float(s.logp.sum()), 1.0 if t == -math.inf else -math.expm1(-math.exp(min(50.0, float(s.logp.sum()) - t)))) for s in samples] for samples, t in zip(found, threshold)]
+    return [[(_ids(chunks, s.edges), float(s.logp.sum()), _log_inclusion(float(s.logp.sum()) - t)) for s in samples] for samples, t in zip(found, threshold)]
+
+
+def _log_inclusion(x: float) -> float:
+    """``log(1 - exp(-exp(x)))``, exact where the score itself would be too small for a number; 0 where all segmentations were found."""
+    if x > 3.7:  # 1 to within rounding
+        return 0.0
+    if x < -30:
+        return x
+    return math.log(-math.expm1(-math.exp(x)))
 
 
 def _ids(chunks: Chunks, edges: np.ndarray) -> np.ndarray:
@@ -353,29 +368,29 @@ def row_seed(doc_id: int | None, text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed=0 if doc_id is None else doc_id & 0xFFFFFFFF)
 
 
-SCHEMA = "doc_id long, sample int, ids array<int>, log_prob double, inclusion double, round_trip boolean"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("inclusion", pa.float64()), ("round_trip", pa.bool_())])
+SCHEMA = "doc_id long, sample int, ids array<int>, log_prob double, inclusion double, log_inclusion double, round_trip boolean"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("inclusion", pa.float64()), ("log_inclusion", pa.float64()), ("round_trip", pa.bool_())])
 
 
 def _encode_rows(lattice: Lattice, doc_ids: list[int | None], texts: list[str], k: int) -> pa.RecordBatch:
     rows, arrays = [], []
-    for d, t, found in zip(doc_ids, texts, sample(lattice, texts, [row_seed(d, t) for d, t in zip(doc_ids, texts)], k)):
-        for j, (ids, logp, inclusion) in enumerate(found):
-            rows.append((d, j, logp, inclusion, decode(lattice, ids) == t))
+    for d, t, found in zip(doc_ids, texts, sample_logs(lattice, texts, [row_seed(d, t) for d, t in zip(doc_ids, texts)], k)):
+        for j, (ids, logp, score) in enumerate(found):
+            rows.append((d, j, logp, math.exp(score), score, decode(lattice, ids) == t))
             arrays.append(ids)
     offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
     ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int32), pa.int32()))
-    c = list(zip(*rows)) or [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), ids, pa.array(c[2], pa.float64()), pa.array(c[3], pa.float64()), pa.array(c[4], pa.bool_())], schema=_ARROW)
+    c = list(zip(*rows)) or [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), ids, pa.array(c[2], pa.float64()), pa.array(c[3], pa.float64()), pa.array(c[4], pa.float64()), pa.array(c[5], pa.bool_())], schema=_ARROW)
 
 
-def encode(documents: DataFrame, k: int = K, model_path: str = MODEL) -> DataFrame:
-    """One row for each document and sample: ids, log probability, inclusion score, and whether decoding gives the text.
+def encode(documents: DataFrame, k: int = K, model_path: str | None = None, batch_chars: int = BATCH_CHARS) -> DataFrame:
+    """One row for each document and sample: ids, log probability, inclusion score and its logarithm, and whether decoding gives the text.
 
     A null or empty text is encoded as the empty text (one segmentation). A text with fewer than ``k``
     segmentations gives them all. Repeated rows give repeated results. The model file is read by the driver and sent along (0.5 MB).
     """
-    with open(model_path, "rb") as f:
+    with open(model_path or documents.sparkSession.conf.get("spark.tactilion.pieceModel", MODEL), "rb") as f:
         model = f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,11 +402,11 @@ def encode(documents: DataFrame, k: int = K, model_path: str = MODEL) -> DataFra
                 names.append(d.as_py())
                 texts.append(text)
                 held += len(text)
-                if held >= BATCH_CHARS:
+                if held >= batch_chars:
                     yield _encode_rows(lattice, names, texts, k)
                     names, texts, held = [], [], 0
             if texts:
                 yield _encode_rows(lattice, names, texts, k)
         give_back()
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return arrow_limit(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -5,8 +5,8 @@ of each kind; matches that fail their check are dropped without a retry. Pattern
 Java matcher stays linear (possessive loops, starts only where a run starts) and finds the same matches as
 the plain forms.
 
-Bootstrapping: every digit-bearing token with a word before it is an occurrence of a *pattern* (that word
-and the separators) and an *instance* (the token). Instances that are base entities are seeds with score 1.
+Bootstrapping: every token of :data:`MIN_TOKEN` characters or more that holds a digit or an at sign and has a word before it is
+an occurrence of a *pattern* (that word and the separators, white space as one) and an *instance* (the whole token). Instances that are base entities or look like :data:`SECRETS` are seeds with score 1.
 Each round scores a pattern by its instances (sum of scores over count plus a prior) and each other instance by its
 patterns (noisy or). Instances that reach :data:`MIN_CONFIDENCE` are seeds of the next round, so that patterns that
 are linked to trusted ones by discovered identifiers alone come in too, one hop a round. After :data:`ROUNDS`
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tactilion.llm.common import materialize, semi_filter
+from tactilion.llm.common import fresh, materialize, semi_filter, spread_join
 
 KINDS = ("email", "ip", "card", "phone", "id")
 ROUNDS, PRIOR, MIN_CONFIDENCE, MIN_SEEDS = 3, 2.0, 0.5, 3
@@ -28,8 +28,15 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: A word, separators and a token that holds a digit or is a phone number.
-CONTEXT = r"""(?<!\p{L})(\p{L}{2,24})([\x20:=#"'(]{1,4})((?=[A-Za-z_.@%+-]{0,30}+[0-9])(?:\+[0-9][\x20().0-9-]{6,24}[0-9]|[A-Za-z0-9_.@%+-]{5,200}[A-Za-z0-9]))"""
+#: Shortest token that can be an identifier.
+MIN_TOKEN = 6
+#: Tokens that are secrets by their look: long hexadecimal runs, and long runs of digits, small and capital letters.
+SECRETS = (r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,}$", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]{20,}$")
+#: A word, separators and a whole token: a phone number, a card number, or a run that holds a digit or an at sign.
+CONTEXT = (
+    r"""(?<!\p{L})(\p{L}++)([\x20:=#"'(]++)(\+[0-9][\x20().0-9-]*[0-9]|[0-9](?:[\x20-]?+[0-9]){11,}+|"""
+    rf"""(?=[A-Za-z_.%+-]*+[0-9@])[A-Za-z0-9_.@%+-]{{{MIN_TOKEN - 1},}}[A-Za-z0-9])"""
+)
 
 
 def _digits(s: Column) -> Column:
@@ -95,7 +102,7 @@ def _scan(documents: DataFrame) -> DataFrame:
         "doc_id",
         F.xxhash64("doc_id", text).alias("key"),
         *[_placed(text, p, i, gate).alias(kind) for i, (kind, (p, gate)) in enumerate(gates.items())],
-        _placed(text, CONTEXT, 4, digits).alias("around"),
+        _placed(text, CONTEXT, 4, digits | text.contains("@")).alias("around"),
     )
     for kind in gates:
         raw = raw.withColumn(kind, F.filter(kind, CHECKS[kind]))
@@ -122,7 +129,9 @@ def context_patterns(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     all texts share is one row for each distinct token, not one for each text.
     """
     token = F.col("token")
-    seed = token.rlike(f"^{EMAIL}$") | token.rlike(rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$") | (token.rlike("^[0-9-]+$") & _is_card(token)) | (token.rlike(rf"^{PHONE}$") & F.length(_digits(token)).between(9, 15))
+    seed = token.rlike(f"^{EMAIL}$") | token.rlike(rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$") | (token.rlike("^[0-9 -]+$") & _is_card(token)) | (token.rlike(rf"^{PHONE}$") & F.length(_digits(token)).between(9, 15))
+    for secret in SECRETS:
+        seed = seed | token.rlike(secret)
     edges = materialize(occurrences.select("pattern", token).distinct().withColumn("seed", seed), "edges")
     scores = None
     for _ in range(rounds):
@@ -131,14 +140,14 @@ def context_patterns(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         )
         patterns = known.groupBy("pattern").agg((F.sum("score") / (F.count("*") + PRIOR)).alias("confidence"), F.count_if(F.round("score", 6) >= MIN_CONFIDENCE).alias("seeds"))
         patterns = patterns.filter(F.col("seeds") >= MIN_SEEDS)
-        linked = edges.filter("not seed").join(patterns, "pattern")
+        linked = spread_join(edges.filter("not seed"), patterns, "pattern")
         miss = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))))
         scores = materialize(linked.groupBy("token").agg((1 - F.exp(F.round(miss, 9))).alias("score")), "scores")
     return patterns.filter(F.col("confidence") >= MIN_CONFIDENCE)
 
 
 def _pattern(at: Column) -> Column:
-    return F.concat(at["word"], F.lit("|"), F.translate(at["sep"], " ", "_"))
+    return F.concat(at["word"], F.lit("|"), F.translate(F.regexp_replace(at["sep"], " +", " "), " ", "_"))
 
 
 def scan(documents: DataFrame) -> DataFrame:
@@ -153,30 +162,34 @@ def scan(documents: DataFrame) -> DataFrame:
     )
     free = ~F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
     trusted = context_patterns(occ).select("pattern")
-    found = occ.filter(free).drop("base", "token").join(trusted, "pattern")
+    found = spread_join(occ.filter(free).drop("base", "token"), trusted, "pattern")
     found = found.groupBy("key").agg(F.collect_set(F.struct(F.col("start").cast("bigint").alias("start"), F.lit(4).alias("k"), F.col("end").cast("bigint").alias("end"))).alias("more"))
     none = F.array().cast("array<struct<start: bigint, k: int, end: bigint>>")
     return base.drop("around").join(found, "key", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", none)))).drop("more")
 
 
 def find(documents: DataFrame) -> DataFrame:
-    """One row for each document: counts of base kinds, digest of base spans, all spans as text."""
+    """One row for each document: counts of base kinds, digest of base spans, all spans as text, discovered and all spans counted."""
+    n_spans = F.size("spans").cast("long")
     return scan(documents).select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans")
-    )
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"),
+        (n_spans - F.size("base")).cast("long").alias("n_id"), n_spans.alias("n_spans"),
+    )
 
 
 def redact(documents: DataFrame) -> DataFrame:
     """``documents`` with the same columns, each span of ``text`` replaced by its kind in brackets.
 
-    Rows without spans pass through without a shuffle. Overlapping spans are masked together.
+    Rows without spans pass through without a shuffle. Overlapping spans are masked together. Null texts stay null;
+    other columns are passed on whatever their names.
     """
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    spans = materialize(scan(documents).filter(F.size("spans") > 0).select(F.col("key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"]), "spans")
+    own, held = fresh(documents, "_key", "_spans")
+    spans = materialize(scan(documents).filter(F.size("spans") > 0).select(F.col("key").alias(own), F.col("spans").alias(held)).dropDuplicates([own]), "spans")
     columns = documents.columns
-    marked = documents.withColumn("_key", key)
-    maybe = semi_filter(marked, "_key", spans.select("_key"))
-    rest = semi_filter(marked, "_key", spans.select("_key"), keep=False)
+    marked = documents.withColumn(own, key)
+    maybe = semi_filter(marked, own, spans.select(own))
+    rest = semi_filter(marked, own, spans.select(own), keep=False)
     tag = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("text")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
@@ -186,6 +199,6 @@ def redact(documents: DataFrame) -> DataFrame:
         out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], before, F.element_at(tag, s["k"] + 1))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    masked = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    done = maybe.join(spans, "_key", "left").withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(masked))
+    masked = F.aggregate(held, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    done = maybe.join(spans, own, "left").withColumn("text", F.when(F.col(held).isNull(), text).otherwise(masked))
     return rest.select(columns).unionByName(done.select(columns))

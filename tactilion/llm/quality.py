@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tactilion.llm.common import materialize
+from tactilion.llm.common import arrow_limit, fresh, materialize, spread_join
 
 #: Labelled documents that the model is fitted on, at most, and what an unlabelled document counts for.
 MAX_TRAIN, SOFT_WEIGHT = 4_000, 0.25
@@ -140,7 +140,7 @@ def classify(documents: DataFrame, labels: DataFrame, host: Column, path: Column
     ``host`` and ``path`` are columns of ``documents``; null ones form sites of their own. Labels with several rows for
     one document count once, with their largest value. Without two classes of labels the evidence is neutral.
     """
-    weights = train(documents, labels, target)
+    weights = train(arrow_limit(documents), labels, target)
     known = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(target).cast("double").alias("label"))
     scored = documents.select("doc_id", F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), evidence(weights)("text").alias("logit"))
     scored = materialize(scored.join(known, "doc_id", "left"), "scored").withColumn("p_text", 1 / (1 + F.exp(-F.col("logit"))))
@@ -156,6 +156,9 @@ def classify(documents: DataFrame, labels: DataFrame, host: Column, path: Column
         q = F.greatest(F.least(p, F.lit(1 - 1e-6)), F.lit(1e-6))
         return F.log(q / (1 - q))
 
+    (site,) = fresh(scored, "_site")
+    scored = scored.withColumn(site, F.xxhash64("host", "path"))
+    both = both.withColumn(site, F.xxhash64("host", "path")).drop("host", "path")
     total = F.col("logit") + odds(F.col("p_path")) - odds(F.lit(overall))
-    out = scored.join(both, ["host", "path"], "left").withColumn("quality", 1 / (1 + F.exp(-total)))
+    out = spread_join(scored, both, site, "left").withColumn("quality", 1 / (1 + F.exp(-total)))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "p_text", "p_host", "p_path", "quality", (F.col("quality") >= KEEP).alias("keep"))

@@ -28,7 +28,7 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of each document: pieces, a hash of the ids, scores and the round trip."""
     rows = piece_sampling.encode(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "inclusion", "round_trip")
+    return rows.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "inclusion", "log_inclusion", "round_trip")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
