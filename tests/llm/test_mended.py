@@ -30,7 +30,7 @@ def test_turns_are_read_from_the_whole_conversation():
     talk = chat._Conversation(t, 1)
     talk.add("user", "a|b")
     talk.add("user", "c")
-    assert talk.row()[2] == hashlib.sha256(b"user\na\nb|user\nc\n").hexdigest()
+    assert talk.row()[2] == hashlib.sha256(b"user\na\nb|User\nc\n").hexdigest()
     talk.add("user", "d|e")
     with pytest.raises(ValueError):
         talk.row()
