@@ -10,7 +10,7 @@ copies never become pairs.
   collision of the hashes themselves. Shingles that one representative alone holds are dropped
   before anything is gathered. Large posting lists are cut in blocks, and each pair of blocks is a
   tile of its own, so that no task holds an unbounded list.
-* **Bitmaps.** Each set has a parity bitmap of eight times as many bits as shingles. The bits in
+* **Bitmaps.** Each set has a parity bitmap of two to four times as many bits as shingles. The bits in
   which two bitmaps differ bound the symmetric difference from below, so the overlap from above; with
   the size band (0.75 to 1/0.75), this removes pairs before any set is read.
 * **Verification.** Surviving pairs go to an exact sorted-array intersection, one leading document at a
@@ -18,7 +18,7 @@ copies never become pairs.
 * **Large groups.** Only components are asked for, so links inside a known component need not be found. Three passes
   run over the tiles, each on pairs of different components so far: first a document names its closest
   partner, and the closest of those sorted before it, in the tile of its smallest shared hash alone; then
-  each component of a tile but the largest names its closest pair (a Boruvka step); what is left apart is
+  each component of a larger tile but the largest names its closest pair (a Boruvka step); what is left apart is
   then compared in full, so that no link is missed.
 """
 
@@ -40,6 +40,8 @@ N = 5
 KEYS = 24
 #: Rows of a block of a posting list, and pairs verified against one leading document in a task.
 BLOCK, FAN = 4096, 256
+#: Tiles of up to this many documents need no pass for the closest pairs of components: their pairs are few.
+SMALL_TILE = 32
 MIN_BITS, MAX_BITS = 64, 1 << 17
 WORD_CACHE = 150_000
 
@@ -75,8 +77,8 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """Parity of the hashes that fall on each bit; a power of two of bits, eight times the set's size or more, up to a limit."""
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << (8 * len(hashes) - 1).bit_length()))
+    """Parity of the hashes that fall on each bit; a power of two of bits, twice the set's size or more, up to a limit."""
+    bits = min(MAX_BITS, max(MIN_BITS, 1 << (2 * len(hashes) - 1).bit_length()))
     counts = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -209,9 +211,14 @@ def _tiles(mode: str):
 
 def _candidates(postings: DataFrame, nodes: DataFrame, mode: str) -> DataFrame:
     """``postings(key, i, j, node)`` and ``nodes(node, n, bits, comp)`` to distinct pairs ``(a, b)``."""
-    # the smallest hash of each document, in its own block: the window deals by the key of the join
-    lead = (F.col("key") == F.min("key").over(Window.partitionBy("node"))) & (F.col("i") == F.col("j")) if mode == "lead" else F.lit(False)
-    rows = postings.withColumn("lead", lead).join(nodes, "node").select("key", "i", "j", "node", "n", "comp", "lead", "bits")
+    if mode == "lead":
+        # only tiles of some document's smallest shared hash are looked at; it leads in its own block
+        least = postings.groupBy("node").agg(F.min("key").alias("least"))
+        tiles = least.select(F.col("least").alias("key")).distinct()
+        postings = postings.join(tiles, "key", "left_semi").join(least, "node").withColumn("lead", (F.col("key") == F.col("least")) & (F.col("i") == F.col("j"))).drop("least")
+    else:
+        postings = postings.withColumn("lead", F.lit(False))
+    rows = postings.join(nodes, "node").select("key", "i", "j", "node", "n", "comp", "lead", "bits")
     rows = rows.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
     return materialize(rows.mapInArrow(_tiles(mode), "a long, b long").distinct(), "pairs")
 
@@ -265,8 +272,9 @@ def components(documents: DataFrame) -> DataFrame:
     others = classes.filter("node <> doc_id").select("doc_id")
     reps = named.join(others, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "n", "keys", "bits").dropDuplicates(["node", "n", "bits"])
     keys = reps.select("node", F.explode("keys").alias("key"))
-    count = F.count("*").over(Window.partitionBy("key"))
-    shared = keys.withColumn("c", count).filter("c > 1").withColumn("nb", F.ceil(F.col("c") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")))
+    # counted by aggregation, so that no task holds the list of a common shingle
+    common = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = keys.join(common, "key").withColumn("nb", F.ceil(F.col("c") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")))
     shared = shared.withColumn("other", F.explode(F.when(F.col("nb") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))))
     postings = materialize(shared.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node"), "postings")
     nodes = reps.select("node", "n", "bits")
@@ -277,7 +285,8 @@ def components(documents: DataFrame) -> DataFrame:
         else:
             # only keys whose documents lie in different components still have pairs to look at
             labelled = postings.join(found, "node", "left").select("key", "i", "j", "node", comp.alias("comp"))
-            apart = labelled.groupBy("key", "i", "j").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "i", "j")
+            apart = labelled.groupBy("key", "i", "j").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"))
+            apart = apart.filter(f"lo < hi AND m > {SMALL_TILE if mode == 'closest' else 1}").select("key", "i", "j")
             rest = labelled.join(apart, ["key", "i", "j"]).drop("comp")
             pairs = _candidates(rest, nodes.join(found, "node", "left").select("node", "n", "bits", comp.alias("comp")), mode)
         new = materialize(verified(docs, pairs).select("a", "b"), "links")
