@@ -8,8 +8,8 @@ copies never become pairs.
   linked sets, the smallest hash of the union lies in both with probability 0.75 or more, so the
   chance that all of the first 24 miss is at most 0.25**24 < 4e-15 for a pair: the order of a
   collision of the hashes themselves. Shingles that one representative alone holds are dropped
-  before anything is gathered. Large posting lists are cut in blocks, and each pair of blocks is a
-  tile of its own, so that no task holds an unbounded list.
+  before anything is gathered. Long posting lists are parted by size band, and bands that are still long are cut in blocks, each pair of
+  which is a tile of its own, so that no task holds an unbounded list.
 * **Bitmaps.** Each set has a parity bitmap of two to four times as many bits as shingles. The bits in
   which two bitmaps differ bound the symmetric difference from below, so the overlap from above; with
   the size band (0.75 to 1/0.75), this removes pairs before any set is read.
@@ -43,6 +43,8 @@ BLOCK, FAN = 4096, 256
 #: Tiles of up to this many documents need no pass for the closest pairs of components: their pairs are few.
 SMALL_TILE = 32
 MIN_BITS, MAX_BITS = 64, 1 << 17
+#: Bits for each shingle of the bitmaps that candidate pairs are looked at with once more, and the logarithm of a size band.
+WIDE, BAND = 8, 0.2877  # log(4/3) and a little
 WORD_CACHE = 150_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -76,9 +78,9 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(out)
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    """Parity of the hashes that fall on each bit; a power of two of bits, twice the set's size or more, up to a limit."""
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << (2 * len(hashes) - 1).bit_length()))
+def bitmap(hashes: np.ndarray, share: int = 2) -> bytes:
+    """Parity of the hashes that fall on each bit; a power of two of bits, ``share`` times the set's size or more, up to a limit."""
+    bits = min(MAX_BITS, max(MIN_BITS, 1 << (share * len(hashes) - 1).bit_length()))
     counts = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -88,8 +90,8 @@ def _features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rows = []
         for text in batch:
             s = shingles(text)
-            rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), s[:KEYS].view(np.int64), bitmap(s)) if len(s) else (0, b"", np.empty(0, np.int64), b""))
-        yield pd.DataFrame(rows, columns=["n", "set_hash", "keys", "bits"])
+            rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), s[:KEYS].view(np.int64), bitmap(s), bitmap(s, WIDE)) if len(s) else (0, b"", np.empty(0, np.int64), b"", b""))
+        yield pd.DataFrame(rows, columns=["n", "set_hash", "keys", "bits", "wide"])
     give_back()
 
 
@@ -223,6 +225,24 @@ def _candidates(postings: DataFrame, nodes: DataFrame, mode: str) -> DataFrame:
     return materialize(rows.mapInArrow(_tiles(mode), "a long, b long").distinct(), "pairs")
 
 
+def _wide_enough(n: pd.Series, bits: pd.Series, other_n: pd.Series, other: pd.Series) -> pd.Series:
+    """Whether two wide bitmaps leave it open that their sets link."""
+    out = []
+    for m, x, k, y in zip(n, bits, other_n, other):
+        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        a, b = (a, b) if len(a) <= len(b) else (b, a)
+        out.append(bool(linked(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum(dtype=np.int64), m + k)))
+    return pd.Series(out, dtype=bool)
+
+
+def refined(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+    """The pairs that wide bitmaps, ``wide(node, n, wide)``, do not rule out."""
+    a = wide.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
+    b = wide.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
+    open_still = F.pandas_udf(_wide_enough, "boolean")
+    return materialize(pairs.join(a, "a").join(b, "b").filter(open_still("na", "wa", "nb", "wb")).select("a", "b"), "refined")
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lead, own = None, np.empty(0, np.uint64)
     for batch in batches:
@@ -253,6 +273,25 @@ def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_verify, "a long, b long").distinct()
 
 
+def _postings(reps: DataFrame) -> DataFrame:
+    """``key, i, j, node``: the tiles that each representative is in.
+
+    A short posting list is one tile. A long one is parted by size band: sets that link differ by a third at most, so they lie in
+    one band or in neighbouring ones, and a tile holds a band and the next. Tiles that are still long are cut in blocks,
+    each pair of blocks being a tile. Lists are counted by aggregation, so that no task holds the list of a common shingle.
+    """
+    keys = reps.select("node", "n", F.explode("keys").alias("key"))
+    common = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = keys.join(common, "key")
+    zero = F.lit(0).cast("long")
+    short = shared.filter(F.col("c") <= BLOCK).select("key", zero.alias("i"), zero.alias("j"), "node")
+    band = F.floor(F.log("n") / BAND)
+    banded = shared.filter(F.col("c") > BLOCK).select(F.explode(F.array(F.xxhash64("key", band), F.xxhash64("key", band - 1))).alias("key"), "node")
+    sizes = banded.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
+    cut = banded.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb"))).withColumn("other", F.explode(F.sequence(zero, F.col("nb") - 1)))
+    return short.unionByName(cut.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node"))
+
+
 def components(documents: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``documents(doc_id, text, ...)``.
 
@@ -261,7 +300,7 @@ def components(documents: DataFrame) -> DataFrame:
     own instead). A row with a null id is kept, with a null component, and links with nothing.
     """
     docs = arrow_limit(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    features = F.pandas_udf(_features, "n long, set_hash binary, keys array<long>, bits binary")
+    features = F.pandas_udf(_features, "n long, set_hash binary, keys array<long>, bits binary, wide binary")
     feats = materialize(docs.select("doc_id", features("text").alias("f")).select("doc_id", "f.*"), "features")
     named = feats.filter("n > 0 and doc_id is not null")
     copies = named.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.count("*").alias("c")).filter("c > 1").drop("c")
@@ -270,13 +309,8 @@ def components(documents: DataFrame) -> DataFrame:
         "classes",
     )
     others = classes.filter("node <> doc_id").select("doc_id")
-    reps = named.join(others, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "n", "keys", "bits").dropDuplicates(["node", "n", "bits"])
-    keys = reps.select("node", F.explode("keys").alias("key"))
-    # counted by aggregation, so that no task holds the list of a common shingle
-    common = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    shared = keys.join(common, "key").withColumn("nb", F.ceil(F.col("c") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")))
-    shared = shared.withColumn("other", F.explode(F.when(F.col("nb") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))))
-    postings = materialize(shared.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node"), "postings")
+    reps = named.join(others, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "n", "keys", "bits", "wide").dropDuplicates(["node", "n", "bits"])
+    postings = materialize(_postings(reps), "postings")
     nodes = reps.select("node", "n", "bits")
     links, found, comp = None, None, F.coalesce("component", "node")
     for mode in ("lead", "closest", "all"):
@@ -289,8 +323,9 @@ def components(documents: DataFrame) -> DataFrame:
             apart = apart.filter(f"lo < hi AND m > {SMALL_TILE if mode == 'closest' else 1}").select("key", "i", "j")
             rest = labelled.join(apart, ["key", "i", "j"]).drop("comp")
             pairs = _candidates(rest, nodes.join(found, "node", "left").select("node", "n", "bits", comp.alias("comp")), mode)
-        new = materialize(verified(docs, pairs).select("a", "b"), "links")
-        discard(pairs)
+        close = refined(pairs, reps.select("node", "n", "wide"))
+        new = materialize(verified(docs, close).select("a", "b"), "links")
+        discard(pairs, close)
         links = new if links is None else links.union(new)
         found = connected_components(links)
     discard(postings)
