@@ -237,6 +237,7 @@ def _wide_enough(n: pd.Series, bits: pd.Series, other_n: pd.Series, other: pd.Se
 
 def refined(pairs: DataFrame, wide: DataFrame) -> DataFrame:
     """The pairs that wide bitmaps, ``wide(node, n, wide)``, do not rule out."""
+    wide = semi_filter(wide, "node", pairs.select("a").union(pairs.select("b")).distinct())
     a = wide.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
     b = wide.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
     open_still = F.pandas_udf(_wide_enough, "boolean")
@@ -282,7 +283,8 @@ def _postings(reps: DataFrame) -> DataFrame:
     """
     keys = reps.select("node", "n", F.explode("keys").alias("key"))
     common = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    shared = keys.join(common, "key")
+    common = materialize(common, "common")
+    shared = semi_filter(keys, "key", common.select("key")).join(common, "key")
     zero = F.lit(0).cast("long")
     short = shared.filter(F.col("c") <= BLOCK).select("key", zero.alias("i"), zero.alias("j"), "node")
     band = F.floor(F.log("n") / BAND)
@@ -308,8 +310,15 @@ def components(documents: DataFrame) -> DataFrame:
         feats.select("doc_id", "n", "set_hash").join(copies, "set_hash", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")).alias("node")),
         "classes",
     )
+    # copies and repeated rows are few: the others become representatives without being moved
     others = classes.filter("node <> doc_id").select("doc_id")
-    reps = named.join(others, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "n", "keys", "bits", "wide").dropDuplicates(["node", "n", "bits"])
+    again = named.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id")
+    touched = materialize(others.union(again).distinct(), "touched")
+    alone = semi_filter(named, "doc_id", touched, keep=False)
+    once = semi_filter(named, "doc_id", touched).join(others, "doc_id", "left_anti").dropDuplicates(["doc_id", "n", "bits"])
+    columns = [F.col("doc_id").alias("node"), "n", "keys", "bits", "wide"]
+    reps = materialize(alone.select(columns).unionByName(once.select(columns)), "reps")
+    discard(feats, touched)
     postings = materialize(_postings(reps), "postings")
     nodes = reps.select("node", "n", "bits")
     links, found, comp = None, None, F.coalesce("component", "node")
@@ -328,5 +337,5 @@ def components(documents: DataFrame) -> DataFrame:
         discard(pairs, close)
         links = new if links is None else links.union(new)
         found = connected_components(links)
-    discard(postings)
+    discard(postings, reps)
     return classes.join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
