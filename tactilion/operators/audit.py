@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactilion.functions.text import word_list
+from tactilion.functions.text import tokenize_words, word_list
 
 
 def words_of(rows: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -57,3 +60,202 @@ def fidelity(counts: DataFrame, sets: list[str], features: list[str]) -> DataFra
 
 def share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(0.0)
+
+
+def source_counts(pages: DataFrame, key: str, markup: str) -> DataFrame:
+    """Words, pictures, tables, equations and note references of marked-up sources."""
+    m = F.regexp_replace(F.col(markup), r"(?is)<!--.*?-->|<(script|style|head|title)\b.*?</\1\s*>", " ")
+    text = F.regexp_replace(F.regexp_replace(m, r"(?i)</?(a|abbr|b|bdo|big|cite|code|dfn|em|i|kbd|q|samp|small|span|strong|sub|sup|tt|u|var)\b[^<>]*>", ""), r"<[^<>]*>", " ")
+
+    def count(tag: str) -> Column:
+        return F.regexp_count(m, F.lit(rf"(?i)<{tag}\b")).cast("long")
+
+    return pages.select(key, F.size(word_list(text)).cast("long").alias("words"), count("img").alias("images"), count("table").alias("tables"), count("math").alias("maths"), count("noteref").alias("noterefs"))
+
+
+def model_counts(blocks: DataFrame, key: str) -> DataFrame:
+    """The same counts of ``blocks(key, type, text)``."""
+    kind = F.col("type")
+    words = F.when(kind.isin("pagenum", "math"), 0).otherwise(F.size(word_list(F.coalesce("text", F.lit("")))))
+    return blocks.groupBy(key).agg(
+        F.sum(words).cast("long").alias("words"), F.count_if(kind == "graphic").alias("images"), F.count_if(kind == "table").alias("tables"), F.count_if(kind == "math").alias("maths"),
+        F.count_if(kind == "noteref").alias("noterefs"),
+    )
+
+
+def load_warnings(source: DataFrame, model: DataFrame, key: str) -> DataFrame:
+    """``key, feature, lost`` for each feature of which the model has fewer than the source."""
+    features = ["words", "images", "tables", "maths"]
+    both = source.select(key, *features).join(model.select(key, *[F.col(f).alias(f"_{f}") for f in features]), key, "left")
+    lost = F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f) - F.coalesce(F.col(f"_{f}"), F.lit(0))).alias("lost")) for f in features])
+    return both.select(key, F.explode(lost).alias("x")).select(key, "x.*").filter("lost > 0")
+
+
+def blocked_paragraphs(blocks: DataFrame, key: str) -> DataFrame:
+    """``key, total, blocked, all_blocked`` of plain paragraphs; one paragraph alone is no case."""
+    plain = (F.col("type") == "para") & F.col("style").isNull()
+    out = blocks.groupBy(key).agg(F.count_if(plain).alias("total"), F.count_if(plain & F.col("blocked")).alias("blocked"))
+    return out.withColumn("all_blocked", (F.col("total") >= 2) & (F.col("total") == F.col("blocked")))
+
+
+def furniture(line: Column) -> Column:
+    """Lines that carry no text: blank, borders, separators, and numbers alone."""
+    t = F.btrim(line)
+    return (t == "") | t.rlike(r'^[=7GC\-"3 ]+$') | t.rlike(r"^[A-Z]?#[A-J]+$")
+
+
+def text_words(lines: Column) -> Column:
+    """Words of the lines that are no furniture."""
+    return F.flatten(F.transform(F.filter(lines, lambda x: ~furniture(x)), lambda x: F.filter(F.split(x, " +"), lambda w: w != "")))
+
+
+def line_density(lines: DataFrame, key: str, line: str) -> DataFrame:
+    """Lines, mean length without blank lines, and box lines of each output."""
+    filled = F.btrim(line) != ""
+    box = F.btrim(line).rlike("^(7+|G+|=+)$")
+    return lines.groupBy(key).agg(F.count("*").alias("lines"), F.avg(F.when(filled, F.length(F.rtrim(line)))).alias("density"), F.count_if(box).alias("box_lines"))
+
+
+def compared(ours: DataFrame, reference: DataFrame, key: str, counts: list[str], tolerance: float = 0.15) -> DataFrame:
+    """Ours next to a reference's counts by ``key``: relative differences, and whether all are within the tolerance; null without a reference."""
+    both = ours.join(reference.select(key, *[F.col(c).alias(f"ref_{c}") for c in counts]), key, "left")
+    delta = {c: (F.col(c) - F.col(f"ref_{c}")) / F.nullif(F.col(f"ref_{c}"), F.lit(0)) for c in counts}
+    fine = None
+    for c in counts:
+        one = F.abs(delta[c]) <= tolerance
+        fine = one if fine is None else fine & one
+    return both.select(key, *counts, *[f"ref_{c}" for c in counts], *[delta[c].alias(f"delta_{c}") for c in counts], fine.alias("within"))
+
+
+def totals(rows: DataFrame, counts: list[str]) -> DataFrame:
+    return rows.agg(F.count("*").alias("files"), *[F.sum(c).alias(c) for c in counts])
+
+
+def key_sets(ours: DataFrame, base: DataFrame, key: str, value: str) -> DataFrame:
+    """Dictionaries of messages against a base: ``key, status`` where a key is missing, extra or empty, lacks a placeholder, or is unchanged."""
+    marks = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"\{(\w+)\}"), F.lit(1))))
+    both = base.select(key, F.col(value).alias("_base"), F.lit(True).alias("_in")).join(ours.select(key, F.col(value).alias("_own"), F.lit(True).alias("_has")), key, "full")
+    status = (
+        F.when(F.col("_has").isNull(), "missing").when(F.col("_in").isNull(), "extra").when(F.btrim(F.coalesce("_own", F.lit(""))) == "", "empty")
+        .when(F.size(F.array_except(marks(F.col("_base")), marks(F.col("_own")))) > 0, "placeholder").when(F.col("_own").eqNullSafe(F.col("_base")), "same").otherwise("ok")
+    )
+    return both.select(key, status.alias("status"))
+
+
+def differing_settings(left: Column, right: Column) -> Column:
+    """Keys of two maps whose values differ, one side's absence included."""
+    keys = F.array_sort(F.array_union(F.map_keys(left), F.map_keys(right)))
+    return F.filter(keys, lambda k: ~F.try_element_at(left, k).eqNullSafe(F.try_element_at(right, k)))
+
+
+def canonical(row: Column) -> Column:
+    """A digest of a model that does not depend on the order in which its fields were put."""
+    return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(row)))), 256)
+
+
+def both_ways(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that one of two results has and the other lacks, with their number: none if they are the same bag."""
+    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+
+
+def grid(results: DataFrame, feature: str, stage: str, stages: list[str], passed: str) -> DataFrame:
+    """Feature by stage: PASS if all cases pass, FAIL if none does, else PARTIAL; null without a case."""
+    status = F.when(F.bool_and(passed), "PASS").when(~F.bool_or(passed), "FAIL").otherwise("PARTIAL")
+    return results.groupBy(feature).pivot(stage, stages).agg(status)
+
+
+def proofread_summary(entries: DataFrame, key: str) -> DataFrame:
+    """``key, checked, issues, clean`` of ``entries(key, text, issues)``; blank texts are not checked."""
+    seen = F.btrim(F.coalesce("text", F.lit(""))) != ""
+    found = F.sum(F.when(seen, F.size("issues")).otherwise(0)).cast("long")
+    return entries.groupBy(key).agg(F.count_if(seen).alias("checked"), found.alias("issues"), (found == 0).alias("clean"))
+
+
+def _aligned(left: list[str], right: list[str], reach: int) -> tuple[list[tuple[int, int]], int]:
+    """Matched places of two word lists, ``left`` scanned in order; where words differ, the nearest match within ``reach`` words goes on."""
+    out, i, j, off = [], 0, 0, 0
+    while i < len(left) and j < len(right):
+        if left[i] == right[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+            continue
+        step = next(((a, n - a) for n in range(1, 2 * reach + 1) for a in range(min(n, reach) + 1) if n - a <= reach and i + a < len(left) and j + n - a < len(right) and left[i + a] == right[j + n - a]), None)
+        off += 1
+        i, j = (i + step[0], j + step[1]) if step else (i + 1, j + 1)
+    return out, off
+
+
+def word_diff(left: Column, right: Column, reach: int = 40) -> Column:
+    """``struct<matched, differing, left_rest, right_rest>`` of two arrays of words, compared by two cursors."""
+    @F.pandas_udf("matched long, differing long, left_rest long, right_rest long")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for a, b in batches:
+            rows = []
+            for x, y in zip(a, b):
+                x, y = [list(v) if v is not None else [] for v in (x, y)]
+                found, off = _aligned(x, y, reach)
+                rows.append((len(found), off, len(x) - len(found), len(y) - len(found)))
+            yield pd.DataFrame(rows, columns=["matched", "differing", "left_rest", "right_rest"])
+
+    return run(left, right)
+
+
+def _unmatched(a: list[str], b: list[str]) -> list[int]:
+    """Places of ``a`` that a longest common subsequence with ``b`` leaves out: rows of bits, a word at a time, walked back."""
+    if not a or not b:
+        return list(range(len(a)))
+    where: dict[str, int] = {}
+    for j, w in enumerate(b):
+        where[w] = where.get(w, 0) | 1 << j
+    full, row, rows = (1 << len(b)) - 1, (1 << len(b)) - 1, []
+    for w in a:
+        hit = row & where.get(w, 0)
+        row = (row + hit | row - hit) & full
+        rows.append(row)
+    # zero bits of a row mark where the length grows along b
+    out, j = [], len(b)
+    for i in range(len(a) - 1, -1, -1):
+        below = rows[i - 1] if i else full
+        length = lambda r: j - (r & (1 << j) - 1).bit_count()
+        if length(rows[i]) == length(below):
+            out.append(i)
+            continue
+        while j and not (b[j - 1] == a[i] and (rows[i] >> j - 1 & 1) == 0):
+            j -= 1
+        j = max(0, j - 1)
+    return out[::-1]
+
+
+def mismatches(source: Column, back: Column, normalize=F.lower) -> Column:
+    """``array<struct<word, start, end>>``: words of ``source`` that a longest common subsequence with ``back`` leaves out."""
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            yield pd.Series([_unmatched([] if x is None else list(x), [] if y is None else list(y)) for x, y in zip(a, b)], dtype=object)
+
+    words, other = tokenize_words(source), tokenize_words(back)
+    left = run(F.transform(words, lambda w: normalize(w["raw"])), F.transform(other, lambda w: normalize(w["raw"])))
+    return F.transform(left, lambda i: F.struct(F.get(words, i)["raw"].alias("word"), F.get(words, i)["start"].alias("start"), F.get(words, i)["end"].alias("end")))
+
+
+def adler32(data: Column) -> Column:
+    """Adler-32 of a binary column, as text of its bytes in hex."""
+    codes = F.transform(F.regexp_extract_all(F.hex(data), F.lit(".."), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("long"))
+    start = F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    return F.aggregate(codes, start, lambda acc, x: F.struct(((acc["a"] + x) % 65521).alias("a"), ((acc["b"] + acc["a"] + x) % 65521).alias("b")), lambda acc: acc["b"] * 65536 + acc["a"])
+
+
+def checksums(data: Column) -> dict[str, Column]:
+    """Sums of a binary column: CRC-32, SHA-256 and a 53-bit signature."""
+    return {"crc32": F.crc32(data), "sha256": F.sha2(data, 256), "signature": F.xxhash64(data).bitwiseAND((1 << 53) - 1)}
+
+
+def bounds(points: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """The box around each group's points; none without points."""
+    return points.groupBy(by).agg(F.min(x).alias("x0"), F.min(y).alias("y0"), F.max(x).alias("x1"), F.max(y).alias("y1"))
+
+
+def first_seen(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """Distinct values of each group in order of first appearance: textures, lines and symbols of a drawing."""
+    first = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.min(order).alias("first"))
+    return first.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", value))), lambda v: v[value]).alias("values"))

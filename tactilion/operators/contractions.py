@@ -1,109 +1,247 @@
-"""Contracted UEB words: a rule transducer over distinct words, relaxing, sign counts and back-translation.
+"""Contracted UEB: a catalogue of signs, translation of distinct words with positions, spelling out, and reading back.
 
-The catalogue states public facts of Unified English Braille. Translation is longest sign first from the left; a
-word that is a wordsign stands alone. Readers who have not learned some signs get those spelled out.
+The catalogue states public facts of Unified English Braille. Of all ways to write a word with the signs that its rules of use
+allow, the one with the fewest cells is taken, strong signs before lower ones, longer signs first. Readers who have not learned some
+signs get those spelled out. Words are translated once each; see :func:`translate`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values of UEB, in braille ASCII: print, cells.
-WORDSIGNS = dict(
-    but="B", can="C", do="D", every="E", go="G", have="H", just="J", knowledge="K", like="L", more="M", people="P", quite="Q", rather="R", so="S", us="U",
-    very="V", will="W", it="X", you="Y", child="*", shall="%", this="?", which=":", out="\\", still="/", enough="5", were="7", his="8", be="2", was="0",
-    **{"not": "N", "that": "T", "from": "F", "as": "Z", "in": "9"},
-)
-STRONG = {"and": "&", "for": "=", "of": "(", "the": "!", "with": ")"}
-GROUPS = {"ch": "*", "gh": "<", "sh": "%", "th": "?", "wh": ":", "ed": "$", "er": "]", "ou": "\\", "ow": "[", "st": "/", "ar": ">", "ing": "+"}
-LOWER_MIDDLE = {"ea": "1", "bb": "2", "cc": "3", "ff": "6", "gg": "7"}
-LOWER_BEGIN = {"be": "2", "con": "3", "dis": "4"}
-LOWER_ANY = {"en": "5", "in": "9"}
-FINAL = {"ound": ".D", "ance": ".E", "sion": ".N", "less": ".S", "ount": ".T", "ence": ";E", "ong": ";G", "ful": ";L", "tion": ";N", "ness": ";S", "ment": ";T", "ity": ";Y"}
-INITIAL = {
-    "day": '"D', "ever": '"E', "father": '"F', "here": '"H', "know": '"K', "lord": '"L', "mother": '"M', "name": '"N', "one": '"O', "part": '"P', "question": '"Q', "right": '"R',
-    "some": '"S', "time": '"T', "under": '"U', "young": '"Y', "there": '"!', "character": '"*', "through": '"?', "where": '":', "ought": '"\\', "work": '"W',
-    "upon": "^U", "these": "^!", "those": "^?", "whose": "^:", "word": "^W", "cannot": "_C", "had": "_H", "many": "_M", "spirit": "_S", "their": "_!", "world": "_W",
+#: Fixed values of UEB, in braille ASCII: print and cells, by group.
+GROUPS = {
+    "alphabetic_wordsigns": "but:B can:C do:D every:E from:F go:G have:H just:J knowledge:K like:L more:M not:N people:P quite:Q rather:R so:S that:T us:U very:V will:W it:X you:Y as:Z",
+    "strong_wordsigns": "and:& for:= of:( the:! with:)",
+    "strong_contractions": "ch:* gh:< sh:% th:? wh:: ed:$ er:] ou:\\ ow:[ st:/ ar:> ing:+",
+    "strong_contraction_wordsigns": "child:* shall:% this:? which:: out:\\ still:/",
+    "lower_wordsigns": "be:2 enough:5 were:7 his:8 was:0",
+    "lower_contractions": "ea:1 bb:2 cc:3 ff:6 gg:7 en:5 in:9 be:2 con:3 dis:4",
+    "initial_contractions": (
+        'day:"D ever:"E father:"F here:"H know:"K lord:"L mother:"M name:"N one:"O part:"P question:"Q right:"R some:"S time:"T under:"U work:"W young:"Y there:"! character:"* '
+        'through:"? where:": ought:"\\ upon:^U word:^W these:^! those:^? whose:^: cannot:_C had:_H many:_M spirit:_S world:_W their:_!'
+    ),
+    "final_contractions": "ound:.D ance:.E sion:.N less:.S ount:.T ence:;E ong:;G ful:;L tion:;N ness:;S ment:;T ity:;Y",
+    "shortforms": (
+        "about:AB above:ABV according:AC across:ACR after:AF afternoon:AFN afterward:AFW again:AG against:AG/ almost:ALM already:ALR also:AL although:AL? altogether:ALT always:ALW "
+        "because:2C before:2F behind:2H below:2L beneath:2N beside:2S between:2T beyond:2Y blind:BL braille:BRL children:*N conceive:3CV conceiving:3CVG could:CD deceive:DCV "
+        "deceiving:DCVG declare:DCL declaring:DCLG either:EI first:F/ friend:FR good:GD great:GRT herself:H]F him:HM himself:HMF immediate:IMM its:XS itself:XF letter:LR little:LL much:M* "
+        'must:M/ myself:MYF necessary:NEC neither:NEI oneself:"OF ourselves:\\RVS paid:PD perceive:P]CV perceiving:P]CVG perhaps:P]H quick:QK receive:RCV receiving:RCVG rejoice:RJC '
+        "rejoicing:RJCG said:SD should:%D such:S* themselves:!MVS thyself:?YF today:TD together:TGR tomorrow:TM tonight:TN would:WD your:YR yourself:YRF yourselves:YRVS"
+    ),
 }
-CATALOGUE = [(g, p, c) for g, table in (("word", WORDSIGNS), ("strong", STRONG), ("group", GROUPS), ("middle", LOWER_MIDDLE), ("begin", LOWER_BEGIN), ("any", LOWER_ANY), ("final", FINAL), ("initial", INITIAL)) for p, c in table.items()]
+CATALOGUE = [(group, *sign.split(":", 1)) for group, signs in GROUPS.items() for sign in signs.split()]
 KEYS = [f"{g}:{p}" for g, p, _ in CATALOGUE]
+WHOLE = ("alphabetic_wordsigns", "strong_contraction_wordsigns", "lower_wordsigns", "shortforms")
+#: What may follow a wordsign behind an apostrophe.
+AFTER_APOSTROPHE = ("d", "ll", "re", "s", "t", "ve")
+_LOWER = "lower_contractions"
+_MIDDLE, _BEGIN = ("ea", "bb", "cc", "ff", "gg"), ("be", "con", "dis")
+_BY_PRINT: dict[str, list[tuple[str, str, str]]] = {}
+for _g, _p, _c in CATALOGUE:
+    _BY_PRINT.setdefault(_p, []).append((_g, _c, f"{_g}:{_p}"))
+_LONGEST = max(map(len, _BY_PRINT))
+_OWN = {"'": "'", "’": "'", "-": "-"}
 
 
+def _letter(c: str) -> str:
+    return c.upper() if "a" <= c <= "z" else _OWN.get(c, "=")
+
+
+def _usable(group: str, print_: str, word: str, i: int) -> bool:
+    """Whether a sign may stand at ``i`` of a run of letters."""
+    end = i + len(print_)
+    if group in WHOLE:
+        return i == 0 and end == len(word)
+    if group == "final_contractions" or print_ == "ing":
+        return i > 0
+    if group == _LOWER:
+        return not (print_ in _BEGIN and (i or end == len(word)) or print_ in _MIDDLE and (not i or end == len(word)))
+    return True
+
+
+def _run(word: str, allowed: frozenset[str]) -> list[tuple[str, str, str | None]]:
+    """(print, cells, sign) of a run of small letters: fewest cells, then fewest lower signs, then the longest sign first."""
+    n = len(word)
+    best: list[tuple] = [None] * n + [((0, 0, ()), None)]
+    for i in range(n - 1, -1, -1):
+        choices = [(word[i], _letter(word[i]), None)]
+        for k in range(1, min(_LONGEST, n - i) + 1):
+            for group, cells, key in _BY_PRINT.get(word[i : i + k], ()):
+                if key in allowed and _usable(group, word[i : i + k], word, i):
+                    choices.append((word[i : i + k], cells, key))
+        made = []
+        for p, cells, key in choices:
+            count, low, lengths = best[i + len(p)][0]
+            made.append(((count + len(cells), low + (key is not None and key.startswith(_LOWER)), (-len(p), *lengths)), (p, cells, key)))
+        best[i] = min(made, key=lambda x: x[0])
+    out, i = [], 0
+    while i < n:
+        out.append(best[i][1])
+        i += len(best[i][1][0])
+    return out
+
+
+@lru_cache(1 << 16)
 def pieces(word: str, allowed: frozenset[str] = frozenset(KEYS)) -> list[tuple[str, str, str | None]]:
-    """(print, cells, sign) of a lower-case word; sign is None for a plain letter."""
-    if word in WORDSIGNS and f"word:{word}" in allowed:
-        return [(word, WORDSIGNS[word], f"word:{word}")]
+    """(print, cells, sign) of a small-letter word; sign is None for a plain letter. A wordsign keeps its use before an apostrophe and an ending."""
+    head, mark, tail = word.partition("'")
+    if mark and tail in AFTER_APOSTROPHE and head.isalpha():
+        return [*_run(head, allowed), ("'", "'", None), *((c, _letter(c), None) for c in tail)]
     out: list[tuple[str, str, str | None]] = []
-    i, n = 0, len(word)
-    while i < n:
-        for g, p, c in _BY_LENGTH:
-            if not word.startswith(p, i) or f"{g}:{p}" not in allowed:
-                continue
-            end = i + len(p)
-            if (
-                g == "begin" and (i > 0 or end == n)
-                or g == "middle" and (i == 0 or end == n)
-                or g == "final" and i == 0
-                or p == "ing" and i == 0
-            ):
-                continue
-            out.append((p, c, f"{g}:{p}"))
-            i = end
-            break
+    i = 0
+    while i < len(word):
+        j = i
+        while j < len(word) and word[j].isalpha():
+            j += 1
+        if j > i:
+            # beside an apostrophe letters do not stand alone
+            alone = not (i and word[i - 1] in "'’" or j < len(word) and word[j] in "'’")
+            out += _run(word[i:j], allowed if alone else allowed - _ALONE)
         else:
-            out.append((word[i], word[i].upper() if "a" <= word[i] <= "z" else "=", None))
-            i += 1
+            out.append((word[i], _letter(word[i]), None))
+            j = i + 1
+        i = j
     return out
 
 
-_BY_LENGTH = sorted((x for x in CATALOGUE if x[0] != "word"), key=lambda x: -len(x[1]))
+_ALONE = frozenset(k for (g, _, _), k in zip(CATALOGUE, KEYS) if g in WHOLE)
 
 
-def back(cells: str, whole: bool = True) -> str:
-    """Print of contracted cells by the same rules, longest cells first; letters by their own cells."""
-    if whole and cells in _WORD_BACK:
-        return _WORD_BACK[cells]
-    out, i, n = "", 0, len(cells)
-    while i < n:
-        two = cells[i : i + 2]
-        if two in _INITIAL_BACK:
-            out, i = out + _INITIAL_BACK[two], i + 2
-        elif out and two in _FINAL_BACK:
-            out, i = out + _FINAL_BACK[two], i + 2
-        elif cells[i] in _LOWER_BACK:
-            begin, middle = _LOWER_BACK[cells[i]]
-            out, i = out + (begin if not out and begin else middle or begin or "?"), i + 1
+def positions(found: list[tuple[str, str, str | None]]) -> list[int]:
+    """Place in print of each cell: all cells of a sign stand for its first letter."""
+    out, at = [], 0
+    for p, cells, _ in found:
+        out += [at] * len(cells)
+        at += len(p)
+    return out
+
+
+def segments(word: str, cells: str, places: list[int]) -> list[tuple[str, str, int, int]]:
+    """(print, cells, start, end) of cells grouped by equal place; the whole word as one if places are unusable."""
+    out, j = [], 0
+    while j < len(cells) == len(places):
+        k = j
+        while k + 1 < len(cells) and places[k + 1] == places[j]:
+            k += 1
+        end = places[k + 1] if k + 1 < len(cells) else len(word)
+        if not 0 <= places[j] <= end <= len(word):
+            break
+        out.append((word[places[j] : end], cells[j : k + 1], places[j], end))
+        j = k + 1
+    return out if j and j == len(cells) else [(word, cells, 0, len(word))] if word else []
+
+
+def named(word: str, parts: list[tuple[str, str, int, int]]) -> list[tuple[str, str, str | None]]:
+    """(print, cells, sign) of segments: a sign has exactly a segment's letters and cells; an unclear one is parsed, longest sign first."""
+    out: list[tuple[str, str, str | None]] = []
+    whole = len(parts) == 1
+    for print_, cells, _, _ in parts:
+        found = [(g, key) for g, c, key in _BY_PRINT.get(print_.lower(), ()) if c == cells]
+        found.sort(key=lambda x: (x[0] in WHOLE) != whole)
+        if found:
+            out.append((print_, cells, found[0][1]))
         else:
-            out, i = out + _ONE_BACK.get(cells[i], cells[i].lower()), i + 1
+            out += _parsed(print_, cells) or [(print_, cells, None)]
     return out
 
 
-_WORD_BACK = {c: p for p, c in WORDSIGNS.items()}
-_INITIAL_BACK = {c: p for p, c in INITIAL.items()}
-_FINAL_BACK = {c: p for p, c in FINAL.items()}
-_ONE_BACK = {c: p for p, c in (STRONG | GROUPS | LOWER_ANY).items()}
-_LOWER_BACK = {c: ({v: k for k, v in LOWER_BEGIN.items()}.get(c), {v: k for k, v in LOWER_MIDDLE.items()}.get(c)) for c in "123467"}
+def _parsed(print_: str, cells: str) -> list[tuple[str, str, str | None]] | None:
+    if not print_ and not cells:
+        return []
+    for k in range(min(_LONGEST, len(print_)), 0, -1):
+        for group, c, key in sorted(_BY_PRINT.get(print_[:k].lower(), ()), key=lambda x: x[0] in WHOLE):
+            if cells.startswith(c) and (rest := _parsed(print_[k:], cells[len(c) :])) is not None:
+                return [(print_[:k], c, key), *rest]
+    if print_ and cells and cells[0] == _letter(print_[0].lower()) and (rest := _parsed(print_[1:], cells[1:])) is not None:
+        return [(print_[0], cells[0], None), *rest]
+    return None
+
+
+def relaxed(word: str, allowed: frozenset[str]) -> tuple[str, list[int], list[tuple[int, int, str]], list[tuple[int, int]]]:
+    """Cells, places, what was spelled out (start, end, sign) and what could not be, for a reader who holds the signs ``allowed``.
+
+    The word is translated as for everyone; pieces whose sign is not held are written letter by letter, in place.
+    """
+    cells, places, spelled, unresolved, at = "", [], [], [], 0
+    for p, c, key in pieces(word):
+        if key is None or key in allowed:
+            cells, places = cells + c, places + [at] * len(c)
+        elif p.isascii() and p.isalpha():
+            cells, places = cells + p.upper(), places + list(range(at, at + len(p)))
+            spelled.append((at, at + len(p), key))
+        else:
+            cells, places = cells + c, places + [at] * len(c)
+            unresolved.append((at, at + len(p)))
+        at += len(p)
+    return cells, places, spelled, unresolved
+
+
+def allows_everything(allowed: Column) -> Column:
+    """Whether an array of signs holds the whole catalogue; null means all."""
+    return F.coalesce(F.size(F.array_except(F.array(*map(F.lit, KEYS)), allowed)) == 0, F.lit(True))
+
+
+def clean_keys(keys: Column) -> Column:
+    """Known signs once each, in catalogue order."""
+    return F.filter(F.array(*map(F.lit, KEYS)), lambda k: F.array_contains(keys, k))
+
+
+@lru_cache(1 << 14)
+def _forms(cells: str, first: bool) -> tuple[tuple[str, int], ...]:
+    """(print, cells taken) of what a run of cells may start with."""
+    out = []
+    for g, p, c in CATALOGUE:
+        if g not in WHOLE and cells.startswith(c) and not (first and (g == "final_contractions" or p == "ing")) and not (g == _LOWER and (p in _BEGIN) != (first and len(cells) > len(c)) and p in _BEGIN + _MIDDLE):
+            if not (g == _LOWER and p in _MIDDLE and (first or len(cells) == len(c))):
+                out.append((p, len(c)))
+    if cells[0].isalpha() or cells[0] in "'-":
+        out.append((cells[0].lower(), 1))
+    return tuple(sorted(out, key=lambda x: (-x[1], -len(x[0]))))
+
+
+def back(cells: str) -> str:
+    """Print of contracted cells: a wordsign or shortform if they stand alone, else the reading that gives the same cells again."""
+    whole = [p for g, p, c in CATALOGUE if g in WHOLE and c == cells]
+    if whole:
+        return whole[0]
+    head, mark, tail = cells.partition("'")
+    if mark and tail.lower() in AFTER_APOSTROPHE:
+        return f"{back(head)}'{tail.lower()}"
+    # readings with the fewest print letters unexplained, tried in order until one translates back
+    tried, stack = [], [(0, "")]
+    while stack and len(tried) < 64:
+        at, out = stack.pop()
+        if at == len(cells):
+            if "".join(c for _, c, _ in pieces(out)) == cells:
+                return out
+            tried.append(out)
+            continue
+        for p, n in reversed(_forms(cells[at:], at == 0)):
+            stack.append((at + n, out + p))
+    return tried[0] if tried else ""
 
 
 def translate(words: DataFrame, allowed: list[str] | None = None) -> DataFrame:
-    """Adds ``cells``, ``signs`` and ``back`` to rows of distinct ``word``; other columns stay in the JVM."""
+    """Adds ``cells``, ``places``, ``signs``, ``spelled``, ``unresolved`` and ``back`` to rows of distinct ``word``; other columns stay in the JVM."""
     known = frozenset(KEYS if allowed is None else allowed)
 
-    @F.pandas_udf("cells string, signs array<string>, back string")
+    @F.pandas_udf("cells string, places array<int>, signs array<string>, spelled array<string>, unresolved int, back string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for w in batch:
-                found = pieces((w or "").lower(), known)
-                cells = "".join(c for _, c, _ in found)
-                rows.append((cells, [s for _, _, s in found if s], back(cells)))
-            yield pd.DataFrame(rows, columns=["cells", "signs", "back"])
+                word = (w or "").lower()
+                cells, places, spelled, unresolved = relaxed(word, known)
+                rows.append((cells, places, [k for _, _, k in pieces(word) if k in known], [k for _, _, k in spelled], len(unresolved), back(cells) if word.isascii() and word.isalpha() and len(known) == len(KEYS) else word))
+            yield pd.DataFrame(rows, columns=["cells", "places", "signs", "spelled", "unresolved", "back"])
 
-    return words.withColumn("_t", run("word")).select(*words.columns, "_t.cells", "_t.signs", "_t.back")
+    return words.withColumn("_t", run("word")).select(*words.columns, "_t.cells", "_t.places", "_t.signs", "_t.spelled", "_t.unresolved", "_t.back")
 
 
 def sign_counts(translated: DataFrame) -> DataFrame:
@@ -117,3 +255,33 @@ def sign_counts(translated: DataFrame) -> DataFrame:
 def left_out(counts: DataFrame, learned: list[str]) -> DataFrame:
     """Signs a reader has not learned, most frequent first, ties in catalogue order."""
     return counts.filter(~F.col("sign").isin(learned)).orderBy(F.desc("n"), "ord")
+
+
+def register(spark) -> None:
+    """The public transducers as SQL functions: ``braille_translate`` (contracted), ``braille_translate_g1``, ``braille_translate_pos``, ``braille_back``."""
+    def cells(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else "".join(c for w in t.lower().split(" ") for _, c, _ in [*pieces(w), ("", " ", None)])[:-1])
+
+    def plain(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else "".join(" " if ch == " " else _letter(ch) for ch in t.lower()))
+
+    def placed(text: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in text:
+            out, at, start = "", [], 0
+            for k, w in enumerate((t or "").lower().split(" ")):
+                if k:
+                    out, at = out + " ", [*at, start - 1]
+                found = pieces(w)
+                out, at = out + "".join(c for _, c, _ in found), at + [start + x for x in positions(found)]
+                start += len(w) + 1
+            rows.append((out, at))
+        return pd.DataFrame(rows, columns=["braille", "input_pos"])
+
+    spark.udf.register("braille_translate", F.pandas_udf(cells, "string"))
+    spark.udf.register("braille_translate_g1", F.pandas_udf(plain, "string"))
+    spark.udf.register("braille_translate_pos", F.pandas_udf(placed, "braille string, input_pos array<int>"))
+    def reading(cells_: pd.Series) -> pd.Series:
+        return cells_.map(lambda t: None if t is None else " ".join(back(c) for c in t.split(" ")))
+
+    spark.udf.register("braille_back", F.pandas_udf(reading, "string"))

@@ -57,3 +57,40 @@ def closer_than(left: DataFrame, right: DataFrame, x: str, y: str, limit: float)
     other = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("_gx", F.floor(F.col(f"r_{x}") / limit)).withColumn("_gy", F.floor(F.col(f"r_{y}") / limit))
     d2 = F.pow(F.col(x) - F.col(f"r_{x}"), 2) + F.pow(F.col(y) - F.col(f"r_{y}"), 2)
     return near.join(other, ["_gx", "_gy"]).filter(d2 < limit * limit).drop("_gx", "_gy")
+
+
+def cited(references: DataFrame, notes: DataFrame, key: str, text: str) -> DataFrame:
+    """References whose note exists and has text."""
+    kept = notes.filter(F.btrim(F.coalesce(F.col(text), F.lit(""))) != "").select(key)
+    return references.join(kept, key, "left_semi")
+
+
+def located(references: DataFrame, places: DataFrame, key: str, file: str, anchor: str) -> DataFrame:
+    """References with the address of their note, ``file#anchor``; null where it has none."""
+    at = places.select(key, F.concat(F.col(file), F.lit("#"), F.col(anchor)).alias("href"))
+    return references.join(at, key, "left")
+
+
+def sign_of(pieces: DataFrame, signs: DataFrame) -> DataFrame:
+    """``pieces(id, chars, cells, whole)`` with the sign of the same letters and cells: a wordsign for a whole word, else a groupsign."""
+    some = signs.select(F.lower("print").alias("_chars"), F.col("cells").alias("_cells"), F.col("sign"), F.col("whole").alias("_whole"), "ord")
+    both = pieces.join(F.broadcast(some), (F.lower("chars") == F.col("_chars")) & (F.col("cells") == F.col("_cells")), "left")
+    best = F.struct((F.col("_whole") == F.col("whole")).cast("int").alias("fit"), (-F.col("ord")).alias("order"), F.col("sign"))
+    return both.groupBy("id", "chars", "cells", "whole").agg(F.max(best)["sign"].alias("sign"))
+
+
+def picture_bytes(pictures: DataFrame, resources: DataFrame) -> DataFrame:
+    """``pictures(id, src)`` with an embedded address if the package holds the file, else the address itself."""
+    kind = F.when(F.col("mime").rlike("(?i)^image/[a-z0-9.+-]+$"), F.col("mime")).otherwise("application/octet-stream")
+    held = resources.filter("bytes IS NOT NULL").select(F.col("path").alias("src"), F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64("bytes")).alias("_data"))
+    return pictures.join(held, "src", "left").withColumn("href", F.coalesce("_data", "src", F.lit(""))).drop("_data")
+
+
+def owning_word(positions: Column, words: Column) -> Column:
+    """For each cell's place in print the index of the word (``array<struct<start, end>>``) that holds it, else -1."""
+    return F.transform(positions, lambda p: F.coalesce(F.array_position(F.transform(words, lambda w: (p >= w["start"]) & (p < w["end"])), True).cast("int") - 1, F.lit(-1)))
+
+
+def registered(rows: DataFrame, registry: DataFrame, key: str) -> DataFrame:
+    """Rows with what a small registry says of their key."""
+    return rows.join(F.broadcast(registry), key, "left")

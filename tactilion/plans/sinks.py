@@ -52,18 +52,35 @@ def dtbook(blocks: DataFrame, key: str) -> DataFrame:
     return body.select(key, F.concat(F.lit(head), "body", F.lit("\n</bodymatter></book></dtbook>\n")).alias("xml"))
 
 
-def pef_rows(pages: DataFrame) -> DataFrame:
-    """``doc_id, page_no, n, row`` of ``pages(doc_id, page_no, page)``."""
-    rows = pages.select("doc_id", "page_no", F.posexplode(F.split("page", "\r\n")).alias("n", "line"))
-    return rows.select("doc_id", "page_no", "n", F.concat(F.lit("<row>"), braille.to_unicode(F.col("line")), F.lit("</row>")).alias("row"))
-
-
-def pef(pages: DataFrame, width: int = 38, depth: int = 27) -> DataFrame:
-    """One PEF document for each ``doc_id``; the identifier is a digest of the content, so output is repeatable."""
-    rows = pef_rows(pages).groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "row"))), lambda x: x["row"]), "").alias("p"))
-    body = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "p"))), lambda x: F.concat(F.lit("<page>"), x["p"], F.lit("</page>"))), "").alias("b"))
+def whole_count(value, name: str, default: int) -> int:
+    """A setting that must be a whole number from 1; absent ones take the default."""
+    if value is None or value == "":
+        return default
+    if isinstance(value, bool) or not str(value).strip().isdigit() or int(value) < 1:
+        raise ValueError(f"{name} must be a whole number greater than zero, not {value!r}")
+    return int(value)
+
+
+def pef(documents: DataFrame, volumes: Column, title: Column, mode: str = "ukaaf", width=38, depth=25, duplex: bool = True, date: str | None = None) -> DataFrame:
+    """``doc_id, pef, replaced``: one PEF document a row, of ``volumes`` (``array<struct<pages: array<struct<lines>>>>``).
+
+    What is no braille becomes a blank cell and is counted. The identifier is a digest of the content, so output is repeatable.
+    """
+    width, depth = max(10, whole_count(width, "width", 38)), max(10, whole_count(depth, "depth", 25))
+
+    def rows(p: Column) -> Column:
+        return F.concat(F.lit("<page>"), F.array_join(F.transform(p["lines"], lambda x: F.concat(F.lit("<row>"), braille.pef_row(F.rtrim(x))["row"], F.lit("</row>"))), ""), F.lit("</page>"))
+
+    opened = f'<volume cols="{width}" rows="{depth}" rowgap="0" duplex="{str(duplex).lower()}"><section>'
+    body = F.array_join(F.transform(volumes, lambda v: F.concat(F.lit(opened), F.array_join(F.transform(v["pages"], rows), ""), F.lit("</section></volume>"))), "")
+    lines = F.flatten(F.transform(volumes, lambda v: F.flatten(F.transform(v["pages"], lambda p: p["lines"]))))
+    replaced = F.aggregate(lines, F.lit(0), lambda acc, x: acc + braille.pef_row(F.rtrim(x))["replaced"])
+    made = documents.select("doc_id", title.alias("title"), body.alias("body"), replaced.alias("replaced"))
+    day = F.lit(f"<dc:date>{date}</dc:date>") if date else F.lit("")
+    warning = F.when(F.col("replaced") > 0, F.concat(F.lit("<!-- warning: "), F.col("replaced").cast("string"), F.lit(" non-braille character(s) replaced with U+2800 -->"))).otherwise("")
     head = F.concat(
-        F.lit('<?xml version="1.0" encoding="UTF-8"?><pef version="2008-1" xmlns="http://www.daisy.org/ns/2008/pef"><head><meta xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:format>application/x-pef+xml</dc:format><dc:identifier>'),
-        F.sha2("b", 256), F.lit(f'</dc:identifier></meta></head><body><volume cols="{max(10, width)}" rows="{max(1, depth)}" rowgap="0" duplex="true"><section>'),
+        F.lit('<?xml version="1.0" encoding="UTF-8"?><pef version="1.0" xmlns="http://www.daisy.org/ns/2008/pef"><head><meta xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:format>application/x-pef+xml</dc:format><dc:identifier>'),
+        F.sha2("body", 256), F.lit("</dc:identifier><dc:title>"), xml_escape(F.coalesce("title", F.lit("Untitled Document"))), F.lit("</dc:title>"), day,
+        F.lit(f"<dc:description>Formatted braille ({mode.upper()})</dc:description></meta>"), warning, F.lit("</head><body>"),
     )
-    return body.select("doc_id", F.concat(head, "b", F.lit("</section></volume></body></pef>")).alias("pef"))
+    return made.select("doc_id", F.concat(head, "body", F.lit("</body></pef>")).alias("pef"), "replaced")

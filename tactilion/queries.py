@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactilion.functions import braille, ordinals, text
+from tactilion.functions import braille, language, ordinals, text
+from tactilion.functions.registry import ORACLE, QUERIES, query, read
 from tactilion.operators import audit, joins, layout, page, tables, windows
 from tactilion.plans import sinks
 from tactilion.sources import blocks
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # ---- scalar functions -------------------------------------------------------------------------------------------
 
 SPACES = r"[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
@@ -39,29 +22,58 @@ def normalize_spaces(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_spaces(F.col("text"))).alias("text_md5"))
 
 
-@query(r"SELECT doc_id, md5(translate(regexp_replace('‘' || text || '’ it’s', '(\p{L})’(\p{L})', '\1''\2', 'g'), '‘’', '“”')) AS text_md5 FROM documents")
+QUOTES = "‘it’s’ 'a' ’twas the dogs’ 'tis don't ('x') \"'y'\" 5'"
+_WHITE = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+
+
+def _neighbours(column: str, table: str, key: str, case: str) -> str:
+    """Characters of ``column`` mapped by ``case`` over ``c``, the one before ``p`` and after ``n``."""
+    return f"""SELECT {key}, array_to_string(list_transform(l, lambda c, i: {case.replace('(p)', '(CASE WHEN i = 1 THEN %s ELSE l[i - 1] END)' % "''").replace('(n)', '(CASE WHEN i = len(l) THEN %s ELSE l[i + 1] END)' % "''")}), '') AS t
+  FROM (SELECT {key}, string_split({column}, '') AS l FROM {table})"""
+
+
+@query("SELECT doc_id, md5(t) AS text_md5 FROM (" + _neighbours(f"'{QUOTES.replace(chr(39), chr(39) * 2)}' || text", "documents", "doc_id", r"""CASE c WHEN '‘' THEN '“' WHEN '’' THEN CASE WHEN regexp_matches((n), '[A-Za-z]') THEN c ELSE '”' END
+  WHEN chr(39) THEN CASE WHEN regexp_matches((p), '[A-Za-z]') AND regexp_matches((n), '[A-Za-z]') THEN c
+    WHEN regexp_matches((n), '[A-Za-z0-9]') AND ((p) = '' OR regexp_matches((p), '[""" + _WHITE + r"""(\[{"«‘]')) THEN '“'
+    WHEN regexp_matches((p), '[A-Za-z0-9)\]}"»’.,!?;:]') THEN '”' ELSE c END ELSE c END""") + ")")
 def exchange_quotes(spark, sf_dir):
-    quoted = F.concat(F.lit("‘"), "text", F.lit("’ it’s"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.exchange_quotes(quoted)).alias("text_md5"))
+    """Quotation marks of every text behind a line that has each case of the rule."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.exchange_quotes(F.concat(F.lit(QUOTES), "text"))).alias("text_md5"))
+
+
+SPACED = "1 234 567 a b​ c­ d 5  x  9 6"
 
 
-@query("""SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS safe_md5,
-  md5(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')) AS raw_md5 FROM pages""")
+@query("SELECT doc_id, md5(t) AS text_md5 FROM (" + _neighbours(f"'{SPACED}' || text", "documents", "doc_id", r"""CASE
+  WHEN c IN (chr(160), chr(8239), chr(8201), chr(8199)) THEN CASE WHEN regexp_matches((p), '[0-9]') AND regexp_matches((n), '[0-9]') THEN chr(160) ELSE ' ' END
+  WHEN unicode(c) BETWEEN 8192 AND 8202 OR unicode(c) IN (8287, 12288) THEN ' '
+  WHEN unicode(c) BETWEEN 8203 AND 8205 OR unicode(c) IN (65279, 173, 8206, 8207) OR unicode(c) BETWEEN 8234 AND 8238 OR unicode(c) BETWEEN 8288 AND 8303 THEN '' ELSE c END""") + ")")
+def normalize_text(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_text(F.concat(F.lit(SPACED), "text"))).alias("text_md5"))
+
+
+_DECODED = "html"
+for _p, _r in (("&#x0027;|&#39;|&apos;", "''"), ("&#x201[cd];|&[lr]dquo;", '"'), ("&#x201[89];|&[lr]squo;", "''"), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&#x[0-9a-f]+;", " "), ("&#[0-9]+;", " ")):
+    _DECODED = f"regexp_replace({_DECODED}, '{_p}', '{_r}', 'gi')"
+_DECODED = rf"regexp_replace({_DECODED}, '[\x{{00A0}}\x{{2000}}-\x{{200B}}\x{{202F}}\x{{205F}}\x{{3000}}]', ' ', 'g')"
+
+
+@query(f"""SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS safe_md5, md5({_DECODED}) AS raw_md5 FROM pages""")
 def xml_escape_entity_decode(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.md5(text.xml_escape(F.col("html"))).alias("safe_md5"), F.md5(text.entity_decode(F.col("html"))).alias("raw_md5"))
 
 
-@query(r"""SELECT page_id, CASE WHEN regexp_matches(lower(trim(url)), '^(https?|mailto|ftp):|^[#/.]') THEN trim(url) ELSE '' END AS url,
-  CASE WHEN regexp_matches(n, '^[A-Za-z_]') THEN n ELSE '_' || n END AS name FROM (SELECT *, regexp_replace(url, '[^A-Za-z0-9_.-]', '-', 'g') AS n FROM pages)""")
+@query(r"""SELECT page_id, CASE WHEN u = '' THEN '' WHEN regexp_matches(lower(u), '^(https?:|mailto:|tel:|ftp:)') THEN u WHEN regexp_matches(lower(u), '^[a-z][a-z0-9+.-]*:') THEN '' ELSE u END AS url,
+  CASE WHEN n = '' THEN 'id' WHEN regexp_matches(n, '^[A-Za-z_]') THEN n ELSE 'id_' || n END AS name FROM (SELECT page_id, trim(url) AS u, regexp_replace(trim(url), '[^A-Za-z0-9_.-]', '_', 'g') AS n FROM pages)""")
 def safe_url_name(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", text.safe_url(F.col("url")).alias("url"), text.nc_name(F.col("url")).alias("name"))
 
 
-@query("""WITH w AS (SELECT doc_id, lang, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS words FROM documents)
+@query(r"""WITH w AS (SELECT doc_id, lang, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS words FROM documents)
 SELECT doc_id, lower(string_split(lang || '-GB', '-')[1]) AS lang, CASE WHEN len(words) > 0 THEN
-  len(list_filter(words, lambda x: x IN ('the','of','and','to','in','is','was','for','with','that','it','on','as','by','be','this','are','at','from','an')))::DOUBLE / len(words) ELSE 0 END AS english FROM w""".replace("\\\\", "\\"))
+  len(list_filter(words, lambda x: x IN ('the','of','and','to','in','is','was','for','with','that','it','on','as','by','be','this','are','at','from','an')))::DOUBLE / len(words) ELSE 0 END AS english FROM w""")
 def primary_lang_english_share(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", text.primary_lang(F.concat("lang", F.lit("-GB"))).alias("lang"), text.english_share(F.col("text")).alias("english"))
+    return read(spark, sf_dir, "documents").select("doc_id", language.primary_lang(F.concat("lang", F.lit("-GB"))).alias("lang"), text.english_share(F.col("text")).alias("english"))
 
 
 @query("""WITH n AS (SELECT doc_id, (doc_id % 60)::BIGINT AS i FROM documents)
@@ -89,45 +101,34 @@ def ordered_markers(spark, sf_dir):
 # ---- translation ------------------------------------------------------------------------------------------------
 
 
-def _uncontracted_sql(col: str) -> str:
-    out = f"regexp_replace({col}, '([0-9])([a-j])', '\\1' || chr(1) || '\\2', 'g')"
-    for modifier, pair in braille.ACCENTS.items():
-        for accented, plain in zip(*pair.split(" ")):
-            safe = modifier.replace("^", "\u0003").replace("3", "\u0004") + plain.lower()
-            out = f"replace({out}, '{accented}', '{(chr(2) if plain.isupper() else '') + safe}')"
-    out = f"regexp_replace({out}, '([A-Z])', chr(2) || '\\1', 'g')"
-    out = f"regexp_replace({out}, '([0-9]+)', chr(5) || '\\1', 'g')"
-    out = f"regexp_replace(lower({out}), '[^a-z0-9,.;:?!''/*%&\\] \\n\\x01-\\x05-]', '=', 'g')"
-    src = (braille.PRINT + "\u0001\u0002\u0003\u0004\u0005").replace("'", "''")
-    return f"translate({out}, '{src}', '{(braille.CELLS + ';,^3#').replace(chr(39), chr(39) * 2)}')"
-
-
-_PLAIN = "trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ')"
-UNCONTRACTED = _uncontracted_sql(_PLAIN)
+_PLAIN = r"trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')"
+UNCONTRACTED = braille.uncontracted_sql(f"SELECT doc_id, {_PLAIN} AS t FROM documents")
 
 
 def _cells(docs: DataFrame):
     return docs.select("doc_id", braille.uncontracted(F.btrim(F.regexp_replace("text", r"\s+", " "))).alias("cells"))
 
 
-@query(f"SELECT doc_id, length(cells) AS n_cells, md5(cells) AS cells_md5 FROM (SELECT doc_id, {UNCONTRACTED} AS cells FROM documents)")
+@query(f"SELECT doc_id, length(cells) AS n_cells, md5(cells) AS cells_md5 FROM ({UNCONTRACTED})")
 def uncontracted_translate(spark, sf_dir):
     return _cells(read(spark, sf_dir, "documents")).select("doc_id", F.length("cells").cast("long").alias("n_cells"), F.md5("cells").alias("cells_md5"))
 
 
-@query(f"""SELECT word, count(*) AS n, any_value(translate(upper(regexp_replace(word, '[^a-z]', '=', 'g')), '', '')) AS cells FROM (
-  SELECT unnest(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x))) AS word FROM documents) GROUP BY word""")
+_WORD_ROWS = r"SELECT unnest(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x))) AS word FROM documents"
+
+
+@query(f"WITH w AS (SELECT word, count(*) AS n FROM ({_WORD_ROWS}) GROUP BY word) SELECT w.word, n, c.cells FROM w JOIN ({braille.uncontracted_sql(f'SELECT DISTINCT word AS doc_id, word AS t FROM ({_WORD_ROWS})')}) c ON c.doc_id = w.word")
 def word_dictionary(spark, sf_dir):
     """Each distinct word is translated once and joined back to its occurrences."""
     words = audit.words_of(read(spark, sf_dir, "documents"), [], "text")
-    known = joins.dictionary(words, "word", lambda w: F.upper(F.regexp_replace(w, "[^a-z]", "=")), "cells")
+    known = joins.dictionary(words, "word", braille.uncontracted, "cells")
     return known.groupBy("word", "cells").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT doc_id, md5(u) AS unicode_md5 FROM (SELECT doc_id, translate(cells, '{braille.ASCII.replace(chr(39), chr(39) * 2)}', '{braille.UNICODE}') AS u FROM (SELECT doc_id, {UNCONTRACTED} AS cells FROM documents))")
+@query(f"SELECT doc_id, md5(u) AS unicode_md5 FROM (SELECT doc_id, translate(cells, '{braille.ASCII.replace(chr(39), chr(39) * 2)}', '{braille.UNICODE}') AS u FROM ({UNCONTRACTED}))")
 def unicode_braille(spark, sf_dir):
     cells = _cells(read(spark, sf_dir, "documents"))
-    return cells.select("doc_id", F.md5(F.replace(braille.to_unicode(F.col("cells")), F.lit("\n"), F.lit("\n"))).alias("unicode_md5"))
+    return cells.select("doc_id", F.md5(braille.to_unicode(F.col("cells"))).alias("unicode_md5"))
 
 
 # ---- blocks and layout ------------------------------------------------------------------------------------------
@@ -139,101 +140,106 @@ def paragraph_blocks(spark, sf_dir):
     return blocks.paragraphs(read(spark, sf_dir, "documents"))
 
 
-_WRAP = """list_reduce(list_prepend({{'done': []::VARCHAR[], 'line': '', 'bare': true}}, list_transform(regexp_extract_all({text}, '[^ \\n]{{1,{room}}}'), lambda w: {{'done': []::VARCHAR[], 'line': w, 'bare': false}})),
-  lambda a, w: {{'done': CASE WHEN length({joined}) <= {width} THEN a.done ELSE list_append(a.done, {line}) END,
-    'line': CASE WHEN length({joined}) <= {width} THEN {joined} ELSE '{rest}' || w.line END, 'bare': false}})"""
+def wrap_sql(source: str, width: int = 38, first: int = 2, runover: int = 0) -> str:
+    """``doc_id, l`` (lines) of ``source(doc_id, cells)`` by a fold over words, long words cut; the first element of the list is the start state."""
+    a, b = width - first, width - runover
 
+    def cut(x: str, room: int) -> str:
+        return f"list_transform(range(0, ((length({x}) + {room - 1}) // {room})::BIGINT), lambda k: substr({x}, (k * {room} + 1)::BIGINT, {room}))"
 
-def wrap_sql(text_sql: str, width: int = 38, first: int = 2, runover: int = 0) -> str:
-    """``doc_id, line_no, line`` by a fold over words; the first element of the list is the start state."""
+    words = f"""flatten(list_transform(list_filter(string_split(cells, ' '), lambda x: x <> ''), lambda x, i: CASE WHEN i = 1 AND length(x) > {a} THEN list_prepend(substr(x, 1, {a}), {cut(f"substr(x, {a + 1})", b)})
+    WHEN length(x) > {b} THEN {cut("x", b)} ELSE [x] END))"""
     line = f"CASE WHEN a.bare THEN '{' ' * first}' ELSE a.line END"
     joined = f"(CASE WHEN a.bare THEN '{' ' * first}' || w.line ELSE a.line || ' ' || w.line END)"
-    fold = _WRAP.format(text=text_sql, room=width - max(first, runover), joined=joined, line=line, width=width, rest=" " * runover)
-    return f"""SELECT doc_id, (unnest(range(len(l))))::BIGINT AS line_no, unnest(l) AS line FROM (
-  SELECT doc_id, CASE WHEN s.bare THEN []::VARCHAR[] ELSE list_append(s.done, s.line) END AS l FROM (SELECT doc_id, {fold} AS s FROM documents))"""
-
-
-CELL_LINES = wrap_sql(UNCONTRACTED)
+    fold = f"""list_reduce(list_prepend({{'done': []::VARCHAR[], 'line': '', 'bare': true}}, list_transform({words}, lambda w: {{'done': []::VARCHAR[], 'line': w, 'bare': false}})),
+  lambda a, w: {{'done': CASE WHEN length({joined}) <= {width} THEN a.done ELSE list_append(a.done, {line}) END,
+    'line': CASE WHEN length({joined}) <= {width} THEN {joined} ELSE '{' ' * runover}' || w.line END, 'bare': false}})"""
+    return f"SELECT doc_id, CASE WHEN s.bare THEN []::VARCHAR[] ELSE list_append(s.done, s.line) END AS l FROM (SELECT doc_id, {fold} AS s FROM ({source}))"
 
 
-def _lines(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    return layout.lines(_cells(docs), F.col("cells")).withColumn("line_no", F.col("line_no").cast("long"))
+WRAPPED = wrap_sql(UNCONTRACTED)
 
 
-@query(f"SELECT doc_id, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY line_no)) AS lines_md5 FROM ({CELL_LINES}) GROUP BY doc_id")
+@query(f"SELECT doc_id, len(l) AS n_lines, md5(array_to_string(l, chr(10))) AS lines_md5 FROM ({WRAPPED}) WHERE len(l) > 0")
 def wrap_lines(spark, sf_dir):
-    wrapped = F.col("l")
     docs = _cells(read(spark, sf_dir, "documents")).select("doc_id", layout.wrap(F.col("cells")).alias("l"))
-    return docs.filter(F.size("l") > 0).select("doc_id", F.size(wrapped).cast("long").alias("n_lines"), F.md5(F.array_join(wrapped, "\n")).alias("lines_md5"))
+    return docs.filter(F.size("l") > 0).select("doc_id", F.size("l").cast("long").alias("n_lines"), F.md5(F.array_join("l", "\n")).alias("lines_md5"))
 
 
-_HEAD = """rtrim(rpad(CASE WHEN page_no > 1 AND (38 - length(source)) // 2 >= 2 AND (38 - length(source)) // 2 + length(source) + 2 <= 38 - length(num)
-  THEN repeat(' ', ((38 - length(source)) // 2)::BIGINT) || source ELSE '' END, (38 - length(num))::INT, ' ') || num)"""
-_PAGES = f"""WITH lines AS ({CELL_LINES}), body AS (
-  SELECT doc_id, line_no // 26 + 1 AS page_no, string_agg(rtrim(line), chr(13) || chr(10) ORDER BY line_no) AS body FROM lines GROUP BY ALL
-), numbered AS (SELECT b.*, upper(d.source) AS source, '#' || translate(page_no::VARCHAR, '1234567890', 'ABCDEFGHIJ') AS num FROM body b JOIN documents d USING (doc_id)),
-pages AS (SELECT doc_id, page_no, {_HEAD} || chr(13) || chr(10) || body AS page FROM numbered)"""
+_PER = layout.DEPTH - 1
+_HEAD = """CASE WHEN page_no > 1 AND (38 - length(title)) // 2 >= 0 AND (38 - length(title)) // 2 + length(title) + 2 <= 38 - length(num)
+  THEN rpad(repeat(' ', ((38 - length(title)) // 2)::BIGINT) || title, (38 - length(num))::INT, ' ') ELSE repeat(' ', (38 - length(num))::BIGINT) END || num"""
+_PAGES = f"""WITH wrapped AS ({WRAPPED}), numbered AS (
+  SELECT doc_id, l, upper(source) AS title, unnest(range(1, greatest((len(l) + {_PER - 1}) // {_PER}, 1)::BIGINT + 1)) AS page_no FROM wrapped JOIN documents USING (doc_id)
+), headed AS (SELECT *, '#' || translate(page_no::VARCHAR, '1234567890', 'ABCDEFGHIJ') AS num FROM numbered),
+pages AS (SELECT doc_id, page_no, {_HEAD} AS head, l[(page_no - 1) * {_PER} + 1:page_no * {_PER}] AS body FROM headed),
+brf_pages AS (SELECT doc_id, page_no, array_to_string(list_transform(list_prepend(head, body), lambda x: rtrim(x) || chr(13) || chr(10)), '') AS page FROM pages),
+brf AS (SELECT doc_id, count(*) AS n_pages, string_agg(page, chr(12) ORDER BY page_no) AS brf FROM brf_pages GROUP BY doc_id)"""
 
 
 def _pages(spark, sf_dir):
-    """The title of a document is its source; it is carried on the lines, so pages need one shuffle."""
+    """``doc_id, pages``: each document's pages in its own row, so that no line is shuffled; the title is the source."""
     docs = read(spark, sf_dir, "documents").withColumn("cells", braille.uncontracted(F.btrim(F.regexp_replace("text", r"\s+", " "))))
-    rows = docs.select("doc_id", F.upper("source").alias("title"), F.posexplode(layout.wrap(F.col("cells"))).alias("line_no", "line"))
-    body = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: F.rtrim(x["line"]))
-    pages = page.paged(rows).groupBy("doc_id", "page_no").agg(F.first("title").alias("title"), F.array_join(body, "\r\n").alias("body"))
-    head = F.rtrim(page.running_head(F.col("title"), F.col("page_no")))
-    return pages.select("doc_id", "page_no", F.concat(head, F.lit("\r\n"), "body").alias("page"))
+    wrapped = docs.select("doc_id", F.upper("source").alias("title"), layout.wrap(F.col("cells")).alias("l"))
+    return wrapped.select("doc_id", page.pages(F.col("l"), F.col("title")).alias("pages"))
+
 
+def _page_rows(spark, sf_dir):
+    return _pages(spark, sf_dir).select("doc_id", F.explode_outer("pages").alias("p")).select("doc_id", "p.page_no", "p.lines")
 
-@query(_PAGES + " SELECT doc_id, count(*) AS n_pages, md5(string_agg(page, chr(12) ORDER BY page_no)) AS brf_md5 FROM pages GROUP BY doc_id")
+
+def _brf(spark, sf_dir):
+    return _pages(spark, sf_dir).select("doc_id", F.size("pages").cast("long").alias("n_pages"), page.brf_text(F.col("pages")).alias("brf"))
+
+
+@query(_PAGES + " SELECT doc_id, n_pages, md5(brf) AS brf_md5 FROM brf")
 def page_count(spark, sf_dir):
-    return page.brf(_pages(spark, sf_dir)).select("doc_id", "n_pages", F.md5("brf").alias("brf_md5"))
+    return _brf(spark, sf_dir).select("doc_id", "n_pages", F.md5("brf").alias("brf_md5"))
 
 
-@query(_PAGES + " SELECT doc_id, page_no, string_split(page, chr(13) || chr(10))[1] AS head FROM pages")
+@query(_PAGES + " SELECT doc_id, page_no, rtrim(head) AS head FROM pages")
 def running_head(spark, sf_dir):
-    return _pages(spark, sf_dir).select("doc_id", "page_no", F.split("page", "\r\n")[0].alias("head"))
+    return _page_rows(spark, sf_dir).select("doc_id", "page_no", F.element_at("lines", 1).alias("head"))
 
 
-@query(_PAGES + """ SELECT doc_id, page_no, (row_number() OVER (PARTITION BY doc_id, page_no ORDER BY 1) - 1)::BIGINT AS n_lines FROM pages WHERE false
-UNION ALL SELECT doc_id, page_no, len(string_split(page, chr(13) || chr(10)))::BIGINT FROM pages""")
+@query(_PAGES + " SELECT doc_id, page_no, (len(body) + 1)::BIGINT AS n_lines FROM pages")
 def brf_round_trip(spark, sf_dir):
-    lines = page.read_brf(page.brf(_pages(spark, sf_dir)))
+    """Lines of each page, read back from the braille file."""
+    lines = page.read_brf(_brf(spark, sf_dir))
     return lines.groupBy("doc_id", F.col("page_no").cast("long").alias("page_no")).agg(F.count("*").alias("n_lines"))
 
 
 @query(_PAGES + """ SELECT doc_id, page_no, (page_no - 1) // 5 + 1 AS volume, ceil(max(page_no) OVER (PARTITION BY doc_id) / 5)::BIGINT AS "of", (page_no - 1) % 5 + 1 AS volume_page FROM pages""")
 def volumes(spark, sf_dir):
-    return page.volumes(_pages(spark, sf_dir).select("doc_id", "page_no"), 5)
+    return page.volumes(_page_rows(spark, sf_dir).select("doc_id", "page_no"), 5)
 
 
-@query(_PAGES + """, brf AS (SELECT doc_id, string_agg(page, chr(12) ORDER BY page_no) AS brf FROM pages GROUP BY doc_id)
-SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN chr(27) || 'D' WHEN doc_id % 3 = 1 THEN chr(27) || chr(27) ELSE '' END
-  || replace(regexp_replace(upper(brf), '[^\\x20-\\x5F\\r\\n\\f]', ' ', 'g'), chr(12), chr(13) || chr(10) || chr(12)) || chr(13) || chr(10) || chr(12)) AS stream_md5 FROM brf""")
+@query(_PAGES + r""", clean AS (SELECT doc_id, doc_id % 5 AS k, regexp_replace(brf, '\r\n|\r|\n', chr(13) || chr(10), 'g') AS t FROM brf),
+ended AS (SELECT *, CASE WHEN suffix(t, chr(12)) THEN t ELSE t || chr(12) END AS e, regexp_replace(t, '(\r\n)?\f', chr(13) || chr(10) || chr(12), 'g') AS c FROM clean),
+made AS (SELECT *, CASE WHEN suffix(c, chr(13) || chr(10) || chr(12)) THEN c ELSE c || chr(13) || chr(10) || chr(12) END AS f, chr(27) || 'DP2' || e || chr(26) AS i FROM ended)
+SELECT doc_id, md5(CASE k WHEN 0 THEN CASE WHEN length(i) % 64 = 0 THEN i || chr(26) ELSE i END
+  WHEN 1 THEN chr(27) || 'A@@' || chr(27) || 'K@' || chr(27) || 'W@' || chr(27) || 'i@' || chr(27) || 's@' || chr(27) || 'LA' || chr(27) || 'Rh' || chr(27) || 'TK' || chr(27) || 'QY' || f
+  WHEN 2 THEN f WHEN 3 THEN chr(27) || 'S1' || chr(27) || 'J0' || chr(27) || 'N0' || chr(27) || 'R0' || chr(27) || 'A25' || chr(27) || 'B40' || chr(27) || 'C1' || chr(27) || 'H0' || f ELSE e END) AS stream_md5 FROM made""")
 def embosser_stream(spark, sf_dir):
-    model = F.element_at(F.array(F.lit("index"), F.lit("viewplus"), F.lit("generic")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return page.brf(_pages(spark, sf_dir)).select("doc_id", F.md5(page.embosser(F.col("brf"), model)).alias("stream_md5"))
+    model = F.element_at(F.array(*map(F.lit, ("everest", "romeo", "tiger", "braillo", "other"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    return _brf(spark, sf_dir).select("doc_id", F.md5(page.embosser(F.col("brf"), model)).alias("stream_md5"))
 
 
-@query(_PAGES + f""", rows AS (SELECT doc_id, page_no, unnest(string_split(page, chr(13) || chr(10))) AS line, generate_subscripts(string_split(page, chr(13) || chr(10)), 1) AS n FROM pages)
-SELECT doc_id, count(DISTINCT page_no) AS n_pages, md5(string_agg('<row>' || translate(line, '{braille.ASCII.replace(chr(39), chr(39) * 2)}', '{braille.UNICODE}') || '</row>', '' ORDER BY page_no, n)) AS rows_md5 FROM rows GROUP BY doc_id""")
+@query(_PAGES + f""" SELECT doc_id, max(page_no) AS n_pages, md5(string_agg(list_aggregate(list_transform(list_prepend(head, body), lambda x: '<row>' || translate(rtrim(x), '{braille.ASCII.replace(chr(39), chr(39) * 2)}', '{braille.UNICODE}') || '</row>'), 'string_agg', ''), '' ORDER BY page_no)) AS rows_md5 FROM pages GROUP BY doc_id""")
 def pef_rows(spark, sf_dir):
-    return sinks.pef_rows(_pages(spark, sf_dir)).groupBy("doc_id").agg(
-        F.countDistinct("page_no").alias("n_pages"),
-        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "n", "row"))), lambda x: x["row"]), "")).alias("rows_md5"),
-    )
+    rows = _pages(spark, sf_dir).select("doc_id", F.size("pages").cast("long").alias("n_pages"), F.transform(F.flatten(F.transform("pages", lambda p: p["lines"])), lambda x: braille.pef_row(F.rtrim(x))["row"]).alias("r"))
+    return rows.select("doc_id", "n_pages", F.md5(F.array_join(F.transform("r", lambda x: F.concat(F.lit("<row>"), x, F.lit("</row>"))), "")).alias("rows_md5"))
 
 
-@query("""SELECT n, name, (CASE name WHEN 'list' THEN 0 ELSE n * 2 END)::BIGINT AS first, (n * 2 + 2)::BIGINT AS runover FROM (SELECT o_orderkey, count(*) AS c FROM orders GROUP BY 1 LIMIT 0) x, (SELECT 1 AS n, 'a' AS name) y WHERE false
-UNION ALL SELECT levels, 'bana' || level, (2 * (level - 1))::BIGINT, (2 * levels)::BIGINT FROM (SELECT DISTINCT l_linenumber AS levels FROM lineitem) a, (SELECT DISTINCT l_linenumber AS level FROM lineitem) b WHERE level <= levels
-UNION ALL SELECT levels, 'ukaaf' || level, (CASE WHEN levels = 1 THEN 0 ELSE 2 * (level - 1) END)::BIGINT, (CASE WHEN levels = 1 THEN 2 ELSE 2 * level + 2 END)::BIGINT FROM (SELECT DISTINCT l_linenumber AS levels FROM lineitem) a, (SELECT DISTINCT l_linenumber AS level FROM lineitem) b WHERE level <= levels""")
+@query("""SELECT levels AS n, 'bana' || level AS name, (2 * (level - 1))::BIGINT AS first, (2 * levels)::BIGINT AS runover FROM (SELECT DISTINCT l_linenumber AS levels FROM lineitem) a, (SELECT DISTINCT l_linenumber AS level FROM lineitem) b WHERE level <= levels
+UNION ALL SELECT levels, 'ukaaf' || level, (CASE WHEN levels = 1 THEN 0 ELSE 2 * (level - 1) END)::BIGINT, (CASE WHEN levels = 1 THEN 2 ELSE 2 * level + 2 END)::BIGINT FROM (SELECT DISTINCT l_linenumber AS levels FROM lineitem) a, (SELECT DISTINCT l_linenumber AS level FROM lineitem) b WHERE level <= levels
+UNION ALL SELECT levels, 'compact' || level, (2 * level + 2)::BIGINT, 0::BIGINT FROM (SELECT DISTINCT l_linenumber AS levels FROM lineitem) a, (SELECT DISTINCT l_linenumber AS level FROM lineitem) b WHERE level <= levels""")
 def list_margins(spark, sf_dir):
     levels = read(spark, sf_dir, "lineitem").select("l_linenumber").distinct()
     pairs = levels.select(F.col("l_linenumber").alias("n"), F.explode(F.sequence(F.lit(1), "l_linenumber")).alias("level"))
     pairs = pairs.join(levels, pairs.level == levels.l_linenumber, "left_semi")
     out = None
-    for standard in ("bana", "ukaaf"):
+    for standard in ("bana", "ukaaf", "compact"):
         first, runover = layout.list_margins(F.col("n"), F.col("level"), standard)
         part = pairs.select("n", F.concat(F.lit(standard), F.col("level").cast("string")).alias("name"), first.cast("long").alias("first"), runover.cast("long").alias("runover"))
         out = part if out is None else out.unionByName(part)
@@ -306,29 +312,6 @@ def table_interchanged(spark, sf_dir):
     return tables.interchanged(_nation_cells(spark, sf_dir))
 
 
-@query(f"""WITH {_NATION}, w AS (SELECT table_id, col, max(length(text)) AS width FROM cells GROUP BY ALL), h AS (SELECT table_id, width AS head FROM w WHERE col = 0)
-SELECT table_id, col, width, ceil(sum(width + 2) OVER (PARTITION BY table_id ORDER BY col) / greatest(18 - head, 1))::BIGINT AS part FROM w JOIN h USING (table_id) WHERE col > 0""")
-def table_vertical(spark, sf_dir):
-    return tables.vertical_parts(_nation_cells(spark, sf_dir), 18).withColumn("width", F.col("width").cast("long"))
-
-
-@query("""WITH c AS (SELECT n_regionkey, coalesce(n_name, '') AS t FROM nation UNION ALL SELECT n_regionkey, CASE WHEN n_nationkey % 2 = 0 THEN 'Name:' ELSE '' END FROM nation)
-, t AS (SELECT n_regionkey, (count(*) // 2) AS rows, 2 AS cols, count(*) FILTER (WHERE t <> '') AS filled, count(*) FILTER (WHERE length(t) <= 60 AND regexp_matches(t, '[:?]$')) AS labels,
-  count(*) FILTER (WHERE t <> '' AND length(t) <= 40) AS short, count(*) FILTER (WHERE length(t) > 250) AS prose, n_regionkey = 1 AS has_header, CASE WHEN n_regionkey = 2 THEN 'presentation' ELSE '' END AS role FROM c GROUP BY n_regionkey)
-SELECT n_regionkey, CASE WHEN role = 'presentation' THEN 'layout' WHEN has_header THEN 'data' WHEN rows <= 1 OR cols <= 1 THEN 'layout' WHEN prose > 0 THEN 'layout' WHEN filled * 2 < rows * cols THEN 'layout'
-  WHEN labels * 2 >= rows THEN 'layout' ELSE 'data' END AS kind FROM t""")
-def table_kind(spark, sf_dir):
-    nation = read(spark, sf_dir, "nation")
-    cells = nation.select("n_regionkey", F.explode(F.array("n_name", F.when(F.col("n_nationkey") % 2 == 0, "Name:").otherwise(""))).alias("t"))
-    tests = tables.cell_tests(F.col("t"))
-    shape = cells.groupBy("n_regionkey").agg(
-        F.floor(F.count("*") / 2).alias("rows"), F.lit(2).alias("cols"), F.count_if(~tests["blank"]).alias("filled"), F.count_if(tests["label"]).alias("labels"),
-        F.count_if(tests["short"]).alias("short"), F.count_if(tests["prose"]).alias("prose"),
-    )
-    shape = shape.withColumn("has_header", F.col("n_regionkey") == 1).withColumn("role", F.when(F.col("n_regionkey") == 2, "presentation").otherwise(""))
-    return tables.classify(shape).select("n_regionkey", "kind")
-
-
 # ---- joins, windows, sets ---------------------------------------------------------------------------------------
 
 
@@ -420,32 +403,6 @@ def distinct_words(spark, sf_dir):
     return docs.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
 
 
-@query("WITH t AS (SELECT conv_id, turn, " + _W.format(c="text") + " AS word FROM conversations), s AS (SELECT conv_id, word, count(*) AS need FROM t WHERE turn = 0 GROUP BY ALL), m AS (SELECT conv_id, word, count(*) AS have FROM t WHERE turn = 1 GROUP BY ALL) SELECT conv_id, word, need - coalesce(have, 0) AS missing FROM s LEFT JOIN m USING (conv_id, word) WHERE need > coalesce(have, 0)")
-def missing_words(spark, sf_dir):
-    words = audit.words_of(read(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
-    return audit.missing_words(words.filter("turn = 0"), words.filter("turn = 1"), ["conv_id"])
-
-
-_OVERLAP = "t AS (SELECT DISTINCT conv_id, turn, " + _W.format(c="text") + """ AS word FROM conversations WHERE turn < 2), o AS (SELECT conv_id, count(*) FILTER (WHERE a) AS left_words, count(*) FILTER (WHERE b) AS right_words, count(*) FILTER (WHERE a AND b) AS shared
-  FROM (SELECT conv_id, word, bool_or(turn = 0) AS a, bool_or(turn = 1) AS b FROM t GROUP BY ALL) GROUP BY conv_id)"""
-
-
-def _overlap(spark, sf_dir):
-    words = audit.words_of(read(spark, sf_dir, "conversations").filter("turn < 2"), ["conv_id", "turn"], "text")
-    return audit.overlap(words.filter("turn = 0"), words.filter("turn = 1"), "conv_id")
-
-
-@query(f"WITH {_OVERLAP} SELECT * FROM o")
-def word_overlap(spark, sf_dir):
-    return _overlap(spark, sf_dir)
-
-
-@query(f"WITH {_OVERLAP} SELECT * FROM (SELECT conv_id % 4 AS grp, conv_id, shared / left_words AS score, row_number() OVER (PARTITION BY conv_id % 4 ORDER BY shared / left_words, conv_id) AS rank FROM o WHERE left_words > 0) WHERE rank <= 5")
-def worst_n_similarity(spark, sf_dir):
-    rows = _overlap(spark, sf_dir).filter("left_words > 0").select((F.col("conv_id") % 4).alias("grp"), "conv_id", (F.col("shared") / F.col("left_words")).alias("score"))
-    return audit.worst(rows, "grp", "score", "conv_id", 5)
-
-
 def _turns(spark, sf_dir):
     """Words of each turn's previous turn and of the turn, both under the later turn's key."""
     rows = read(spark, sf_dir, "conversations")
@@ -456,18 +413,23 @@ def _turns(spark, sf_dir):
     return before.select("conv_id", "turn", "word"), words.join(pairs, ["conv_id", "turn"]).select("conv_id", "turn", "word")
 
 
-@query()
+_PAIRS = "t AS (SELECT conv_id, turn, " + _W.format(c="text") + """ AS word FROM conversations), p AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
+old AS (SELECT p.conv_id, p.turn, word, count(*) AS need FROM p JOIN t ON t.conv_id = p.conv_id AND t.turn = p.previous GROUP BY ALL), new AS (SELECT p.conv_id, p.turn, word, count(*) AS have FROM p JOIN t ON t.conv_id = p.conv_id AND t.turn = p.turn WHERE previous IS NOT NULL GROUP BY ALL)"""
+_BOTH = _PAIRS + """, o AS (SELECT conv_id, turn, count(need) AS left_words, count(have) AS right_words, count(*) FILTER (WHERE need IS NOT NULL AND have IS NOT NULL) AS shared FROM old FULL JOIN new USING (conv_id, turn, word) GROUP BY ALL)"""
+
+
+@query(f"WITH {_PAIRS} SELECT conv_id, turn, word, need - coalesce(have, 0) AS missing FROM old LEFT JOIN new USING (conv_id, turn, word) WHERE need > coalesce(have, 0)")
 def missing_words_by_turn(spark, sf_dir):
     """Every turn against the previous one: how often each word of the previous turn is missing."""
     return audit.missing_words(*_turns(spark, sf_dir), ["conv_id", "turn"])
 
 
-@query()
+@query(f"WITH {_BOTH} SELECT * FROM o")
 def word_overlap_by_turn(spark, sf_dir):
     return audit.overlap(*_turns(spark, sf_dir), "conv_id", "turn")
 
 
-@query()
+@query(f"WITH {_BOTH} SELECT * FROM (SELECT conv_id % 4 AS grp, conv_id, turn, shared / left_words AS score, row_number() OVER (PARTITION BY conv_id % 4 ORDER BY shared / left_words, conv_id, turn) AS rank FROM o WHERE left_words > 0) WHERE rank <= 5")
 def worst_n_similarity_by_turn(spark, sf_dir):
     rows = word_overlap_by_turn(spark, sf_dir).filter("left_words > 0").select((F.col("conv_id") % 4).alias("grp"), "conv_id", "turn", (F.col("shared") / F.col("left_words")).alias("score"))
     return audit.worst(rows, "grp", "score", F.struct("conv_id", "turn"), 5)
@@ -528,3 +490,8 @@ def sign_counts(spark, sf_dir):
     from tactilion.operators import contractions
 
     return contractions.sign_counts(contractions.translate(audit.word_frequency(read(spark, sf_dir, "documents"))))
+
+
+from tactilion import queries_pages, queries_rules  # noqa: E402, F401  (they register their queries)
+
+__all__ = ["ORACLE", "QUERIES"]

@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tactilion.functions.text import large_file_warning
+from tactilion.sources.compound import parse_doc
+
 Block = tuple[str, int, str]
 #: Largest uncompressed size of a package member, against hostile archives.
 MAX_MEMBER = 512 << 20
@@ -264,7 +267,7 @@ def parse_text(text: str) -> list[Block]:
 
 
 TEXT_READERS: dict[str, Callable[[str], list[Block]]] = {"txt": parse_text, "md": parse_markdown, "html": parse_html, "htm": parse_html, "xhtml": parse_html, "xml": parse_dtbook, "rtf": parse_rtf}
-BINARY_READERS: dict[str, Callable[[bytes], list[Block]]] = {"docx": parse_docx, "docm": parse_docx, "dotx": parse_docx, "odt": parse_odt, "ott": parse_odt, "epub": parse_epub}
+BINARY_READERS: dict[str, Callable[[bytes], list[Block]]] = {"doc": parse_doc, "dot": parse_doc, "docx": parse_docx, "docm": parse_docx, "dotx": parse_docx, "odt": parse_odt, "ott": parse_odt, "epub": parse_epub}
 _SCHEMA = "ord long, type string, level int, text string"
 
 
@@ -300,11 +303,13 @@ def html(pages: DataFrame) -> DataFrame:
     return _exploded(pages.select("page_id", F.lit("page.html").alias("name"), "html"), "page_id", "name", "html")
 
 
-def files(spark: SparkSession, path: str, max_bytes: int = 100 << 20) -> DataFrame:
-    """All files below ``path`` as blocks; larger ones than ``max_bytes`` are left unread and reported by :func:`oversized`."""
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """All files below ``path`` as blocks; :func:`large_files` tells which ones are large for their kind."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return _exploded(found.filter(F.col("length") <= max_bytes).select("path", F.col("path").alias("name"), "content"), "path", "name", "content")
+    return _exploded(found.select("path", F.col("path").alias("name"), "content"), "path", "name", "content")
 
 
-def oversized(spark: SparkSession, path: str, max_bytes: int = 100 << 20) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("length") > max_bytes).select("path", "length")
+def large_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path, mb`` of files that take long to read: a warning, they are read all the same."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return found.select("path", large_file_warning(F.col("path"), F.col("length")).alias("mb")).filter("mb IS NOT NULL")

@@ -27,7 +27,9 @@ def test_wrap_keeps_width_and_words(spark, width, first, runover):
 
 
 def test_wrap_of_nothing(spark):
-    assert one(spark, layout.wrap(F.lit(" \n"))) == []
+    assert one(spark, layout.wrap(F.lit(" "))) == [] and one(spark, layout.wrap(F.lit(""))) == []
+    # what stands between newlines is a line of its own, if only an empty one
+    assert one(spark, layout.wrap(F.lit(" \n"))) == [""] and one(spark, layout.wrap(F.lit("a\n\nb"), 9, 2, 0)) == ["  a", "", "b"]
 
 
 def test_ordinals(spark):
@@ -46,8 +48,9 @@ def test_braille(spark):
 
 def test_text(spark):
     assert one(spark, text.normalize_spaces(F.lit("a ​  b "))) == "a b"
-    assert one(spark, text.exchange_quotes(F.lit("‘it’s’"))) == "“it's”"
-    assert one(spark, text.has_class_word(F.lit("page_Linenum x"), "linenum"))
+    assert one(spark, text.exchange_quotes(F.lit("‘it’s’ 'a' ’twas don't dogs’"))) == "“it’s” “a” ’twas don't dogs”"
+    assert [one(spark, text.has_class_word(F.lit(c), "verse")) for c in ("page_Verse x", "a\tverse", "universe", "verse2", "")] == [True, True, False, False, False]
+    assert one(spark, text.has_class_word(F.lit("poem line-number"), "Line_Number"))
     assert not one(spark, text.clean_path(F.lit("a/../b")))
 
 
@@ -93,12 +96,19 @@ def test_files_and_sinks(spark, tmp_path):
 
 
 def test_pef_and_brf(spark):
-    pages = spark.createDataFrame([(1, 1, "A\r\nB"), (1, 2, "C")], "doc_id long, page_no long, page string")
-    row = sinks.pef(pages).first()
-    assert row.pef.count("<page>") == 2 and "<row>⠃</row>" in row.pef
+    pages = spark.createDataFrame([(1, 1, ["A  ", "B"]), (1, 2, ["C"])], "doc_id long, page_no long, lines array<string>")
     brf = page.brf(pages).first()
-    assert brf.brf == "A\r\nB\fC" and page.read_brf(page.brf(pages)).count() == 3
+    assert brf.brf == "A\r\nB\r\n\fC\r\n" and brf.n_pages == 2
+    assert [(r.page_no, r.line) for r in page.read_brf(page.brf(pages)).orderBy("page_no", "line_no").collect()] == [(1, "A"), (1, "B"), (2, "C")]
     assert page.volumes(pages, 0).select("of").first()[0] == 1
+    held = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "lines"))).alias("p"))
+    row = sinks.pef(held, page.bound(F.col("p"), 1), F.lit("T & t")).first()
+    assert row.pef.count("<volume") == 2 and "<row>⠃</row>" in row.pef and "T &amp; t" in row.pef and row.replaced == 0 and 'cols="38" rows="25"' in row.pef
+    odd = sinks.pef(held, F.array(F.struct(F.array(F.struct(F.lit(1).alias("page_no"), F.array(F.lit("a\tb")).alias("lines"))).alias("pages"))), F.lit("x")).first()
+    assert odd.replaced == 1 and "<row>⠁⠀⠃</row>" in odd.pef
+    for bad in (0, "1.5", -3, "x", True):
+        with pytest.raises(ValueError):
+            sinks.pef(held, page.bound(F.col("p"), 1), F.lit("x"), width=bad)
 
 
 def test_stream_equals_batch(spark, tmp_path):
