@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tactilion.functions.let import let
+from tactilion.functions.text import braille_passages, exchange_quotes, normalize_text
 
 #: Fixed value: the 64 braille ASCII characters in order of their dots (bit 0 is dot 1).
 ASCII = " A1B'K2L@CIF/MSP\"E3H9O6R^DJG>NTQ,*5<-U8V.%[$+X!&;:4\\0Z7(_?W]#Y)="
@@ -167,3 +170,28 @@ cells AS (SELECT doc_id, i,
   || CASE WHEN inside AND NOT ninside THEN ',''' ELSE '' END AS x
   FROM capitals LEFT JOIN signs s ON s.sign = lower(c))
 SELECT doc_id, string_agg(x, '' ORDER BY i) AS cells FROM cells GROUP BY doc_id) t1 USING (doc_id)"""
+
+
+def styled(text: Column, quotes: str = "faithful") -> Column:
+    """House style before translation: quotation marks if they are exchanged, odd spaces, then Unicode braille passed on and all else translated."""
+    t = normalize_text(exchange_quotes(text) if quotes == "exchange" else text)
+    return F.array_join(F.transform(braille_passages(t), lambda p: F.when(p["braille"], to_ascii(p["text"])).otherwise(uncontracted(p["text"]))), "")
+
+
+def translator(code: str = "ueb-g1", quotes: str = "faithful", table=None) -> Callable[[DataFrame, str], DataFrame]:
+    """A function that adds ``cells`` to the rows of a column: uncontracted by expressions, contracted or by a rule table once for each distinct text."""
+    def plain(rows: DataFrame, text: str) -> DataFrame:
+        return rows.withColumn("cells", styled(F.col(text), quotes))
+
+    def by_word(rows: DataFrame, text: str) -> DataFrame:
+        from tactilion.operators import contractions, rules
+
+        distinct = rows.select(F.col(text).alias("word")).distinct()
+        made = contractions.translate(distinct) if table is None else rules.apply(distinct, "word", table)
+        return rows.join(made.select(F.col("word").alias(text), "cells"), text, "left")
+
+    if code == "ueb-g1" and table is None:
+        return plain
+    if code in ("ueb-g2", "table"):
+        return by_word
+    raise ValueError(f"no braille code {code!r}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,3 +25,24 @@ def read_files(spark: SparkSession, like: DataFrame, path: str) -> DataFrame:
 def append(stream: DataFrame, out: str, checkpoint: str):
     """Appends to Parquet; files already taken are known from the checkpoint, so a restart repeats nothing."""
     return stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start()
+
+
+def signature(blocks: DataFrame, options: str) -> DataFrame:
+    """``blocks`` with ``key``: a digest of everything that a block's lines depend on, the options of its context included."""
+    return blocks.withColumn("key", F.sha2(F.concat(F.to_json(F.struct("type", "level", "text")), F.lit(options)), 256))
+
+
+def lines_cached(blocks: DataFrame, cache: DataFrame, options: str, make: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Lines of ``blocks`` from ``cache(key, lines)``, and the rows to add to it: ``make`` sees each new distinct block once."""
+    keyed = signature(blocks, options)
+    fresh = keyed.select("key", "type", "level", "text").dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
+    made = make(fresh).select("key", "lines")
+    return keyed.join(cache.unionByName(made), "key").drop("key"), made
+
+
+def push(stream: DataFrame, send: Callable[[list], None], checkpoint: str, rows: int = 10):
+    """Sends the newest rows of each batch to a device; the next batch waits until it has taken them."""
+    def deliver(batch: DataFrame, number: int) -> None:
+        send(batch.limit(rows).collect())
+
+    return stream.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -295,3 +295,30 @@ def test_small_rules(spark):
     found = one(spark, settings.from_json(F.lit('{"cells": "500", "mode": "bana", "grade": "g9"}')))
     assert (found["cells"], found["mode"], found["grade"]) == ("60", "bana", "g2") and one(spark, settings.from_json(F.lit("not json")))["cells"] == "40"
     assert one(spark, tables.classify(F.array(F.array(F.struct(F.lit("Name:").alias("text"), *[F.lit(k).alias(n) for n, k in (("paragraphs", 1), ("images", 0), ("headings", 0), ("lists", 0), ("tables", 0), ("span", 1))]), F.struct(F.lit("____").alias("text"), *[F.lit(k).alias(n) for n, k in (("paragraphs", 1), ("images", 0), ("headings", 0), ("lists", 0), ("tables", 0), ("span", 1))]))), F.lit(False), F.lit(False), F.lit(""), F.lit(None)))["reason"] == "form"
+
+
+def test_house_style_and_translators(spark):
+    assert one(spark, braille.styled(F.lit("‘it’s’ ⠁⠃ 3"), "exchange")) == "8IT'S0 AB #C"
+    rows = spark.createDataFrame([("the",), ("mother",), ("the",)], "w string")
+    assert sorted(r.cells for r in braille.translator("ueb-g2")(rows, "w").collect()) == ["!", "!", '"M']
+    assert sorted(r.cells for r in braille.translator()(rows, "w").collect()) == ["MOTHER", "THE", "THE"]
+    with pytest.raises(ValueError):
+        braille.translator("other")
+
+
+def test_cached_lines_and_push(spark, tmp_path):
+    from tactilion.streaming import stream
+
+    rows = [(1, "para", 0, "a b"), (2, "para", 0, "c"), (3, "para", 0, "a b")]
+    blocks_ = spark.createDataFrame(rows, "ord long, type string, level int, text string")
+    seen = []
+    make = lambda d: (seen.append(d.count()), d.withColumn("lines", layout.wrap(F.col("text"))))[1]
+    cache = spark.createDataFrame([], "key string, lines array<string>")
+    out, new = stream.lines_cached(blocks_, cache, "w=38", make)
+    assert {r.ord: r.lines for r in out.collect()} == {1: ["  a b"], 2: ["  c"], 3: ["  a b"]} and seen == [2]
+    stream.lines_cached(blocks_, new, "w=38", make)
+    assert seen == [2, 0]
+    blocks_.write.parquet(str(tmp_path / "in"))
+    got = []
+    stream.push(stream.read_files(spark, blocks_, str(tmp_path / "in")), got.append, str(tmp_path / "at"), 2).awaitTermination()
+    assert sum(map(len, got)) == 2
