@@ -131,7 +131,7 @@ def _posterior(rows: DataFrame, site: list[str], prior: Column) -> DataFrame:
     # spread of the observed rates beyond what sampling alone gives
     between = max(1e-4, ((t["v"] or 0) - within * (t["k"] or 0)) / (t["n"] or 1))
     strength = round(min(1e4, max(1.0, within / between - 1)), 6)
-    return sums.select(*site, ((F.col("s") + strength * F.col("prior")) / (F.col("n") + strength)).alias("posterior"))
+    return sums.select(*site, ((F.col("s") + strength * F.col("prior")) / (F.col("n") + strength)).alias("posterior"), "n", "s", "prior", F.lit(strength).alias("strength"))
 
 
 def classify(documents: DataFrame, labels: DataFrame, host: Column, path: Column, target: str = "quality") -> DataFrame:
@@ -148,7 +148,7 @@ def classify(documents: DataFrame, labels: DataFrame, host: Column, path: Column
     mean = sites.agg(F.sum(F.col("weight") * F.col("rate")) / F.sum("weight")).first()[0]
     overall = min(max(0.5 if mean is None else round(mean, 9), 1e-3), 1 - 1e-3)
     by_path = materialize(sites.groupBy("host", "path").agg(F.sum("weight").alias("weight"), (F.sum(F.col("weight") * F.col("rate")) / F.sum("weight")).alias("rate")), "paths")
-    hosts = _posterior(by_path, ["host"], F.lit(overall)).withColumnRenamed("posterior", "p_host")
+    hosts = _posterior(by_path, ["host"], F.lit(overall)).select("host", F.col("posterior").alias("p_host"))
     paths = _posterior(by_path.join(hosts, "host"), ["host", "path"], F.col("p_host")).withColumnRenamed("posterior", "p_path")
     both = paths.join(hosts, "host")
 
@@ -159,6 +159,9 @@ def classify(documents: DataFrame, labels: DataFrame, host: Column, path: Column
     (site,) = fresh(scored, "_site")
     scored = scored.withColumn(site, F.xxhash64("host", "path"))
     both = both.withColumn(site, F.xxhash64("host", "path")).drop("host", "path")
+    # a document's own evidence counts once: its path's rate is taken without it
+    weight = F.when(F.col("label").isNotNull(), 1.0).otherwise(SOFT_WEIGHT)
+    others = (F.col("s") - weight * F.coalesce("label", "p_text") + F.col("strength") * F.col("prior")) / (F.col("n") - weight + F.col("strength"))
     total = F.col("logit") + odds(F.col("p_path")) - odds(F.lit(overall))
-    out = spread_join(scored, both, site, "left").withColumn("quality", 1 / (1 + F.exp(-total)))
+    out = spread_join(scored, both, site, "left").withColumn("p_path", others).withColumn("quality", 1 / (1 + F.exp(-total)))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "p_text", "p_host", "p_path", "quality", (F.col("quality") >= KEEP).alias("keep"))
