@@ -4,11 +4,11 @@ A document is the set of its distinct five-word shingles (64-bit hashes). Equal
 class, represented by its smallest document id; only representatives are compared, so exact
 copies never become pairs.
 
-* **Tiles.** A representative is posted under its :data:`KEYS` smallest shingle hashes. Of two
-  linked sets, the smallest hash of the union lies in both with probability 0.75 or more, so the
-  chance that all of the first 24 miss is at most 0.25**24 < 4e-15 for a pair: the order of a
-  collision of the hashes themselves. Shingles that one representative alone holds are dropped
-  before anything is gathered. Long posting lists are parted by size band, and bands that are still long are cut in blocks, each pair of
+* **Tiles.** A representative is posted under :data:`KEYS` keys, each made of :data:`ROWS` minima of its shingles under fixed permutations. Two
+  linked sets have one minimum in common with probability 0.75 or more, so a key with 0.75**2, and the chance that all 40 keys
+  miss is at most (1 - 0.5625)**40 < 5e-15 for a pair: the order of a collision of the hashes themselves. Sets that
+  share a passage alone, or a few words by chance, hardly ever share a key. Keys that one representative alone has are dropped before
+  anything is gathered. Long posting lists are parted by size band, and bands that are still long are cut in blocks, each pair of
   which is a tile of its own, so that no task holds an unbounded list.
 * **Bitmaps.** Each set has a parity bitmap of two to four times as many bits as shingles. The bits in
   which two bitmaps differ bound the symmetric difference from below, so the overlap from above; with
@@ -17,7 +17,7 @@ copies never become pairs.
   time in memory.
 * **Large groups.** Only components are asked for, so links inside a known component need not be found. Three passes
   run over the tiles, each on pairs of different components so far: first a document names its closest
-  partner, and the closest of those sorted before it, in the tile of its smallest shared hash alone; then
+  partner, and the closest of those sorted before it, in the tile of its smallest shared key alone; then
   each component of a larger tile but the largest names its closest pair (a Boruvka step); what is left apart is
   then compared in full, so that no link is missed.
 """
@@ -37,7 +37,7 @@ import xxhash
 from tactilion.llm.common import arrow_limit, connected_components, discard, give_back, kept, materialize, semi_filter
 
 N = 5
-KEYS = 24
+KEYS, ROWS = 40, 2
 #: Rows of a block of a posting list, and pairs verified against one leading document in a task.
 BLOCK, FAN = 4096, 256
 #: Tiles of up to this many documents need no pass for the closest pairs of components: their pairs are few.
@@ -50,6 +50,13 @@ WORD_CACHE = 150_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
+#: Odd factors and offsets of the permutations, by the golden ratio.
+_FACTORS = (np.arange(1, KEYS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
+_OFFSETS = (np.arange(1, KEYS * ROWS + 1, dtype=np.uint64) * np.uint64(0x94D049BB133111EB)) ^ np.uint64(0xD6E8FEB86659FD93)
+#: Shingles that are permuted at a time.
+STEP = 4096
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > WORD_CACHE:
@@ -78,6 +85,20 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(out)
 
 
+def keys_of(hashes: np.ndarray) -> np.ndarray:
+    """The keys of a set that is not empty: for each, the minima under its permutations put together."""
+    least = np.full(KEYS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(hashes), STEP):
+        mixed = (hashes[at : at + STEP, None] ^ _OFFSETS) * _FACTORS
+        mixed ^= mixed >> np.uint64(31)
+        least = np.minimum(least, (mixed * _MIX[0]).min(axis=0))
+    out = np.arange(1, KEYS + 1, dtype=np.uint64) * _MIX[1]
+    for part in least.reshape(KEYS, ROWS).T:
+        out = (out ^ part) * _MIX[2]
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
 def bitmap(hashes: np.ndarray, share: int = 2) -> bytes:
     """Parity of the hashes that fall on each bit; a power of two of bits, ``share`` times the set's size or more, up to a limit."""
     bits = min(MAX_BITS, max(MIN_BITS, 1 << (share * len(hashes) - 1).bit_length()))
@@ -90,7 +111,7 @@ def _features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rows = []
         for text in batch:
             s = shingles(text)
-            rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), s[:KEYS].view(np.int64), bitmap(s), bitmap(s, WIDE)) if len(s) else (0, b"", np.empty(0, np.int64), b"", b""))
+            rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), keys_of(s), bitmap(s), bitmap(s, WIDE)) if len(s) else (0, b"", np.empty(0, np.int64), b"", b""))
         yield pd.DataFrame(rows, columns=["n", "set_hash", "keys", "bits", "wide"])
     give_back()
 
