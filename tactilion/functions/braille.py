@@ -36,9 +36,17 @@ _FIRST = {cell: chr(0xE020 + i) for i, cell in enumerate(TWO_CELLS)}
 _ACCENT, _LAST, _UNKNOWN = {cell: chr(0xE030 + i) for i, cell in enumerate(ACCENTS)}, chr(0xE03F), chr(0xE03E)
 
 
+#: The second case of braille ASCII: small letters and the signs around them stand for the characters 32 places before.
+_SMALL = "".join(map(chr, range(0x60, 0x7F)))
+
+
+def folded(brf: Column) -> Column:
+    return F.translate(brf, _SMALL, "".join(chr(ord(c) - 32) for c in _SMALL))
+
+
 def to_unicode(brf: Column) -> Column:
     """Braille ASCII to Unicode cells; small letters count as capitals, other characters are blank."""
-    up = F.regexp_replace(F.upper(brf), r"[^\x20-\x5F\n\f\r]", " ")
+    up = F.regexp_replace(folded(brf), r"[^\x20-\x5F\n\f\r]", " ")
     return F.translate(up, ASCII, UNICODE)
 
 
@@ -51,7 +59,7 @@ def to_ascii(cells: Column) -> Column:
 
 def pef_row(line: Column) -> Column:
     """``struct<row, replaced>``: Unicode cells of a line; what is no braille is a blank cell and is counted."""
-    known = F.translate(F.upper(line), ASCII, UNICODE)
+    known = F.translate(folded(line), ASCII, UNICODE)
     row = F.regexp_replace(known, r"[^\x{2800}-\x{28FF}]", "⠀")
     return F.struct(row.alias("row"), F.length(F.regexp_replace(known, r"[\x{2800}-\x{28FF}]", "")).alias("replaced"))
 
@@ -128,7 +136,7 @@ def display_masks(line: Column, width: int) -> Column:
     cells = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.substring(line, i, F.lit(1)))
 
     def mask(c: Column) -> Column:
-        at = F.call_function("locate", F.upper(c), F.lit(ASCII))
+        at = F.call_function("locate", folded(c), F.lit(ASCII))
         code = F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int")
         return F.when(code.between(0x2800, 0x28FF), code - 0x2800).when((F.length(c) > 0) & (at > 0), at - 1).otherwise(0)
 

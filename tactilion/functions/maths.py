@@ -389,3 +389,68 @@ def pin_grid(source: str, width: int = 60, height: int = 40, x0: float = -10, x1
                 grid[k][col(x)] = 1
         before = row(y) if inside else None
     return grid
+
+
+#: Fixed values of UEB: cells of operators and Greek letters in technical material.
+UEB_SIGNS = {
+    "+": '"6', "-": '"-', "−": '"-', "=": '"7', "×": '"8', "÷": '"/', "·": '"4', "±": "_6", "<": "@<", ">": "@>", "≤": "_@<", "≥": "_@>", "≠": '"7@:', "≈": "^9", "∞": "#=", "√": "%", "∫": "!", "∑": ",.S", "∏": ",.P",
+    "∂": "@D", "∇": "^D", "→": "\\o", "∈": "^E", "∪": ".+", "∩": ".%", "(": '"<', ")": '">', "[": ".<", "]": ".>", "{": "_<", "}": "_>", "|": "_\\", ",": "1", ".": "4", "!": "6", ":": "3", "/": "_/", "%": ".0", "°": "^J",
+}
+_GREEK = dict(zip("αβγδεζηθικλμνξοπρστυφχψω", "ABGDEZ:?IKLMNXOPRSTUF&YW"))
+
+
+def to_ueb(source: str) -> str:
+    """Cells of MathML by the rules for technical material: numbers, letters, signs, fractions, roots, levels and grouping, in a grade 1 passage.
+
+    What cannot be read gives a text that begins with ``ERROR``, never an exception.
+    """
+    digits = str.maketrans("1234567890.,", "ABCDEFGHIJ41")
+
+    def single(node) -> bool:
+        kids = list(node)
+        return len("".join(node.itertext()).strip()) <= 1 or _local(node) == "mn" or len(kids) == 1 and single(kids[0])
+
+    def group(node) -> str:
+        return walk(node) if single(node) else "<" + walk(node) + ">"
+
+    def letters(text: str) -> str:
+        out = ""
+        for c in text:
+            low = c.lower()
+            cell = "." + _GREEK[low] if low in _GREEK else low.upper() if low.isascii() and low.isalpha() else UEB_SIGNS.get(c, "=")
+            out += ("," if c != low else "") + cell
+        return out
+
+    def walk(node) -> str:
+        kind, kids, text = _local(node), list(node), (node.text or "").strip()
+        if kind == "mn":
+            return "#" + text.translate(digits) if text[:1].isdigit() or text[:1] == "." else letters(text)
+        if kind in ("mi", "mtext"):
+            return letters(text)
+        if kind == "mo":
+            return "" if text in "⁡⁢⁣⁤" else "".join(UEB_SIGNS.get(c, letters(c) if c.isalpha() else "=") for c in text)
+        if kind == "mfrac" and len(kids) == 2:
+            a, b = ("".join(k.itertext()).strip() for k in kids)
+            if a.isdigit() and b.isdigit():
+                return f"#{a.translate(digits)}/{b.translate(digits)}"
+            return f"({walk(kids[0])}./{walk(kids[1])})"
+        if kind == "msqrt":
+            return "%" + "".join(map(walk, kids)) + "+"
+        if kind == "mroot" and len(kids) == 2:
+            return f"%9{group(kids[1])}{walk(kids[0])}+"
+        if kind in ("msup", "msub") and len(kids) == 2:
+            return walk(kids[0]) + ("9" if kind == "msup" else "5") + group(kids[1])
+        if kind in ("msubsup", "munderover") and len(kids) == 3:
+            return walk(kids[0]) + "5" + group(kids[1]) + "9" + group(kids[2])
+        if kind in ("munder", "mover") and len(kids) == 2:
+            return walk(kids[0]) + (".5" if kind == "munder" else ".9") + group(kids[1])
+        if kind == "mtable":
+            return "\n".join(" ".join(walk(d) for d in r) for r in kids)
+        return "".join(map(walk, kids))
+
+    try:
+        cells = walk(ET.fromstring(source))
+    except (ET.ParseError, RecursionError) as e:
+        return f"ERROR: {e}"
+    plain = "".join(re.findall(r"[A-Z<>()%]", re.sub(r"#[A-J14/]+", "", cells)))
+    return cells if not plain or "\n" in cells else ";;" + cells if " " not in cells else f";;;{cells};'"

@@ -212,3 +212,59 @@ def relaxed_translate(spark, sf_dir):
     """Words for a reader who holds the wordsigns alone: the other signs are spelled out."""
     held = [k for k in contractions.KEYS if "wordsigns" in k]
     return contractions.translate(audit.word_frequency(read(spark, sf_dir, "documents")), held).select("word", "n", "cells", "spelled", "unresolved")
+
+
+@query("""SELECT count(*) AS files, sum(strlen(text))::BIGINT AS bytes, sum(len(string_split(text, chr(10))))::BIGINT AS blocks, sum(len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')))::BIGINT AS non_blank FROM documents""")
+def corpus_totals(spark, sf_dir):
+    parts = F.split("text", "\n", -1)
+    rows = read(spark, sf_dir, "documents").select(F.octet_length("text").cast("long").alias("bytes"), F.size(parts).cast("long").alias("blocks"), F.size(F.filter(parts, lambda x: F.btrim(x, F.lit(" ")) != "")).cast("long").alias("non_blank"))
+    return audit.totals(rows, ["bytes", "blocks", "non_blank"])
+
+
+@query(r"""SELECT doc_id, sum(length(regexp_replace(l, '[\x20-\x7E]', '', 'g')))::BIGINT AS replaced FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id""")
+def replaced_characters(spark, sf_dir):
+    """Characters that a braille file cannot show, by document."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("l")).select("doc_id", braille.pef_row(F.col("l"))["replaced"].alias("r"))
+    return rows.groupBy("doc_id").agg(F.sum("r").cast("long").alias("replaced"))
+
+
+@query("""WITH h AS (SELECT o_custkey AS doc_id, o_orderpriority AS t, o_orderkey % 3 + 1 AS level, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, o_orderkey % 90 + 1 AS page_no FROM orders),
+e AS (SELECT *, repeat('  ', (level - 1)::BIGINT) || t AS entry, '#' || translate(page_no::VARCHAR, '1234567890', 'ABCDEFGHIJ') AS num FROM h)
+SELECT doc_id, k - 1 AS line_no, entry || ' ' || repeat('"', greatest(38 - length(entry) - length(num) - 2, 0)::BIGINT) || ' ' || num AS line, 'P#' || translate(((k - 1) // 5 + 1)::VARCHAR, '1234567890', 'ABCDEFGHIJ') AS page FROM e""")
+def generated_contents(spark, sf_dir):
+    """Contents of a customer's orders as headings, five entries on a page of the P series."""
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 3 + 1).alias("level"), F.col("o_orderpriority").alias("cells"), (F.col("o_orderkey") % 90 + 1).alias("page_no"))
+    return page.contents(rows, lambda cells, number, level: layout.contents_entry(cells, number, level=level), 5)
+
+
+@query("""SELECT c_custkey, CASE WHEN k = 0 THEN '' WHEN i <= 0 THEN '#' || k ELSE repeat(chr((65 + (i - 1) % 26)::INT), ((i - 1) // 26 + 1)::BIGINT) || '#' || k END AS header FROM (SELECT c_custkey, c_custkey % 5 AS k, c_custkey % 60 AS i FROM customer)""")
+def print_page_headers(spark, sf_dir):
+    k = F.col("c_custkey") % 5
+    return read(spark, sf_dir, "customer").select("c_custkey", page.print_page_header(F.when(k > 0, F.concat(F.lit("#"), k.cast("string"))), F.col("c_custkey") % 60).alias("header"))
+
+
+@query("""SELECT p_partkey, 'Style: ' || CASE p_size % 3 WHEN 0 THEN 'Body Text (3-1) | Cell: 3' WHEN 1 THEN 'Heading 2 (Subheading) (Cell 5) | Cell: 5' ELSE CASE WHEN p_partkey % 2 = 0 THEN 'Blockquote (7-5) | Cell: 7' ELSE 'Blockquote (3-3) | Cell: 3' END END || ' | Alignment: Left | Profile: ' || CASE WHEN p_partkey % 2 = 0 THEN 'UKAAF' ELSE 'BANA' END AS badge FROM part""")
+def style_badges(spark, sf_dir):
+    style = F.element_at(F.array(F.lit("p"), F.lit("h2"), F.lit("quote")), (F.col("p_size") % 3 + 1).cast("int"))
+    standard = F.when(F.col("p_partkey") % 2 == 0, "UKAAF").otherwise("bana")
+    return read(spark, sf_dir, "part").select("p_partkey", layout.style_badge(style, standard).alias("badge"))
+
+
+@query("""SELECT grp, keys FROM (VALUES ('page', 'cells,lines,volumePages'), ('view', 'brailleCellW,statusScale'), ('speech', 'ttsRate'), ('code', 'mode,grade,mathCode,quoteStyle'), ('layout', 'listStyle,paragraphStyle,tableFormat'),
+  ('device', 'embosserDuplex,baudRate,connectionType,networkPort,expertHardware'), ('graphics', 'tactileGraphics'), ('edit', 'sixKeyOn')) t(grp, keys)""")
+def registry_groups(spark, sf_dir):
+    return settings.projection(spark, "groups").select("grp", F.array_join("keys", ",").alias("keys"))
+
+
+@query("""SELECT event_type, max(event_id) AS event_id FROM events GROUP BY event_type ORDER BY event_id DESC, event_type LIMIT 5""")
+def recent_codes(spark, sf_dir):
+    """The last five different types: a limit is what this query is for."""
+    return settings.recent(read(spark, sf_dir, "events"), "event_type", "event_id")
+
+
+@query()
+def back_translation(spark, sf_dir):
+    """Of the distinct words in plain letters, how many come back from their contracted cells, by length."""
+    words = audit.word_frequency(read(spark, sf_dir, "documents")).filter(F.col("word").rlike("^[a-z]+$"))
+    rows = contractions.translate(words)
+    return rows.groupBy(F.length("word").alias("length")).agg(F.count("*").alias("words"), F.count_if(F.col("back") == F.col("word")).alias("same"), F.sum("n").alias("n"))

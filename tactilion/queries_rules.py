@@ -383,7 +383,7 @@ def picture_names(spark, sf_dir):
 
 
 @query("""SELECT doc_id, md5(string_agg(upper(hex(CASE WHEN strpos(' A1B''K2L@CIF/MSP"E3H9O6R^DJG>NTQ,*5<-U8V.%[$+X!&;:4\\0Z7(_?W]#Y)=', c) > 0 THEN strpos(' A1B''K2L@CIF/MSP"E3H9O6R^DJG>NTQ,*5<-U8V.%[$+X!&;:4\\0Z7(_?W]#Y)=', c) - 1 ELSE 0 END)), ',' ORDER BY i)) AS masks_md5
-FROM (SELECT doc_id, i, upper(substr(rpad(substr(text, 1, 32), 32, ' '), i::BIGINT, 1)) AS c FROM documents, (SELECT unnest(range(1, 33)) AS i)) GROUP BY doc_id""".replace("\\\\", "\\"))
+FROM (SELECT doc_id, i, translate(substr(rpad(substr(text, 1, 32), 32, ' '), i::BIGINT, 1), 'abcdefghijklmnopqrstuvwxyz`{|}~', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ@[\\\\]^') AS c FROM documents, (SELECT unnest(range(1, 33)) AS i)) GROUP BY doc_id""".replace("\\\\", "\\"))
 def display_frames(spark, sf_dir):
     """Dot bytes of the first 32 characters of each text on a display."""
     masks = braille.display_masks(F.col("text"), 32)

@@ -322,3 +322,10 @@ def test_cached_lines_and_push(spark, tmp_path):
     got = []
     stream.push(stream.read_files(spark, blocks_, str(tmp_path / "in")), got.append, str(tmp_path / "at"), 2).awaitTermination()
     assert sum(map(len, got)) == 2
+
+
+def test_maths_braille():
+    cell = lambda tex: maths.to_ueb(maths.tex_to_mathml(tex))
+    assert cell("3+4=7") == '#C"6#D"7#G' and cell(r"\frac{1}{2}") == "#A/B"
+    assert cell("x^2") == ";;X9#B" and cell(r"\frac{a}{b+1}") == ';;(A./B"6#A)' and cell(r"\sqrt{x}") == ";;%X+" and cell("x_{ij}") == ";;X5<IJ>" and cell(r"\pi") == ";;.P"
+    assert maths.to_ueb("<math><mi>").startswith("ERROR")
