@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tactilion.functions.maths import M as OMML
+from tactilion.functions.maths import omml_to_mathml
 from tactilion.functions.text import large_file_warning
 from tactilion.sources.compound import parse_doc
 
@@ -43,16 +45,30 @@ class _Html(HTMLParser):
         self.out: list[Block] = []
         self.text: list[str] = []
         self.kind, self.level, self.depth, self.skip = "para", 0, 0, 0
+        self.note = self.maths = 0
 
     def flush(self) -> None:
         text = re.sub(r"\s+", " ", "".join(self.text)).strip()
         if text:
-            self.out.append((self.kind, self.level, text))
+            self.out.append(("note", 0, text) if self.note and self.kind == "para" else (self.kind, self.level, text))
         self.text = []
 
     def handle_starttag(self, tag, attrs):
+        held = dict(attrs)
+        role = f"{held.get('role') or ''} {held.get('epub:type') or ''}"
         if tag in self.SKIP:
             self.skip += 1
+        elif tag == "math":
+            self.maths += 1
+            if self.maths == 1:
+                self.flush()
+        elif tag == "aside" and "note" in role:
+            self.flush()
+            self.note += 1
+        elif tag == "img" and (held.get("alt") or "").strip():
+            self.out.append(("graphic", 0, held["alt"].strip()))
+        elif "pagebreak" in role:
+            self.out.append(("pagenum", 0, (held.get("aria-label") or held.get("title") or held.get("id") or "").strip()))
         elif tag == "br":
             self.text.append(" ")
         elif tag in self.BLOCKS:
@@ -64,6 +80,15 @@ class _Html(HTMLParser):
     def handle_endtag(self, tag):
         if tag in self.SKIP:
             self.skip = max(0, self.skip - 1)
+        elif tag == "math" and self.maths:
+            self.maths -= 1
+            if not self.maths:
+                kind, self.kind = self.kind, "math"
+                self.flush()
+                self.kind = kind
+        elif tag == "aside" and self.note:
+            self.flush()
+            self.note -= 1
         elif tag in self.BLOCKS:
             self.flush()
             self.depth -= tag in ("ul", "ol") and self.depth > 0
@@ -89,7 +114,7 @@ def _inline(text: str) -> str:
 
 
 def parse_markdown(text: str) -> list[Block]:
-    """Headings, lists, quotes, code fences, tables, front matter and paragraphs."""
+    """Headings, lists, quotes, code fences, tables, equations, notes, front matter and paragraphs."""
     out: list[Block] = []
     held: list[str] = []
     lines = text.replace("\r\n", "\n").split("\n")
@@ -109,6 +134,14 @@ def parse_markdown(text: str) -> list[Block]:
             end = next((j for j in range(i + 1, len(lines)) if lines[j].startswith(m[1])), len(lines))
             out.append(("code", 0, "\n".join(lines[i + 1 : end])))
             i = end
+        elif m := re.match(r"\[\^[^\]]+\]:\s*(.*)", line):
+            flush()
+            out.append(("note", 0, _inline(m[1])))
+        elif line.strip().startswith("$$"):
+            flush()
+            end = i if line.strip().endswith("$$") and len(line.strip()) > 3 else next((j for j in range(i + 1, len(lines)) if lines[j].rstrip().endswith("$$")), len(lines) - 1)
+            out.append(("math", 0, " ".join(x.strip() for x in lines[i : end + 1]).strip("$ ")))
+            i = end
         elif m := re.match(r"(#{1,6})\s+(.*?)\s*#*\s*$", line):
             flush()
             out.append(("heading", len(m[1]), _inline(m[2])))
@@ -174,6 +207,7 @@ def _member(z: zipfile.ZipFile, name: str) -> bytes:
 def parse_docx(data: bytes) -> list[Block]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         root = ElementTree.fromstring(_member(z, "word/document.xml"))
+        notes = [ElementTree.fromstring(_member(z, n)) for n in ("word/footnotes.xml", "word/endnotes.xml") if n in z.namelist()]
     out: list[Block] = []
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
     cells = {id(p) for c in root.iter(f"{w}tc") for p in c.iter(f"{w}p")}
@@ -182,6 +216,8 @@ def parse_docx(data: bytes) -> list[Block]:
         style = p.find(f"{w}pPr/{w}pStyle")
         name = style.get(f"{w}val", "") if style is not None else ""
         number = p.find(f"{w}pPr/{w}numPr/{w}ilvl")
+        equations = [omml_to_mathml(ElementTree.tostring(e, encoding="unicode")) for e in p.iter(f"{{{OMML}}}oMath")]
+        out += [("math", 0, e) for e in equations]
         if not text.strip():
             continue
         if m := re.fullmatch(r"Heading ?([1-6])", name):
@@ -192,6 +228,10 @@ def parse_docx(data: bytes) -> list[Block]:
             out.append(("list", int(number.get(f"{w}val", "0")) + 1, text.strip()))
         else:
             out.append(("title" if name == "Title" else "para", 0, text.strip()))
+    for part in notes:
+        for n in part:
+            if n.get(f"{w}type") in (None, "normal") and (t := re.sub(r"\s+", " ", "".join(x.text or "" for x in n.iter(f"{w}t"))).strip()):
+                out.append(("note", 0, t))
     return out
 
 

@@ -329,3 +329,15 @@ def test_maths_braille():
     assert cell("3+4=7") == '#C"6#D"7#G' and cell(r"\frac{1}{2}") == "#A/B"
     assert cell("x^2") == ";;X9#B" and cell(r"\frac{a}{b+1}") == ';;(A./B"6#A)' and cell(r"\sqrt{x}") == ";;%X+" and cell("x_{ij}") == ";;X5<IJ>" and cell(r"\pi") == ";;.P"
     assert maths.to_ueb("<math><mi>").startswith("ERROR")
+
+
+def test_notes_and_equations_of_readers():
+    assert blocks.parse_markdown("a[^1]\n\n$$\nx^2\n$$\n\n[^1]: the note\n") == [("para", 0, "a[^1]"), ("math", 0, "x^2"), ("note", 0, "the note")]
+    got = blocks.parse_html('<p>a<span role="doc-pagebreak" aria-label="7"></span>b</p><p>c <math><mi>x</mi></math> d</p><img src="p" alt="A dog"><aside epub:type="footnote"><p>n</p></aside><p>e</p>')
+    assert ("pagenum", 0, "7") in got and ("math", 0, "x") in got and ("graphic", 0, "A dog") in got and ("note", 0, "n") in got and got[-1] == ("para", 0, "e")
+    w, out = "http://schemas.openxmlformats.org/wordprocessingml/2006/main", io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}" xmlns:m="{maths.M}"><w:body><w:p><w:r><w:t>t</w:t></w:r><m:oMath><m:r><m:t>y</m:t></m:r></m:oMath></w:p></w:body></w:document>')
+        z.writestr("word/footnotes.xml", f'<w:footnotes xmlns:w="{w}"><w:footnote w:type="separator"><w:p><w:r><w:t>-</w:t></w:r></w:p></w:footnote><w:footnote><w:p><w:r><w:t>n</w:t></w:r></w:p></w:footnote></w:footnotes>')
+    found = blocks.read_blocks("a.docx", out.getvalue())
+    assert [k for k, _, _ in found] == ["math", "para", "note"] and "<mi>y</mi>" in found[0][2] and found[2][2] == "n"
