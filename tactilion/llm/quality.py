@@ -97,7 +97,9 @@ def train(documents: DataFrame, labels: DataFrame, target: str) -> np.ndarray |
     if len(set(y.values())) < 2:
         return None
 
-    rows = documents.filter(F.col("doc_id").isin(list(y))).select("doc_id", _features_udf()("text").alias("x")).collect()
+    # rows that share an id count once, so that the driver gets MAX_TRAIN rows at most
+    one = documents.filter(F.col("doc_id").isin(list(y))).groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.select("doc_id", _features_udf()("text").alias("x")).orderBy("doc_id").collect()
     return fit([np.array(r["x"]) for r in rows], [y[r["doc_id"]] for r in rows]) if rows else None
 
 
