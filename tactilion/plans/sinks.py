@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tactilion.functions import braille
 from tactilion.functions.text import strip_xml_illegal, xml_escape
+from tactilion.operators.windows import _fold
 
 
 def _assembled(blocks: DataFrame, key: str, line: Column, between: str, out: str) -> DataFrame:
@@ -46,10 +47,33 @@ def html(blocks: DataFrame, key: str) -> DataFrame:
     return body.select(key, F.concat(F.lit("<!DOCTYPE html>\n<html><body>\n"), "body", F.lit("\n</body></html>\n")).alias("html"))
 
 
+def _levels(stack: list, at: object, depth: object) -> str | None:
+    """Tags before a heading: levels that end, the one that begins, and behind a mark those that the end of the book closes."""
+    if depth is None:
+        return None
+    closed = ""
+    while stack and stack[-1] >= depth:
+        closed += f"</level{stack.pop()}>"
+    stack.append(depth)
+    return f"{closed}<level{depth}>\x00" + "".join(f"</level{k}>" for k in reversed(stack))
+
+
 def dtbook(blocks: DataFrame, key: str) -> DataFrame:
-    body = _assembled(blocks, key, _tagged([("heading", "h"), ("list", "li"), ("quote", "blockquote"), ("pagenum", "pagenum"), ("title", "doctitle")], "p"), "\n", "body")
+    """DTBook 2005-3: headings in nested levels, runs of list items in lists, other blocks by their kind."""
+    w = Window.partitionBy(key).orderBy("ord")
+    inside = F.col("type") == "list"
+    rows = blocks.select(key, "ord", "type", "level", "text", (inside & ~F.lag(inside, 1, False).over(w)).alias("_open"), (inside & ~F.lead(inside, 1, False).over(w)).alias("_close"))
+    rows = rows.withColumn("_h", F.when(F.col("type") == "heading", F.greatest(F.least("level", F.lit(6)), F.lit(1)).cast("int")))
+    rows = _fold(rows, key, "ord", "_h", "_mark", "string", _levels)
+    tagged = _tagged([("heading", "h"), ("list", "li"), ("quote", "blockquote"), ("pagenum", "pagenum"), ("title", "doctitle"), ("note", "note"), ("caption", "caption")], "p")
+    mark = F.coalesce(F.split("_mark", "\x00")[0], F.lit(""))
+    line = F.concat(mark, F.when(F.col("_open"), '<list type="pl">').otherwise(""), tagged, F.when(F.col("_close"), "</list>").otherwise(""))
+    held = rows.select(key, "ord", line.alias("line"), F.split("_mark", "\x00")[1].alias("_end"))
+    body = held.groupBy(key).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("body"), F.max(F.when(F.col("_end").isNotNull(), F.struct("ord", "_end")))["_end"].alias("_end")
+    )
     head = '<?xml version="1.0" encoding="utf-8"?>\n<dtbook version="2005-3" xmlns="http://www.daisy.org/z3986/2005/dtbook/"><book><bodymatter>\n'
-    return body.select(key, F.concat(F.lit(head), "body", F.lit("\n</bodymatter></book></dtbook>\n")).alias("xml"))
+    return body.select(key, F.concat(F.lit(head), "body", F.coalesce("_end", F.lit("")), F.lit("\n</bodymatter></book></dtbook>\n")).alias("xml"))
 
 
 def whole_count(value, name: str, default: int) -> int:

@@ -341,3 +341,13 @@ def test_notes_and_equations_of_readers():
         z.writestr("word/footnotes.xml", f'<w:footnotes xmlns:w="{w}"><w:footnote w:type="separator"><w:p><w:r><w:t>-</w:t></w:r></w:p></w:footnote><w:footnote><w:p><w:r><w:t>n</w:t></w:r></w:p></w:footnote></w:footnotes>')
     found = blocks.read_blocks("a.docx", out.getvalue())
     assert [k for k, _, _ in found] == ["math", "para", "note"] and "<mi>y</mi>" in found[0][2] and found[2][2] == "n"
+
+
+def test_dtbook_nests_levels_and_lists(spark):
+    from tactilion.plans import sinks
+
+    rows = [(0, "heading", 1, "A"), (1, "para", 0, "p"), (2, "heading", 3, "B"), (3, "list", 1, "x"), (4, "list", 1, "y"), (5, "heading", 2, "C & D"), (6, "heading", 1, "E")]
+    book = spark.createDataFrame([(1, *r) for r in rows] + [(2, 0, "para", 0, "only")], "d long, ord long, type string, level int, text string")
+    xml = {r.d: r.xml for r in sinks.dtbook(book, "d").collect()}
+    assert "<level1><h1>A</h1>\n<p>p</p>\n<level3><h3>B</h3>\n<list type=\"pl\"><li>x</li>\n<li>y</li></list>\n</level3><level2><h2>C &amp; D</h2>\n</level2></level1><level1><h1>E</h1></level1>" in xml[1]
+    assert blocks.parse_dtbook(xml[1])[:3] == [("heading", 1, "A"), ("para", 0, "p"), ("heading", 3, "B")] and "<p>only</p>" in xml[2]
