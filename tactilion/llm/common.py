@@ -89,6 +89,15 @@ def semi_filter(df: DataFrame, key: str, ids: DataFrame, keep: bool = True) -> D
     return joined.filter(hit if keep else ~hit).select(df.columns)
 
 
+def without(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Rows of ``left`` whose ``on`` is not in ``right`` (one column of that name, each value once).
+
+    An outer join, as the optimizer would move an anti join below the filter that makes ``left`` small, and so move all its rows.
+    """
+    (found,) = fresh(left, "_found")
+    return left.join(right.withColumn(found, F.lit(True)), on, "left").filter(F.col(found).isNull()).select(left.columns)
+
+
 def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
     """A join on ``on`` where one value may hold a large share of ``left``; ``right`` has few rows for each value.
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 import xxhash
 
-from tactilion.llm.common import arrow_limit, connected_components, discard, give_back, kept, materialize, semi_filter
+from tactilion.llm.common import arrow_limit, connected_components, discard, give_back, kept, materialize, semi_filter, without
 
 N = 5
 KEYS, ROWS = 40, 2
@@ -336,7 +336,7 @@ def components(documents: DataFrame) -> DataFrame:
     again = named.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id")
     touched = materialize(others.union(again).distinct(), "touched")
     alone = semi_filter(named, "doc_id", touched, keep=False)
-    once = semi_filter(named, "doc_id", touched).join(others, "doc_id", "left_anti").dropDuplicates(["doc_id", "n", "bits"])
+    once = without(semi_filter(named, "doc_id", touched), others.distinct(), "doc_id").dropDuplicates(["doc_id", "n", "bits"])
     columns = [F.col("doc_id").alias("node"), "n", "keys", "bits", "wide"]
     reps = materialize(alone.select(columns).unionByName(once.select(columns)), "reps")
     discard(feats, touched)
