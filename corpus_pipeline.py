@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tactilion.llm import decontaminate, language_id, ngram_join, piece_sampling, pii
-from tactilion.llm.common import discard, fresh, materialize, semi_filter, table
+from tactilion.llm.common import discard, fresh, materialize, semi_filter, table, without
 
 #: Gumbel samples and edit alignments have no SQL form.
 ORACLE_SQL = None
@@ -49,7 +49,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     repeated = groups.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
     touched = materialize(members.select("k").union(repeated).distinct(), "touched")
     alone = semi_filter(keyed, key, touched, keep=False)
-    once = semi_filter(keyed, key, touched).join(copies.select(F.col("k").alias(key)), key, "left_anti").dropDuplicates([key])
+    once = without(semi_filter(keyed, key, touched), copies.select(F.col("k").alias(key)), key).dropDuplicates([key])
     return alone.select(docs.columns).unionByName(once.select(docs.columns))
 
 
