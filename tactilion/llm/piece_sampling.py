@@ -71,11 +71,17 @@ class Lattice:
             for c in p:
                 s = edges.setdefault(s * self.width + number[c], len(edges) + 1)
             ids[s] = i
-        self.ids = np.full(len(edges) + 1, -1, np.int32)
-        self.ids[list(ids)] = list(ids.values())
         keys = np.fromiter(edges, np.int64, len(edges))
         to = np.fromiter(edges.values(), np.int32, len(edges))
-        self.dense = np.full((len(edges) + 1, _DENSE), -1, np.int32)
+        # states that go on come first: the others, about half, share one row of the table
+        on = np.zeros(len(edges) + 1, bool)
+        on[keys // self.width] = on[0] = True
+        self.inner = int(on.sum())
+        rank = np.where(on, np.cumsum(on) - 1, self.inner + np.cumsum(~on) - 1).astype(np.int32)
+        self.ids = np.full(len(edges) + 1, -1, np.int32)
+        self.ids[rank[list(ids)]] = list(ids.values())
+        keys, to = rank[keys // self.width].astype(np.int64) * self.width + keys % self.width, rank[to]
+        self.dense = np.full((self.inner + 1, _DENSE), -1, np.int32)
         cls = keys % self.width
         low = cls < _DENSE
         self.dense[keys[low] // self.width, cls[low]] = to[low]
@@ -87,7 +93,7 @@ class Lattice:
         self.byte_weight = -ALPHA * math.log(n + OFFSET)
 
     def _step(self, state: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        out = self.dense[state, np.minimum(cls, _DENSE - 1)]
+        out = self.dense[np.minimum(state, self.inner), np.minimum(cls, _DENSE - 1)]
         rare = np.flatnonzero(cls >= _DENSE - 1)
         if len(rare):
             key = state[rare].astype(np.int64) * self.width + cls[rare]
