@@ -20,7 +20,7 @@ from tactilion.llm.common import discard, fresh, materialize, semi_filter, table
 #: Gumbel samples and edit alignments have no SQL form.
 ORACLE_SQL = None
 #: Characters encoded at a time, fewer than alone: executors still hold what earlier stages left in their heaps.
-ENCODE_CHARS = 500_000
+ENCODE_CHARS = 200_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
