@@ -95,12 +95,20 @@ def uncontracted(text: Column) -> Column:
     placeholder before them, and one final translation gives all cells.
     """
     t = F.regexp_replace(indicators(F.regexp_replace(text, r"[\x{E000}-\x{E1FF}]", "")), r"(?<=\p{L})’(?=\p{L})", "'")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?<=[0-9])[.](?=[0-9])", _POINT), r"(?<=[0-9]),(?=[0-9])", _COMMA)
-    t = F.regexp_replace(F.regexp_replace(t, r"(?<=[0-9])\x{00A0}(?=[0-9])", _SPACE), rf"(?<![0-9a-z.,{_POINT}{_COMMA}{_SPACE}])[.](?=[0-9])", _POINT)
-    t = F.regexp_replace(t, rf"(?<![0-9{_POINT}{_COMMA}{_SPACE}])(?=[0-9{_POINT}])", _NUMBER)
-    t = F.regexp_replace(t, r"(?<=[0-9])(?=[a-j])", _GRADE1)
-    for cell, (letters, _) in ACCENTS.items():
-        t = F.regexp_replace(t, f"({_class(letters)})", f"{_ACCENT[cell]}$1")
+    def numbered(x: Column) -> Column:
+        y = F.regexp_replace(F.regexp_replace(x, r"(?<=[0-9])[.](?=[0-9])", _POINT), r"(?<=[0-9]),(?=[0-9])", _COMMA)
+        y = F.regexp_replace(F.regexp_replace(y, r"(?<=[0-9])\x{00A0}(?=[0-9])", _SPACE), rf"(?<![0-9a-z.,{_POINT}{_COMMA}{_SPACE}])[.](?=[0-9])", _POINT)
+        y = F.regexp_replace(y, rf"(?<![0-9{_POINT}{_COMMA}{_SPACE}])(?=[0-9{_POINT}])", _NUMBER)
+        return F.when(x.rlike("[0-9]"), F.regexp_replace(y, r"(?<=[0-9])(?=[a-j])", _GRADE1)).otherwise(x)
+
+    def marked(x: Column) -> Column:
+        y = x
+        for cell, (letters, _) in ACCENTS.items():
+            y = F.regexp_replace(y, f"({_class(letters)})", f"{_ACCENT[cell]}$1")
+        return F.when(x.rlike(_class("".join(a for a, _ in ACCENTS.values()))), y).otherwise(x)
+
+    t = let(let(t, numbered), marked)
+
     def many(x: Column) -> Column:
         y = x
         for sign, cells in MORE_CELLS.items():
@@ -108,8 +116,13 @@ def uncontracted(text: Column) -> Column:
         return F.when(x.rlike(_class("".join(MORE_CELLS))), y).otherwise(x)
 
     t = let(t, many)
-    for cell, signs in TWO_CELLS.items():
-        t = F.regexp_replace(t, f"({_class(''.join(signs))})", f"{_FIRST[cell]}$1")
+    def signed(x: Column) -> Column:
+        y = x
+        for cell, signs in TWO_CELLS.items():
+            y = F.regexp_replace(y, f"({_class(''.join(signs))})", f"{_FIRST[cell]}$1")
+        return F.when(x.rlike(_class("".join("".join(signs) for signs in TWO_CELLS.values()))), y).otherwise(x)
+
+    t = let(t, signed)
     table = {**{c: c.upper() for c in "abcdefghijklmnopqrstuvwxyz"}, **dict(zip("1234567890", "ABCDEFGHIJ")), " ": " ", "\n": "\n"}
     table |= {a: b.upper() for letters, plain in ACCENTS.values() for a, b in zip(letters, plain)} | ONE_CELL
     for signs in TWO_CELLS.values():
