@@ -192,7 +192,8 @@ def assembled(lines: Column, titles: Column, page_one: Column | None = None, fir
     """``array<array<string>>``: pages whose heads follow the print pages of the text.
 
     ``titles`` are forms in order of preference. ``notes`` is an array of ``struct<line, id, text>``: lines of numbered tables, whose
-    note stands at the foot of each later page. ``omit_even`` leaves the number off even pages.
+    note stands at the foot of each later page. ``omit_even`` leaves the number off even pages. Lines that come of nested lambdas are
+    to be bound first (``let.held``).
     """
     @F.pandas_udf("array<array<string>>")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tactilion.functions import braille, draw, inline, settings
+from tactilion.functions.let import held as bound
 from tactilion.functions.registry import query, read
 from tactilion.operators import audit, contractions, layout, page, rules, windows
 
@@ -81,7 +82,7 @@ def assembled_pages(spark, sf_dir):
     """Pages of the other standard with print pages at their heads, every tenth line of a text being a print page change."""
     cells = layout.wrap(braille.uncontracted(F.col("text")))
     lines = F.transform(cells, lambda x, i: F.when(i % 10 == 9, page.page_change_line(F.concat(F.lit("#"), F.translate(i.cast("string"), "1234567890", "ABCDEFGHIJ")))).otherwise(x))
-    rows = read(spark, sf_dir, "documents").select("doc_id", "source", lines.alias("l"))
+    rows = bound(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), "l", lines)
     made = rows.select("doc_id", page.assembled(F.col("l"), F.array(F.upper("source"))).alias("pages"))
     return made.select("doc_id", F.size("pages").cast("long").alias("n_pages"), F.size(F.element_at("pages", 1)).cast("long").alias("depth"), F.md5(F.to_json("pages")).alias("pages_md5"))
 
