@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -130,22 +132,19 @@ def script_slot(text: Column) -> Column:
     return F.when(text.rlike(east), "ea").when(text.rlike(right), "bidi").otherwise("latin")
 
 
+_WORD_PART = "[A-Za-z0-9\u0080-\u02ff\u0300-\u036f\u0400-\u04ff]"
+#: Words with inner apostrophes and hyphens.
+WORDS_AT = re.compile(f"{_WORD_PART}+(?:['’-]{_WORD_PART}+)*")
+
+
 def tokenize_words(text: Column) -> Column:
-    """``array<struct<raw, start, end>>`` of words with inner apostrophes and hyphens, places in the decoded text."""
-    word = r"[A-Za-z0-9\x{0080}-\x{02FF}\x{0300}-\x{036F}\x{0400}-\x{04FF}]"
-    pattern = rf"{word}+(?:['’-]{word}+)*"
-    decoded = entity_decode(text)
-    found = F.regexp_extract_all(decoded, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.slice(F.split(decoded, pattern, -1), F.lit(1), F.size(found)), lambda g: F.length(g))
-    kind = "array<struct<raw: string, start: int, end: int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["raw"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(x["raw"].alias("raw"), begin.alias("start"), end.alias("end")))).alias("out"))
-
-    return F.aggregate(F.zip_with(found, gaps, lambda r, g: F.struct(r.alias("raw"), g.alias("gap"))), start, step, lambda acc: acc["out"])
+    """``array<struct<raw, start, end>>`` of words with inner apostrophes and hyphens, places in the decoded text; null for no text."""
+    @F.pandas_udf("array<struct<raw: string, start: int, end: int>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([None if t is None else [{"raw": m[0], "start": m.start(), "end": m.end()} for m in WORDS_AT.finditer(t)] for t in batch], dtype=object)
+
+    return run(entity_decode(text))
 
 
 def _decomposed() -> tuple[str, str]:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactilion.functions.text import tokenize_words, word_list
+from tactilion.functions.text import WORDS_AT, entity_decode, word_list
 
 
 def words_of(rows: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -200,42 +202,67 @@ def word_diff(left: Column, right: Column, reach: int = 40) -> Column:
     return run(left, right)
 
 
+#: Bits of rows that are kept for walking back; beyond them, rows are kept by stretches.
+_ROW_BITS = 1 << 27
+
+
 def _unmatched(a: list[str], b: list[str]) -> list[int]:
-    """Places of ``a`` that a longest common subsequence with ``b`` leaves out: rows of bits, a word at a time, walked back."""
+    """Places of ``a`` that a longest common subsequence with ``b`` leaves out: rows of bits, a word at a time, walked back.
+
+    Of long lists, one row in each stretch is kept and the others are made again from it, so the rows take the space of two stretches.
+    """
     if not a or not b:
         return list(range(len(a)))
     where: dict[str, int] = {}
     for j, w in enumerate(b):
         where[w] = where.get(w, 0) | 1 << j
-    full, row, rows = (1 << len(b)) - 1, (1 << len(b)) - 1, []
-    for w in a:
-        hit = row & where.get(w, 0)
-        row = (row + hit | row - hit) & full
-        rows.append(row)
+    full = (1 << len(b)) - 1
+
+    def rows_of(row: int, words: list[str]) -> Iterator[int]:
+        for w in words:
+            if (at := where.get(w)) and (hit := row & at):
+                row = (row + hit | row - hit) & full
+            yield row
+
+    stretch = len(a) if len(a) * len(b) <= _ROW_BITS else max(64, math.isqrt(len(a)))
+    kept = [full]
+    for at in range(0, len(a) - stretch, stretch):
+        (row,) = deque(rows_of(kept[-1], a[at : at + stretch]), 1)
+        kept.append(row)
     # zero bits of a row mark where the length grows along b
     out, j = [], len(b)
-    for i in range(len(a) - 1, -1, -1):
-        below = rows[i - 1] if i else full
-        length = lambda r: j - (r & (1 << j) - 1).bit_count()
-        if length(rows[i]) == length(below):
-            out.append(i)
-            continue
-        while j and not (b[j - 1] == a[i] and (rows[i] >> j - 1 & 1) == 0):
-            j -= 1
-        j = max(0, j - 1)
+    for k in range(len(kept) - 1, -1, -1):
+        rows = [kept[k], *rows_of(kept[k], a[k * stretch : (k + 1) * stretch])]
+        for i in range(len(rows) - 2, -1, -1):
+            below, row, word = rows[i], rows[i + 1], a[k * stretch + i]
+            cut = (1 << j) - 1
+            if row == below or (row & cut).bit_count() == (below & cut).bit_count():
+                out.append(k * stretch + i)
+                continue
+            while j and not (b[j - 1] == word and (row >> j - 1 & 1) == 0):
+                j -= 1
+            j = max(0, j - 1)
     return out[::-1]
 
 
-def mismatches(source: Column, back: Column, normalize=F.lower) -> Column:
-    """``array<struct<word, start, end>>``: words of ``source`` that a longest common subsequence with ``back`` leaves out."""
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in batches:
-            yield pd.Series([_unmatched([] if x is None else list(x), [] if y is None else list(y)) for x, y in zip(a, b)], dtype=object)
+def mismatches(source: Column, back: Column, normalize: Callable[[str], str] = str.lower) -> Column:
+    """``array<struct<word, start, end>>``: words of ``source`` that a longest common subsequence with ``back`` leaves out.
 
-    words, other = tokenize_words(source), tokenize_words(back)
-    left = run(F.transform(words, lambda w: normalize(w["raw"])), F.transform(other, lambda w: normalize(w["raw"])))
-    return F.transform(left, lambda i: F.struct(F.get(words, i)["raw"].alias("word"), F.get(words, i)["start"].alias("start"), F.get(words, i)["end"].alias("end")))
+    Entities are decoded by column expressions, words are found and compared in the batch, so no expression is copied for each word.
+    """
+    @F.pandas_udf("word array<string>, start array<int>, end array<int>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for a, b in batches:
+            out = []
+            for x, y in zip(a, b):
+                words = [] if x is None else list(WORDS_AT.finditer(x))
+                other = [] if y is None else WORDS_AT.findall(y)
+                left = [words[i] for i in _unmatched([normalize(m[0]) for m in words], list(map(normalize, other)))]
+                out.append(([m[0] for m in left], [m.start() for m in left], [m.end() for m in left]))
+            yield pd.DataFrame(out, columns=["word", "start", "end"])
+
+    found = run(entity_decode(source), entity_decode(back))
+    return F.arrays_zip(found["word"].alias("word"), found["start"].alias("start"), found["end"].alias("end"))
 
 
 def adler32(data: Column) -> Column:
