@@ -489,7 +489,7 @@ def sign_counts(spark, sf_dir):
     """How often each contraction is used, weighted by word frequency; unused ones with 0, in catalogue order."""
     from tactilion.operators import contractions
 
-    return contractions.sign_counts(contractions.translate(audit.word_frequency(read(spark, sf_dir, "documents"))))
+    return contractions.sign_counts(contractions.signs_used(audit.word_frequency(read(spark, sf_dir, "documents"))))
 
 
 from tactilion import queries_pages, queries_rules  # noqa: E402, F401  (they register their queries)

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tactilion.operators import audit, layout, page
+from tactilion.operators import audit, contractions, layout, page
 from tactilion.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -78,3 +78,26 @@ def test_places_of_mismatches(spark):
     texts = [("It&#39;s a re-run, Ünder &amp; over", "it's RUN over"), (None, "a"), ("a b", None), ("", "")]
     rows = spark.createDataFrame(texts, "a string, b string").select(audit.mismatches(F.col("a"), F.col("b")).alias("m"))
     assert [[(x.word, x.start, x.end) for x in r.m] for r in rows.collect()] == [[("a", 5, 6), ("re-run", 7, 13), ("Ünder", 15, 20)], [], [("a", 0, 1), ("b", 2, 3)], []]
+
+
+def test_sign_counts_translate_each_word_once(spark):
+    made = QUERIES["sign_counts"](spark, DATA)
+    # the words were translated below their count too, at each place in a text
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    words = audit.word_frequency(spark.read.parquet(f"{DATA}/documents.parquet"))
+    want = dict.fromkeys(contractions.KEYS, 0)
+    for r in contractions.translate(words).select("n", "signs").collect():
+        for k in r.signs:
+            want[k] += r.n
+    assert {r.sign: r.n for r in made.collect()} == want and [r.sign for r in made.orderBy("ord").collect()] == contractions.KEYS
+
+
+def test_long_word_takes_linear_space():
+    import tracemalloc
+
+    tracemalloc.start()
+    found = contractions.pieces.__wrapped__("thender" * 600)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert "".join(p for p, _, _ in found) == "thender" * 600
+    assert peak < 5e6  # 42 MB when each place held the lengths of the rest
