@@ -7,10 +7,13 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,25 +38,64 @@ def arrow(f: Callable, kind: str) -> Callable[..., Column]:
 # ---- Unicode ------------------------------------------------------------------------------------------------------
 
 
+@lru_cache(1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: whether a character may join the one before it, and whether another form stands for it."""
+    joins, changed = np.zeros((2, sys.maxunicode + 1), bool)
+    for k in range(0x300, sys.maxunicode + 1):
+        c = chr(k)
+        joins[k] = unicodedata.combining(c) or "\u1160" <= c <= "\u11ff"
+        changed[k] = unicodedata.normalize("NFC", c) != c
+    return joins, changed
+
+
+def _composed(text: str) -> tuple[str, np.ndarray]:
+    """:func:`nfc` with the places as an array; only characters that marks join, or that have another form, are looked at."""
+    places = np.arange(len(text), dtype=np.int32)
+    if text.isascii():
+        return text, places
+    joins, changed = _tables()
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    joined = joins[codes]
+    special = np.flatnonzero(joined | changed[codes])
+    if not len(special):
+        return text, places
+    joined[0] = False
+    starts = np.append(np.flatnonzero(~joined), len(text))
+    found = np.unique(np.searchsorted(starts, special, "right") - 1)
+    out, at, counts = [], 0, np.ones(len(text), np.int32)
+    for i, j in zip(starts[found].tolist(), starts[found + 1].tolist()):
+        made = unicodedata.normalize("NFC", text[i:j])
+        counts[i], counts[i + 1 : j] = len(made), 0
+        out += text[at:i], made
+        at = j
+    return "".join([*out, text[at:]]), np.repeat(places, counts)
+
+
 def nfc(text: str | None) -> tuple[str, list[int]]:
     """Composed text, and for each of its characters the first character of ``text`` it came from."""
-    if not text:
-        return "", []
-    starts = [i for i, c in enumerate(text) if i == 0 or not (unicodedata.combining(c) or "\u1160" <= c <= "\u11ff")]
-    out, places = "", []
-    for a, b in zip(starts, [*starts[1:], len(text)]):
-        made = unicodedata.normalize("NFC", text[a:b])
-        out += made
-        places += [a] * len(made)
-    return out, places
+    made, places = _composed(text or "")
+    return made, places.tolist()
+
+
+#: Characters of the texts that go back to the JVM at once, each with its place.
+_AT_ONCE = 1 << 19
 
 
 def normalize_nfc(text: Column) -> Column:
-    """``struct<text, places>``."""
+    """``struct<text, places>``; a batch of many rows is given back in parts, as places take more room than the text."""
     @F.pandas_udf("text string, places array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([nfc(t) for t in batch], columns=["text", "places"])
+            rows, n = [], 0
+            for t in batch:
+                rows.append(_composed(t or ""))
+                n += len(rows[-1][1])
+                if n >= _AT_ONCE:
+                    yield pd.DataFrame(rows, columns=["text", "places"])
+                    rows, n = [], 0
+            if rows or not len(batch):
+                yield pd.DataFrame(rows, columns=["text", "places"])
 
     return run(text)
 

@@ -4,9 +4,11 @@ import random
 import re
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tactilion.functions import inline
 from tactilion.operators import audit, contractions, layout, page
 from tactilion.queries import QUERIES
 
@@ -101,3 +103,20 @@ def test_long_word_takes_linear_space():
     tracemalloc.stop()
     assert "".join(p for p, _, _ in found) == "thender" * 600
     assert peak < 5e6  # 42 MB when each place held the lengths of the rest
+
+
+def test_composed_texts_come_back_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(inline, "_AT_ONCE", 100_000)
+    texts = ["", None, "e\u0301x", "\u0301e", "\u1100\u1161\u11a8a\u0302\u0323", "\u0958n\u0303\u212b", "a" * 300_000, "e\u0301" * 200_000, "z"]
+    run = inline.normalize_nfc
+    seen = []
+    with monkeypatch.context() as m:
+        m.setattr(F, "pandas_udf", lambda kind: lambda f: lambda c: seen.extend(f(iter([pd.Series(texts, dtype=object)]))))
+        run(None)
+    # all rows of a batch were given back at once, as lists of Python numbers
+    assert [len(d) for d in seen] == [7, 1, 1]
+    rows = [(x, list(p)) for d in seen for x, p in zip(d.text, d.places)]
+    assert rows[:6] == [("", []), ("", []), ("\u00e9x", [0, 2]), ("\u0301e", [0, 1]), ("\uac01\u1ead", [0, 3]), ("\u0915\u093c\u00f1\u00c5", [0, 0, 1, 3])]
+    assert [len(x) for x, _ in rows] == [0, 0, 2, 2, 2, 4, 300_000, 200_000, 1] and rows[7][1] == list(range(0, 400_000, 2))
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", inline.normalize_nfc(F.col("t")).alias("n")).orderBy("k").collect()
+    assert [(r.n.text, r.n.places) for r in got] == rows
